@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmith.llm import setjoin, survivorship
+from corpusmith.llm import neighbors, sentences, setjoin, survivorship
 from corpusmith.session import load
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    vectors = neighbors.current_vectors(load(spark, d, "wiki_chunks"))
+    probes = load(spark, d, "probe_chunks").select(F.col("chunk_id").alias("id"))
+    found = neighbors.nearest(vectors, probes)
+    return found.select(F.col("query_id").alias("probe_chunk_id"), F.col("id").alias("chunk_id"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return survivorship.representatives_by_field(load(spark, d, "merge_candidates"))
 
@@ -43,6 +50,10 @@ def p4_tag_classes(spark: SparkSession, d: str) -> DataFrame:
     return setjoin.similar_classes(_page_sets(spark, d, "tags"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(load(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p3_multi_value_truth, p4_found, p4_tag_classes)
+    f.__name__: f for f in (p1_found, p3_found, p3_multi_value_truth, p4_found, p4_tag_classes, p8_found)
 }
