@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmith.llm import neighbors, sentences, setjoin, survivorship
+from corpusmith.llm import leakage, names, neighbors, packing, sentences, setjoin, survivorship
 from corpusmith.session import load
 
 
@@ -50,10 +50,35 @@ def p4_tag_classes(spark: SparkSession, d: str) -> DataFrame:
     return setjoin.similar_classes(_page_sets(spark, d, "tags"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.same_name_pairs(load(spark, d, "entities"))
+
+
+def p5_name_groups(spark: SparkSession, d: str) -> DataFrame:
+    keys = names.same_names(load(spark, d, "entities"))
+    return keys.groupBy("name_key").agg(F.min("entity_id").alias("first_entity_id"), F.count("*").alias("entities"))
+
+
+def p6_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(load(spark, d, "documents"), load(spark, d, "context_windows"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    found = leakage.leaked_passages(load(spark, d, "documents"), load(spark, d, "eval_items"))
+    return found.select("item_id", "doc_id")
+
+
+def p7_leak_spans(spark: SparkSession, d: str) -> DataFrame:
+    found = leakage.leaked_passages(load(spark, d, "documents"), load(spark, d, "eval_items"))
+    return found.select("item_id", "doc_id", F.round("covered", 4).alias("covered"), F.posexplode("spans").alias("span", "_s")).select(
+        "item_id", "doc_id", "covered", "span", F.col("_s.start").alias("char_start"), F.col("_s.end").alias("char_end")
+    )
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(load(spark, d, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p3_found, p3_multi_value_truth, p4_found, p4_tag_classes, p8_found)
+    f.__name__: f for f in (p1_found, p3_found, p3_multi_value_truth, p4_found, p4_tag_classes, p5_found, p5_name_groups, p6_pack, p7_found, p7_leak_spans, p8_found)
 }
