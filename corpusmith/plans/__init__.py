@@ -1,8 +1,8 @@
 """Registered queries, grouped by what they read, and the SQL each is checked against."""
 
-from corpusmith.plans import changes
+from corpusmith.plans import changes, graph, search, texts
 
-_GROUPS = [changes]
+_GROUPS = [search, texts, graph, changes]
 
 QUERIES = {k: v for g in _GROUPS for k, v in g.QUERIES.items()}
 ORACLE = {k: v for g in _GROUPS for k, v in g.ORACLE.items()}
