@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmith.functions import text as T
+
 
 def normal_path(path: Column) -> Column:
     """One spelling of a relative path: ``/`` only, none doubled, no leading ``./``."""
@@ -108,3 +110,69 @@ def current_files(tasks: DataFrame) -> DataFrame:
     )
     done = latest_version(rows, "id", ["updated_at", "created_at"]).where(F.col("status") == "done")
     return apply_changes(done, ["project_id", "path"], ["updated_at", "created_at"], F.col("kind") == "deleted", ["id"])
+
+
+# --- snapshots, tasks and rules -----------------------------------------------------------
+
+# Extensions of media files, names of junk files and folders that are never watched.
+MEDIA = ["png", "jpg", "jpeg", "gif", "webp", "svg", "mp3", "mp4", "mov", "wav", "avi"]
+JUNK = [".ds_store", "thumbs.db", "desktop.ini"]
+FOLDERS_SKIPPED = [".git", "node_modules", ".obsidian", ".cache", ".trash"]
+
+
+def diff_snapshots(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Changes between two snapshots: (path, kind, hash_before, hash_after).
+
+    Both: (path, hash, size), one row a path. A file with equal hash (null
+    equals null: too large to hash) and size hasn't changed.
+    """
+    a = old.select("path", F.col("hash").alias("hash_before"), F.col("size").alias("_s0"), F.lit(1).alias("_old"))
+    b = new.select("path", F.col("hash").alias("hash_after"), F.col("size").alias("_s1"), F.lit(1).alias("_new"))
+    rows = a.join(b, "path", "full_outer")
+    kind = F.when(F.col("_old").isNull(), "created").when(F.col("_new").isNull(), "deleted").otherwise("modified")
+    same = F.col("_old").isNotNull() & F.col("_new").isNotNull() & F.col("hash_before").eqNullSafe(F.col("hash_after")) & F.col("_s0").eqNullSafe(F.col("_s1"))
+    return rows.where(~same).select("path", kind.alias("kind"), "hash_before", "hash_after")
+
+
+def merge_kind(old: Column, new: Column) -> Column:
+    """Kind of two changes in a row: a file created and deleted, or deleted and created, was modified."""
+    return F.when(old.isNull(), new).when((old == "created") & (new == "deleted"), "modified").when((old == "deleted") & (new == "created"), "modified").when(
+        (old == "created") & (new == "modified"), "created"
+    ).otherwise(new)
+
+
+def watched(path: Column, excluded_dirs: Sequence[str] = (), excluded_globs: Sequence[str] = (), include: Sequence[str] = ()) -> Column:
+    """Whether a path is watched: no hidden part, media, junk file, excluded folder or glob; in the included extensions if any are named.
+
+    Folders of several parts are prefixes or infixes, single ones any part of
+    the path. Globs are tried on the path and on the file name. Null paths aren't.
+    """
+    low = F.lower(normal_path(path))
+    parts = F.split(low, "/")
+    name, ext = T.file_name(low), T.extension(low)
+    out = ~F.exists(parts, lambda p: p.startswith(".") | p.isin([d for d in [*FOLDERS_SKIPPED, *map(str.lower, excluded_dirs)] if "/" not in d]))
+    out = out & ~ext.isin(MEDIA) & ~name.isin(JUNK)
+    for folder in (d.lower().strip("/") for d in excluded_dirs if "/" in d.strip("/")):
+        out = out & ~F.contains(F.concat(F.lit("/"), low), F.lit(f"/{folder}/"))
+    for glob in excluded_globs:
+        pattern = T.glob_pattern(glob)
+        out = out & ~(low.rlike(pattern) | name.rlike(pattern))
+    if include:
+        out = out & ext.isin([e.lower().lstrip(".") for e in include])
+    return F.coalesce(out, F.lit(False))
+
+
+def task_summary(tasks: DataFrame) -> DataFrame:
+    """Tasks by project and present state: one row a project with a count of each status."""
+    rows = tasks.select("id", "project_id", "status", "updated_at", "created_at", "retry_count")
+    now = latest_version(rows, "id", ["updated_at", "created_at"])
+    states = ["pending", "processing", "done", "failed", "superseded"]
+    return now.groupBy("project_id").agg(F.count("*").alias("tasks"), *[F.count_if(F.col("status") == s).alias(s) for s in states], F.max("retry_count").cast("long").alias("most_retries"))
+
+
+def runnable_tasks(tasks: DataFrame, most_retries: int = 3) -> DataFrame:
+    """Tasks that may run next: pending ones, and failed ones with tries left; (id, project_id, path, kind)."""
+    rows = tasks.where(F.col("path").isNotNull()).select("id", "project_id", normal_path(F.col("path")).alias("path"), "kind", "status", "updated_at", "created_at", "retry_count")
+    now = latest_version(rows, "id", ["updated_at", "created_at"])
+    ready = (F.col("status") == "pending") | ((F.col("status") == "failed") & (F.col("retry_count") < most_retries))
+    return now.where(ready).select("id", "project_id", "path", "kind")

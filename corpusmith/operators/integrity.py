@@ -60,7 +60,7 @@ def merge_reviews(items: DataFrame) -> DataFrame:
     the latest that say anything. Gathered lists hold distinct values of one
     title only.
     """
-    rows = items.withColumn("key", T.review_title(F.coalesce("title", F.lit(""))))
+    rows = items.withColumn("key", T.review_title(F.coalesce("title", F.lit("")))).withColumn("type", F.coalesce("type", F.lit("confirm")))
 
     def first_seen(column: str) -> DataFrame:
         each = rows.select("type", "key", "ord", F.posexplode(column).alias("pos", "value")).where("value is not null")
