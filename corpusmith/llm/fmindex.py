@@ -21,7 +21,7 @@ def suffix_order(symbols: np.ndarray, bits: int) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for i in range(width):
         part = np.zeros(n, np.int64)
-        part[: n - i] = symbols[i:] if i else symbols
+        part[: max(n - i, 0)] = symbols[i:]
         key = (key << bits) | part
     order = np.argsort(key, kind="stable")
     sorted_key = key[order]
