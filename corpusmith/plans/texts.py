@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from corpusmith.functions import language as L
 from corpusmith.functions import text as T
+from corpusmith.functions.records import parse_front_matter
 from corpusmith.session import load
+from corpusmith.sources.files import _CATEGORY, category
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -97,11 +99,23 @@ def tag_union(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "wiki_pages").select("page_id", F.array_join(both, "|").alias("labels")).distinct()
 
 
+def front_matter_records(spark: SparkSession, d: str) -> DataFrame:
+    """Front matter read as YAML: fields and list entries of each document that has any."""
+    rows = parse_front_matter(load(spark, d, "documents")).where("fields is not null")
+    entries = F.aggregate(F.map_values("fields"), F.lit(0), lambda n, v: n + F.size(v))
+    return rows.select("doc_id", F.size("fields").alias("fields"), entries.alias("entries"), F.coalesce(F.try_element_at("fields", F.lit("type"))[0], F.lit("")).alias("type"))
+
+
+def source_categories(spark: SparkSession, d: str) -> DataFrame:
+    rows = _docs(spark, d).where("source is not null").select(category(F.col("source")).alias("category"))
+    return rows.groupBy("category").agg(F.count("*").alias("documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         language_id, language_mismatch, doc_titles, front_matter_fields, body_length, path_parts, source_usage, file_mentions, file_slugs,
-        review_titles, exact_duplicates, context_budget, query_tokens, tag_union,
+        review_titles, exact_duplicates, context_budget, query_tokens, tag_union, front_matter_records, source_categories,
     )
 }
 
@@ -137,6 +151,9 @@ _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 _SEP = T.SEPARATORS.replace("'", "''")
 
 ORACLE = {
+    "front_matter_records": f"""select doc_id, cast(len(l) as int) as fields, cast(len(list_filter(l, lambda x: not regexp_matches(x, '^tags:'))) + case when contains(f, 'tags:') then len(string_split(regexp_extract(f, '(?m)^tags:[ \\t]*\\[(.*)\\]', 1), ',')) else 0 end as int) as entries,
+        regexp_extract(f, '(?m)^type:[ \\t]*(.*)$', 1) as type from (select doc_id, f, list_filter(string_split(f, chr(10)), lambda x: contains(x, ':')) l from (select doc_id, {_FRONT} f from documents) where f <> '')""",
+    "source_categories": "select case lower(regexp_extract(source, '.\\.([^./]*)$', 1)) " + " ".join(f"when '{e}' then '{c}'" for e, c in _CATEGORY.items()) + " else 'other' end as category, count(*) as documents from documents where source is not null group by 1",
     "language_id": f"with {_language()} select doc_id, language from lang_",
     "language_mismatch": f"with {_language()} select lower(substr(coalesce(lang, ''), 1, 2)) as stated, language, count(*) as documents from lang_ group by 1, 2",
     "doc_titles": f"""select doc_id, case when {_scalar("title")} <> '' then {_scalar("title")}
