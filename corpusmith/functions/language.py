@@ -7,21 +7,30 @@ from pyspark.sql import functions as F
 
 # The code points of each script and the language it stands for, in the order ties are settled.
 SCRIPTS = {
-    "Chinese": r"㐀-䶿一-鿿豈-﫿",
-    "Japanese": r"぀-ヿㇰ-ㇿ･-ﾟ",
-    "Korean": r"가-힯ᄀ-ᇿ㄰-㆏",
-    "Arabic": r"؀-ۿݐ-ݿࢠ-ࣿﭐ-﷿ﹰ-﻿",
-    "Hebrew": r"֐-׿",
-    "Thai": r"฀-๿",
-    "Hindi": r"ऀ-ॿ",
-    "Bengali": r"ঀ-৿",
-    "Tamil": r"஀-௿",
-    "Telugu": r"ఀ-౿",
-    "Georgian": r"Ⴀ-ჿ",
-    "Armenian": r"԰-֏",
-    "Amharic": r"ሀ-፿",
-    "Russian": r"Ѐ-ԯ",
-    "Greek": r"Ͱ-Ͽἀ-῿",
+    "Chinese": r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2A6DF}",
+    "Japanese": r"\x{3040}-\x{30FF}\x{31F0}-\x{31FF}\x{FF65}-\x{FF9F}",
+    "Korean": r"\x{AC00}-\x{D7AF}\x{1100}-\x{11FF}\x{3130}-\x{318F}",
+    "Arabic": r"\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}",
+    "Hebrew": r"\x{0590}-\x{05FF}\x{FB1D}-\x{FB4F}",
+    "Thai": r"\x{0E00}-\x{0E7F}",
+    "Hindi": r"\x{0900}-\x{097F}",
+    "Bengali": r"\x{0980}-\x{09FF}",
+    "Tamil": r"\x{0B80}-\x{0BFF}",
+    "Telugu": r"\x{0C00}-\x{0C7F}",
+    "Kannada": r"\x{0C80}-\x{0CFF}",
+    "Malayalam": r"\x{0D00}-\x{0D7F}",
+    "Gujarati": r"\x{0A80}-\x{0AFF}",
+    "Punjabi": r"\x{0A00}-\x{0A7F}",
+    "Burmese": r"\x{1000}-\x{109F}",
+    "Khmer": r"\x{1780}-\x{17FF}",
+    "Lao": r"\x{0E80}-\x{0EFF}",
+    "Georgian": r"\x{10A0}-\x{10FF}\x{2D00}-\x{2D2F}",
+    "Armenian": r"\x{0530}-\x{058F}",
+    "Amharic": r"\x{1200}-\x{137F}",
+    "Tibetan": r"\x{0F00}-\x{0FFF}",
+    "Sinhala": r"\x{0D80}-\x{0DFF}",
+    "Russian": r"\x{0400}-\x{052F}",
+    "Greek": r"\x{0370}-\x{03FF}\x{1F00}-\x{1FFF}",
 }
 # For each Latin-script language, in the order tried, letters of which one must occur (if any) and words of which one must.
 LATIN = [

@@ -169,7 +169,7 @@ def knowledge_gaps(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     communities.
     """
     isolated = nodes.where("links <= 1").select(F.lit("isolated").alias("gap"), F.col("node").alias("id"), F.col("links").cast("double").alias("value"))
-    sparse = cohesion(edges, nodes).where("nodes >= 3 and cohesion < 0.15").select(F.lit("sparse").alias("gap"), F.col("community").alias("id"), F.col("cohesion").alias("value"))
+    sparse = cohesion(edges, nodes).where("nodes >= 3 and cohesion < 0.15").select(F.lit("sparse").alias("gap"), F.col("community").cast(nodes.schema["node"].dataType).alias("id"), F.col("cohesion").alias("value"))
     both = edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other")
     near = both.join(nodes.select(F.col("node").alias("other"), "community"), "other").groupBy("node").agg(F.countDistinct("community").alias("n"))
     bridges = near.where("n >= 3").select(F.lit("bridge").alias("gap"), F.col("node").alias("id"), F.col("n").cast("double").alias("value"))

@@ -15,17 +15,18 @@ RRF = 60
 def keyword_scores(pages: DataFrame, query: str) -> DataFrame:
     """Pages that match a query: page_id, path, score, title_match.
 
-    pages: (page_id, path, title, content). Null titles and contents count as
-    empty. 200 if the file stem is the phrase, 50 if title or file name hold it,
+    pages: (page_id, path, title, content). Null titles, paths and contents count
+    as empty. 200 if the file stem is the phrase, 50 if title or file name hold it,
     20 for each of at most 10 occurrences in the content, 5 for each token in
     title or file name, 1 for each token in the content. A page without any of
     these doesn't come out; neither does any page for an empty query.
     """
     phrase = T.query_phrase(query)
     tokens = T.query_tokens(query) or ([query.strip().lower()] if query.strip() else [])
-    title = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), T.file_name(F.col("path"))))
+    path = F.coalesce("path", F.lit(""))
+    title = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), T.file_name(path)))
     content = F.lower(F.coalesce("content", F.lit("")))
-    text = pages.select("page_id", "path", F.lower(T.file_stem(F.col("path"))).alias("_stem"), title.alias("_title"), content.alias("_content"))
+    text = pages.select("page_id", "path", F.lower(T.file_stem(path)).alias("_stem"), title.alias("_title"), content.alias("_content"))
     has = bool(phrase)
     parts = {
         "_exact": (F.col("_stem") == phrase).cast("int") if has else F.lit(0),
