@@ -18,10 +18,10 @@ SHARD_TOKENS = 1_000_000
 BLOCK_ITEMS = 5_000
 
 # scripts without spaces count by character, all others by word
-_UNSPACED = r"⺀-鿿฀-๿豈-﫿"
-_MARKS = r"̀-ًͯ-ٟऀ-ॣ०-෿"
+_UNSPACED = "\u2e80-\u9fff\u0e00-\u0e7f\uf900-\ufaff"
+_MARKS = "\u0300-\u036f\u064b-\u065f\u0900-\u0963\u0966-\u0dff"
 _TOKEN = re.compile(rf"[{_UNSPACED}]|(?:[^\W_{_UNSPACED}]|[{_MARKS}])+")
-_HIDDEN = re.compile(r"[​-‍⁠﻿­]")
+_HIDDEN = re.compile("[\u200b-\u200d\u2060\ufeff\u00ad]")
 _ONE = re.compile(rf"[{_UNSPACED}]")
 
 
