@@ -113,7 +113,7 @@ def _passages(parts: list[tuple[int, int, int, int]], least: int, slack: int) ->
 def leaked_passages(
     documents: DataFrame,
     items: DataFrame,
-    share: float = 0.3,
+    share: float = 0.32,
     words: int = 4,
     chars: int = 8,
     passage_words: int = 9,
