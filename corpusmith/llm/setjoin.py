@@ -28,7 +28,7 @@ def normal_values(values: Column, source_paths: bool = False) -> Column:
 
 
 def _bands(rows: int, bands: int):
-    """Vectorised minwise signatures: the hashed set to one bucket key per band."""
+    """Vectorised minwise signatures: the hashed set to one bucket key per band, which tells the bands apart as well."""
     rng = np.random.default_rng(20240511)
     mul = rng.integers(1, 2**63, rows * bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     add = rng.integers(0, 2**63, rows * bands, dtype=np.uint64)
@@ -48,7 +48,7 @@ def _bands(rows: int, bands: int):
             mixed *= np.uint64(0xBF58476D1CE4E5B9)
             mixed ^= mixed >> np.uint64(32)
             low = np.minimum.reduceat(mixed, starts)
-            keys[:, i // rows] = (keys[:, i // rows] ^ low) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i // rows)
+            keys[:, i // rows] = (keys[:, i // rows] ^ low) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(2 * (i // rows) + 1)
         return pd.Series(list(keys.view(np.int64)))
 
     return bands_of
@@ -77,33 +77,32 @@ def similar_sets(
     threshold does; so no pair is lost and no bucket makes all its pairs.
     """
     keyed = sets.select("set_id", "vals", "side", F.transform("vals", lambda v: F.xxhash64(v)).alias("_h"))
-    banded = keyed.select("set_id", "side", F.size("vals").alias("n"), F.posexplode(_bands(rows, bands)("_h")).alias("band", "bucket"))
-    counts = banded.groupBy("band", "bucket").agg(F.count("*").alias("members")).where(F.col("members") > 1)
-    shared = banded.join(counts, ["band", "bucket"])
-
-    small = shared.where(F.col("members") <= hot).select("set_id", "side", "n", "band", "bucket", F.lit(0).cast("long").alias("token"))
-    # rarest values first, over the values of all sets
+    banded = keyed.select("set_id", "side", F.size("vals").alias("n"), F.explode(_bands(rows, bands)("_h")).alias("bucket"))
+    counts = banded.groupBy("bucket").agg(F.count("*").alias("members")).where(F.col("members") > 1)
+    shared = banded.join(counts, "bucket")
+
+    def pair(entries: DataFrame, *keys: str) -> DataFrame:
+        a, b = entries.alias("a"), entries.alias("b")
+        near = (F.col("a.set_id") < F.col("b.set_id")) & (F.least("a.n", "b.n") >= F.lit(threshold) * F.greatest("a.n", "b.n") - 1e-9)
+        if across:
+            near = near & (F.col("a.side").bitwiseOR(F.col("b.side")) == 3)
+        same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in keys]
+        return a.join(b, [*same, near]).select(F.col("a.set_id").alias("set_a"), F.col("b.set_id").alias("set_b"))
+
+    # small buckets meet where the count has already brought them together
+    small = pair(shared.where(F.col("members") <= hot), "bucket")
+    # in large ones, rarest values first, over the values of all sets
+    busy = shared.where(F.col("members") > hot)
     values = sets.select("set_id", F.explode("vals").alias("value"))
     rarity = values.groupBy("value").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("set_id").orderBy("df", "value"))
-    in_hot = shared.where(F.col("members") > hot).select("set_id").distinct()
     prefix = (
-        values.join(in_hot, "set_id", "left_semi").join(rarity, "value").withColumn("rank", rank)
+        values.join(busy.select("set_id").distinct(), "set_id", "left_semi").join(rarity, "value").withColumn("rank", rank)
         .select("set_id", "rank", F.xxhash64("value").alias("token"))
     )
     size = F.col("n")
-    large = (
-        shared.where(F.col("members") > hot).join(prefix, "set_id")
-        .where(F.col("rank") <= size - F.ceil(F.lit(threshold) * size - 1e-9) + 1)
-        .select("set_id", "side", "n", "band", "bucket", "token")
-    )
-    entries = small.unionByName(large)
-    a, b = entries.alias("a"), entries.alias("b")
-    near = (F.col("a.set_id") < F.col("b.set_id")) & (F.least("a.n", "b.n") >= F.lit(threshold) * F.greatest("a.n", "b.n") - 1e-9)
-    if across:
-        near = near & (F.col("a.side").bitwiseOR(F.col("b.side")) == 3)
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("band", "bucket", "token")]
-    pairs = a.join(b, [*same, near]).select(F.col("a.set_id").alias("set_a"), F.col("b.set_id").alias("set_b")).distinct()
+    large = pair(busy.join(prefix, "set_id").where(F.col("rank") <= size - F.ceil(F.lit(threshold) * size - 1e-9) + 1), "bucket", "token")
+    pairs = small.unionByName(large).distinct()
 
     left = sets.select(F.col("set_id").alias("set_a"), F.col("vals").alias("vals_a"))
     right = sets.select(F.col("set_id").alias("set_b"), F.col("vals").alias("vals_b"))
