@@ -82,4 +82,13 @@ from (select distinct page_id from wiki_pages where page_id is not null) p
 left join s on s.id = p.page_id left join c on c.vals = s.vals left join n on n.class_id = c.class_id
 """
 
-ORACLE: dict[str, str] = {"p3_found": P3_FOUND, "p4_found": P4_FOUND, "p4_tag_classes": P4_TAG_CLASSES}
+P1_FOUND = """
+with last as (select chunk_id, arg_max(embedding, coalesce(upserted_at, timestamp '1970-01-01')) e from wiki_chunks where chunk_id is not null group by 1),
+ok as (select chunk_id, e::double[] e from last where len(e) = 64 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0),
+d as (
+  select q.chunk_id probe_chunk_id, o.chunk_id, list_sum(list_transform(list_zip(q.e, o.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) dist
+  from ok q join (select distinct chunk_id from probe_chunks) p using (chunk_id) join ok o on o.chunk_id <> q.chunk_id)
+select probe_chunk_id, chunk_id from d qualify row_number() over (partition by probe_chunk_id order by dist, chunk_id) <= 10
+"""
+
+ORACLE: dict[str, str] = {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p4_tag_classes": P4_TAG_CLASSES}
