@@ -36,14 +36,13 @@ def _entity_tags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    tags, sources = _page_sets(spark, d, "tags"), _page_sets(spark, d, "sources")
-    kinds = {
-        "page_tags": setjoin.similar_records(tags),
-        "page_sources": setjoin.similar_records(sources),
-        "entity_page_tags": setjoin.similar_records(_entity_tags(spark, d), tags),
+    tables = {
+        "page_tags": ("tags", _page_sets(spark, d, "tags")),
+        "page_sources": ("sources", _page_sets(spark, d, "sources")),
+        "entity_tags": ("tags", _entity_tags(spark, d)),
     }
-    parts = [df.select(F.lit(kind).alias("pair_kind"), "id_a", "id_b") for kind, df in kinds.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    joins = {"page_tags": ("page_tags", "page_tags"), "page_sources": ("page_sources", "page_sources"), "entity_page_tags": ("entity_tags", "page_tags")}
+    return setjoin.similar_pairs(tables, joins).select("pair_kind", "id_a", "id_b")
 
 
 def p4_tag_classes(spark: SparkSession, d: str) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmith.session import durable
+
 ROWS, BANDS = 3, 48
 
 
@@ -60,13 +65,13 @@ def similar_sets(
     rows: int = ROWS,
     bands: int = BANDS,
     hot: int = 200,
-    across: bool = False,
+    wanted: Sequence[tuple[int, int]] | None = None,
 ) -> DataFrame:
     """Pairs of distinct sets with Jaccard similarity >= threshold: (set_a, set_b, jaccard), set_a < set_b.
 
     sets: (set_id long, vals array<string>, side int), one row a distinct set;
-    side is a bit mask of the tables it occurs in. across: only pairs that
-    have a record of either table are wanted.
+    side is a bit mask of the tables it occurs in. wanted: pairs of bits; a
+    pair of sets is made only if its sides have such bits. By default all are.
 
     Minwise signatures are cut into bands; sets that share a bucket of any band
     are candidates, each pair once (in its lowest shared band), and are then
@@ -84,8 +89,10 @@ def similar_sets(
     def pair(entries: DataFrame, *keys: str) -> DataFrame:
         a, b = entries.alias("a"), entries.alias("b")
         near = (F.col("a.set_id") < F.col("b.set_id")) & (F.least("a.n", "b.n") >= F.lit(threshold) * F.greatest("a.n", "b.n") - 1e-9)
-        if across:
-            near = near & (F.col("a.side").bitwiseOR(F.col("b.side")) == 3)
+        if wanted:
+            has = lambda side, bit: F.col(side).bitwiseAND(F.lit(bit)) > 0
+            ways = [has("a.side", x) & has("b.side", y) for pair_ in wanted for x, y in {pair_, pair_[::-1]}]
+            near = near & reduce(Column.__or__, ways)
         same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in keys]
         return a.join(b, [*same, near]).select(F.col("a.set_id").alias("set_a"), F.col("b.set_id").alias("set_b"))
 
@@ -112,35 +119,53 @@ def similar_sets(
     return both.withColumn("jaccard", jaccard).where(F.col("jaccard") >= threshold - 1e-12).select("set_a", "set_b", "jaccard")
 
 
-def similar_records(left: DataFrame, right: DataFrame | None = None, threshold: float = 0.6, least: int = 3) -> DataFrame:
-    """All pairs of records whose sets are similar: (id_a, id_b, jaccard), id_a < id_b.
-
-    left, right: (id long, vals array<string>) with sets made by normal_values;
-    right is another table to pair with, else left pairs with itself. Repeated
-    rows of a record count once, the same id never pairs with itself. Records
-    with a null id, a null list or fewer than ``least`` values pair with
-    nothing. Equal sets are joined once and written out as pairs at the end,
-    because each pair of records is asked for.
+def similar_pairs(tables: dict[str, tuple[str, DataFrame]], joins: dict[str, tuple[str, str]], threshold: float = 0.6, least: int = 3) -> DataFrame:
+    """All pairs of records with similar sets, for several joins at once: (pair_kind, id_a, id_b, jaccard), id_a < id_b.
+
+    tables: name -> (domain, records (id long, vals array<string>)), with sets
+    made by normal_values; only sets of one domain are compared. joins:
+    pair_kind -> (name, name) of the tables to pair, the same name twice for
+    pairs within a table. Repeated rows of a record count once, an id never
+    pairs with itself. Records with a null id, a null list or fewer than
+    ``least`` values pair with nothing.
+
+    The sets of all tables are joined in one go, equal ones once; they are
+    written out as pairs of records at the end, because each is asked for.
     """
-    sides = [left] if right is None else [left, right]
-    rows = None
-    for i, side in enumerate(sides):
-        part = side.where(F.col("id").isNotNull() & (F.size("vals") >= least)).select(
-            "id", "vals", F.xxhash64("vals").alias("set_id"), F.lit(1 << i).alias("side")
+    bits = {name: 1 << i for i, name in enumerate(tables)}
+
+    def in_domain(domain: str) -> Column:
+        return F.transform("vals", lambda v: F.concat(F.lit(f"{domain}|"), v))
+
+    parts = [
+        df.where(F.col("id").isNotNull() & (F.size("vals") >= least)).select(
+            F.col("id").cast("long").alias("id"), in_domain(domain).alias("vals"), F.lit(bits[name]).alias("side")
         )
-        rows = part if rows is None else rows.unionByName(part)
-    sets = rows.groupBy("set_id").agg(F.first("vals").alias("vals"), F.bit_or("side").alias("side"))
-    members = rows.select("set_id", "id", "side").distinct()
-    found = similar_sets(sets, threshold, across=right is not None)
+        for name, (domain, df) in tables.items()
+    ]
+    rows = reduce(DataFrame.unionByName, parts).withColumn("set_id", F.xxhash64("vals"))
+    sets = durable(rows.groupBy("set_id").agg(F.first("vals").alias("vals"), F.bit_or("side").alias("side")))
+    members = durable(rows.select("set_id", "id", "side").distinct())
+    found = similar_sets(sets, threshold, wanted=[(bits[x], bits[y]) for x, y in joins.values()])
     equal = sets.select(F.col("set_id").alias("set_a"), F.col("set_id").alias("set_b"), F.lit(1.0).alias("jaccard"))
-    links = found.unionByName(equal)
     one = members.select(F.col("set_id").alias("set_a"), F.col("id").alias("x"), F.col("side").alias("sx"))
     two = members.select(F.col("set_id").alias("set_b"), F.col("id").alias("y"), F.col("side").alias("sy"))
-    pairs = links.join(one, "set_a").join(two, "set_b").where(F.col("x") != F.col("y"))
-    if right is not None:
-        pairs = pairs.where(F.col("sx") != F.col("sy"))
-    out = pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "jaccard")
-    return out.groupBy("id_a", "id_b").agg(F.max("jaccard").alias("jaccard"))
+    pairs = found.unionByName(equal).join(one, "set_a").join(two, "set_b").where(F.col("x") != F.col("y"))
+    kinds = F.filter(
+        F.array(*[
+            F.when(((F.col("sx") == bits[x]) & (F.col("sy") == bits[y])) | ((F.col("sx") == bits[y]) & (F.col("sy") == bits[x])), F.lit(kind))
+            for kind, (x, y) in joins.items()
+        ]),
+        lambda k: k.isNotNull(),
+    )
+    out = pairs.select(F.explode(kinds).alias("pair_kind"), F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "jaccard")
+    return out.groupBy("pair_kind", "id_a", "id_b").agg(F.max("jaccard").alias("jaccard"))
+
+
+def similar_records(left: DataFrame, right: DataFrame | None = None, threshold: float = 0.6, least: int = 3) -> DataFrame:
+    """similar_pairs within one table, or between two: (id_a, id_b, jaccard), id_a < id_b."""
+    tables = {"left": ("", left)} | ({} if right is None else {"right": ("", right)})
+    return similar_pairs(tables, {"": ("left", "left" if right is None else "right")}, threshold, least).drop("pair_kind")
 
 
 def similar_classes(records: DataFrame, threshold: float = 0.6, least: int = 3) -> DataFrame:
@@ -152,8 +177,8 @@ def similar_classes(records: DataFrame, threshold: float = 0.6, least: int = 3)
     """
     rows = records.where(F.col("id").isNotNull()).groupBy("id").agg(F.first("vals").alias("vals"))
     rows = rows.withColumn("set_id", F.when(F.size("vals") >= least, F.xxhash64("vals")))
-    sets = rows.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(
-        F.first("vals").alias("vals"), F.lit(1).alias("side"), F.min("id").alias("class_id")
+    sets = durable(
+        rows.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.first("vals").alias("vals"), F.min(F.lit(1)).alias("side"), F.min("id").alias("class_id"))
     )
     found = similar_sets(sets.drop("class_id"), threshold)
     ends = found.select(F.col("set_a").alias("set_id")).unionByName(found.select(F.col("set_b").alias("set_id")))
