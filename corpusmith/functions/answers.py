@@ -102,3 +102,13 @@ def source_budget(window: Column, stable: Column) -> Column:
     free = window - F.floor(window * 0.15) - kept - F.greatest(F.lit(12_000), F.floor(window * 0.08))
     upper = F.least(F.lit(300_000), F.greatest(F.lit(8_000), F.floor(window * 0.6)))
     return F.least(F.greatest(free, F.lit(8_000)), upper)
+
+
+# Where providers put reasoning in a line of a stream.
+REASONING = ["$.choices[0].delta.reasoning_content", "$.choices[0].delta.reasoning", "$.delta.thinking", "$.message.thinking"]
+
+
+def reasoning_text(line: Column) -> Column:
+    """Reasoning in one line of a streamed answer (JSON, perhaps after ``data:``); empty if there is none. Its length counts it."""
+    body = F.regexp_replace(line, r"^data:\s*", "")
+    return F.concat(*[F.coalesce(F.get_json_object(body, path), F.lit("")) for path in REASONING])

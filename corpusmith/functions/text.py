@@ -206,3 +206,51 @@ def union_ignoring_case(old: Column, new: Column) -> Column:
     both = F.filter(F.concat(F.coalesce(old, F.array().cast("array<string>")), F.coalesce(new, F.array().cast("array<string>"))), lambda v: F.trim(v) != "")
     keep = lambda seen, v: F.when(F.exists(seen, lambda s: F.lower(s) == F.lower(v)), seen).otherwise(F.concat(seen, F.array(v)))
     return F.aggregate(both, F.array().cast("array<string>"), keep)
+
+
+def safe_path(path: Column) -> Column:
+    """A relative path fit for any file system; a segment that had to change carries a short hash of what it was."""
+
+    def segment(s: Column) -> Column:
+        clean = F.regexp_replace(F.regexp_replace(F.trim(s), r'[<>:"|?*\x00-\x1f]+', "_"), r"[. ]+$", "")
+        clean = F.when(clean.rlike(r"(?i)^(?:con|prn|aux|nul|com\d|lpt\d)(?:\..*)?$"), F.concat(F.lit("_"), clean)).otherwise(clean)
+        return F.when(clean == s, s).otherwise(F.concat(F.when(clean == "", "_").otherwise(clean), F.lit("-"), F.substring(F.md5(s), 1, 6)))
+
+    parts = F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda s: ~s.isin("", ".", ".."))
+    return F.array_join(F.transform(parts, segment), "/")
+
+
+def canonical_sources(sources: Column, own: Column) -> Column:
+    """A page's source list as identities, with the source it was made from appended, each once."""
+    known = F.transform(F.coalesce(sources, F.array().cast("array<string>")), source_identity)
+    return union_ignoring_case(known, F.array(source_identity(own)))
+
+
+def first_queries(queries: Column, most: int = 3) -> Column:
+    """The first few queries, each once whatever its case."""
+    return F.slice(union_ignoring_case(queries, F.array().cast("array<string>")), 1, most)
+
+
+def trim_listing(text: Column, tokens: Column, budget: int) -> Column:
+    """Headings and lines with any of the tokens, in order, as long as they fit; one that doesn't is left out and the next tried."""
+    lines = F.filter(F.split(text, "\n"), lambda line: line.startswith("#") | F.exists(tokens, lambda t: F.contains(F.lower(line), t)))
+    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("kept"))
+
+    def take(acc: Column, line: Column) -> Column:
+        used = acc["used"] + F.length(line) + 1
+        return F.when(used <= budget, F.struct(used.alias("used"), F.concat(acc["kept"], F.array(line)).alias("kept"))).otherwise(acc)
+
+    return F.array_join(F.aggregate(lines, start, take)["kept"], "\n")
+
+
+def with_captions(text: Column, captions: Column) -> Column:
+    """Embedded images with their alternative text replaced by a caption (map of address to caption), brackets and breaks removed from it."""
+    pattern = r"!\[([^\]]*)\]\(([^)\s]+)([^)]*)\)"
+    parts = F.regexp_extract_all(text, F.lit(rf"(?s){pattern}|(?:(?!!\[[^\]]*\]\().)+|!\["), 0)
+
+    def shown(part: Column) -> Column:
+        address = F.regexp_extract(part, pattern, 2)
+        caption = F.trim(F.regexp_replace(F.try_element_at(captions, address), r"[\[\]\s]+", " "))
+        return F.when(part.rlike(r"^!\[") & (F.coalesce(caption, F.lit("")) != ""), F.concat(F.lit("!["), caption, F.lit("]("), address, F.regexp_extract(part, pattern, 3), F.lit(")"))).otherwise(part)
+
+    return F.array_join(F.transform(parts, shown), "")

@@ -136,3 +136,21 @@ def cache_hits(cache: DataFrame, sources: DataFrame, files: DataFrame) -> DataFr
     equal = sources.join(cache, ["source", "hash"])
     missing = equal.select("source", F.explode("outputs").alias("path")).join(files.select("path"), "path", "left_anti").select("source").distinct()
     return equal.join(missing, "source", "left_anti").select("source").distinct()
+
+
+def deleted_keys(pages: DataFrame) -> DataFrame:
+    """Link keys of deleted pages (slug, title): those of slugs and of titles, each once."""
+    both = pages.select(F.explode(F.array("slug", "title")).alias("k")).where("k is not null")
+    return both.select(T.link_key(F.col("k")).alias("key")).where("key <> ''").distinct()
+
+
+def resolve_files(references: DataFrame, files: DataFrame, folders: Sequence[str] = ("", "wiki/sources/", "raw/sources/")) -> DataFrame:
+    """References (reference) to files (path): the first of the folders in which the file exists; null path if none does.
+
+    With and without ``.md``, whatever the case; among equals the smallest path.
+    """
+    tries = [F.concat(F.lit(f), F.col("reference"), F.lit(e)) for f in folders for e in ("", ".md")]
+    wanted = references.select("reference").distinct().select("reference", F.posexplode(F.array(*tries)).alias("rank", "_p"))
+    known = files.select("path", F.lower("path").alias("_k")).distinct()
+    best = wanted.join(known, F.lower("_p") == F.col("_k")).groupBy("reference").agg(F.min(F.struct("rank", "path"))["path"].alias("path"))
+    return references.join(best, "reference", "left")
