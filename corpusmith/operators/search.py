@@ -77,14 +77,13 @@ def page_scores(chunks: DataFrame) -> DataFrame:
     return grouped.select("page_id", (F.col("_top") + tail).alias("score"), "best_text", "chunks")
 
 
-def ranked(hits: DataFrame, key: str, most: int | None = None) -> DataFrame:
+def ranked(hits: DataFrame, key: str, most: int) -> DataFrame:
     """1-based rank by descending score, then key.
 
-    One query's hits are ranked, so there is nothing to partition by; with
-    ``most`` only that many are sorted.
+    One query's hits are ranked, so there is nothing to partition by: only the
+    ``most`` best are, after a top-k that Spark takes per partition.
     """
-    if most is not None:
-        hits = hits.orderBy(F.desc("score"), key).limit(most)
+    hits = hits.orderBy(F.desc("score"), key).limit(most)
     return hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)).cast("long"))
 
 
@@ -96,6 +95,23 @@ def fuse(by_token: DataFrame, by_vector: DataFrame, key: str = "page_id") -> Dat
     return a.join(b, key, "full_outer").withColumn("score", share("token_rank") + share("vector_rank"))
 
 
+def ranks_of(hits: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Exact rank (by descending score, then path) of a few pages among all hits: (page_id, rank).
+
+    hits: (page_id, path, score), wanted: (page_id), at most a result list long.
+    No list of all hits is sorted in one place: hits with a higher score are
+    counted by a histogram of scores (keyword scores have few values), those
+    with the same score and a smaller path by a join on the score.
+    """
+    few = F.broadcast(hits.join(F.broadcast(wanted.select("page_id")), "page_id", "left_semi").select("page_id", F.col("path").alias("_p"), F.col("score").alias("_s")))
+    steps = hits.groupBy("score").agg(F.count("*").alias("n"))
+    above = F.sum("n").over(Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1))
+    levels = steps.select(F.col("score").alias("_s"), F.coalesce(above, F.lit(0)).alias("_above"))
+    before = hits.join(few, (F.col("score") == F.col("_s")) & (F.col("path") < F.col("_p"))).groupBy(few["page_id"].alias("page_id")).agg(F.count("*").alias("_same"))
+    out = few.join(levels, "_s").join(before, "page_id", "left")
+    return out.select("page_id", (F.col("_above") + F.coalesce("_same", F.lit(0)) + 1).cast("long").alias("rank"))
+
+
 def hybrid_search(pages: DataFrame, chunks: DataFrame, query: str, vector: Sequence[float] | None, limit: int = 20) -> DataFrame:
     """Keyword and vector search fused: page_id, score, token_rank, vector_rank.
 
@@ -105,10 +121,14 @@ def hybrid_search(pages: DataFrame, chunks: DataFrame, query: str, vector: Seque
     between 1 and 50.
     """
     limit = min(max(limit, 1), 50)
-    words = ranked(keyword_scores(pages, query), "path")
+    hits = keyword_scores(pages, query)
+    first = ranked(hits.select("page_id", "path", "score"), "path", limit)
     if vector is None:
-        out = words.select("page_id", "score", F.col("rank").alias("token_rank"), F.lit(None).cast("long").alias("vector_rank"))
+        out = first.select("page_id", "score", F.col("rank").alias("token_rank"), F.lit(None).cast("long").alias("vector_rank"))
         return out.orderBy(F.desc("score"), "page_id").limit(limit)
     wanted = max(limit, 10)
     near = ranked(page_scores(nearest_chunks(chunks, vector, max(3 * wanted, 30))), "page_id", wanted)
+    # a page that no vector found needs a place among the first to come out; of the others the exact rank is looked up
+    rest = ranks_of(hits, near.join(first.select("page_id"), "page_id", "left_anti"))
+    words = first.select("page_id", "rank").unionByName(rest)
     return fuse(words, near).orderBy(F.desc("score"), "page_id").limit(limit)

@@ -8,7 +8,7 @@ PAGES = "page_id long, path string, title string, content string"
 
 def search(spark, pages, query):
     df = spark.createDataFrame([(i, p, t, c) for i, (p, t, c) in enumerate(pages)], PAGES)
-    return [r["path"] for r in S.ranked(S.keyword_scores(df, query), "path").orderBy("rank").collect()]
+    return [r["path"] for r in S.ranked(S.keyword_scores(df, query), "path", 50).orderBy("rank").collect()]
 
 
 @pytest.mark.parametrize(
@@ -63,3 +63,14 @@ def test_hybrid_without_vector(spark):
     out = S.hybrid_search(pages, chunks, "graph", None, 5).collect()
     assert [r["page_id"] for r in out] == [1, 2] and out[0]["vector_rank"] is None
     assert [r["page_id"] for r in S.hybrid_search(pages, chunks, "graph", [0.0], 5).collect()] == [1, 2]
+
+
+def test_exact_ranks(spark):
+    import random
+
+    rnd = random.Random(2)
+    rows = [(i, f"p{rnd.randrange(10**6):06}", float(rnd.randrange(5))) for i in range(200)]
+    hits = spark.createDataFrame(rows, "page_id long, path string, score double")
+    order = {r[0]: k + 1 for k, r in enumerate(sorted(rows, key=lambda r: (-r[2], r[1])))}
+    wanted = spark.createDataFrame([(i,) for i in range(0, 200, 9)] + [(999,)], "page_id long")
+    assert {r["page_id"]: r["rank"] for r in S.ranks_of(hits, wanted).collect()} == {i: order[i] for i in range(0, 200, 9)}
