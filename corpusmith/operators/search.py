@@ -103,13 +103,13 @@ def ranks_of(hits: DataFrame, wanted: DataFrame) -> DataFrame:
     counted by a histogram of scores (keyword scores have few values), those
     with the same score and a smaller path by a join on the score.
     """
-    few = F.broadcast(hits.join(F.broadcast(wanted.select("page_id")), "page_id", "left_semi").select("page_id", F.col("path").alias("_p"), F.col("score").alias("_s")))
+    few = F.broadcast(hits.join(F.broadcast(wanted.select("page_id")), "page_id", "left_semi").select(F.col("page_id").alias("_id"), F.col("path").alias("_p"), F.col("score").alias("_s")))
     steps = hits.groupBy("score").agg(F.count("*").alias("n"))
     above = F.sum("n").over(Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1))
     levels = steps.select(F.col("score").alias("_s"), F.coalesce(above, F.lit(0)).alias("_above"))
-    before = hits.join(few, (F.col("score") == F.col("_s")) & (F.col("path") < F.col("_p"))).groupBy(few["page_id"].alias("page_id")).agg(F.count("*").alias("_same"))
-    out = few.join(levels, "_s").join(before, "page_id", "left")
-    return out.select("page_id", (F.col("_above") + F.coalesce("_same", F.lit(0)) + 1).cast("long").alias("rank"))
+    before = hits.join(few, (F.col("score") == F.col("_s")) & (F.col("path") < F.col("_p"))).groupBy("_id").agg(F.count("*").alias("_same"))
+    out = few.join(levels, "_s").join(before, "_id", "left")
+    return out.select(F.col("_id").alias("page_id"), (F.col("_above") + F.coalesce("_same", F.lit(0)) + 1).cast("long").alias("rank"))
 
 
 def hybrid_search(pages: DataFrame, chunks: DataFrame, query: str, vector: Sequence[float] | None, limit: int = 20) -> DataFrame:
