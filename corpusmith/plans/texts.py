@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmith.functions import language as L
+from corpusmith.functions import predicates as P
 from corpusmith.functions import text as T
 from corpusmith.functions.records import parse_front_matter
 from corpusmith.session import load
@@ -106,6 +107,13 @@ def front_matter_records(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.size("fields").alias("fields"), entries.alias("entries"), F.coalesce(F.try_element_at("fields", F.lit("type"))[0], F.lit("")).alias("type"))
 
 
+def safe_paths(spark: SparkSession, d: str) -> DataFrame:
+    """What may be done with the paths of the change feed: ingested, imported, written as a page."""
+    rows = load(spark, d, "file_change_tasks").where("path is not null").select("path").distinct()
+    p = F.col("path")
+    return rows.select(P.ingestable(p).alias("ingestable"), P.importable(p).alias("importable"), P.safe_page_path(p).alias("page")).groupBy("ingestable", "importable", "page").agg(F.count("*").alias("paths"))
+
+
 def source_categories(spark: SparkSession, d: str) -> DataFrame:
     rows = _docs(spark, d).where("source is not null").select(category(F.col("source")).alias("category"))
     return rows.groupBy("category").agg(F.count("*").alias("documents"))
@@ -115,7 +123,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         language_id, language_mismatch, doc_titles, front_matter_fields, body_length, path_parts, source_usage, file_mentions, file_slugs,
-        review_titles, exact_duplicates, context_budget, query_tokens, tag_union, front_matter_records, source_categories,
+        review_titles, exact_duplicates, context_budget, query_tokens, tag_union, front_matter_records, source_categories, safe_paths,
     )
 }
 
@@ -153,6 +161,10 @@ _SEP = T.SEPARATORS.replace("'", "''")
 ORACLE = {
     "front_matter_records": f"""select doc_id, cast(len(l) as int) as fields, cast(len(list_filter(l, lambda x: not regexp_matches(x, '^tags:'))) + case when contains(f, 'tags:') then len(string_split(regexp_extract(f, '(?m)^tags:[ \\t]*\\[(.*)\\]', 1), ',')) else 0 end as int) as entries,
         regexp_extract(f, '(?m)^type:[ \\t]*(.*)$', 1) as type from (select doc_id, f, list_filter(string_split(f, chr(10)), lambda x: contains(x, ':')) l from (select doc_id, {_FRONT} f from documents) where f <> '')""",
+    "safe_paths": f"""with p as (select distinct path, replace(path, '\\', '/') q from file_change_tasks where path is not null), e as (select *, string_split(q, '/') parts, list_last(string_split(q, '/')) n from p)
+        select regexp_extract(lower(n), '.\\.([^.]*)$', 1) in ({", ".join(f"'{x}'" for x in P.INGESTABLE)}) and not list_contains(parts, '.cache') and not starts_with(n, '.') as ingestable,
+          len(list_filter(parts, lambda x: lower(x) in ({", ".join(f"'{x}'" for x in P.SKIPPED_FOLDERS)}) or (starts_with(x, '.') and x not in ('.', '..')))) = 0 and regexp_extract(lower(n), '.\\.([^.]*)$', 1) not in ('json', 'yaml', 'yml', 'xml') and n <> '' as importable,
+          starts_with(q, 'wiki/') and len(list_filter(parts, lambda x: x in ('', '.', '..') or regexp_matches(x, '[<>:"|?*]|[. ]$'))) = 0 as page, count(*) as paths from e group by 1, 2, 3""",
     "source_categories": "select case lower(regexp_extract(source, '.\\.([^./]*)$', 1)) " + " ".join(f"when '{e}' then '{c}'" for e, c in _CATEGORY.items()) + " else 'other' end as category, count(*) as documents from documents where source is not null group by 1",
     "language_id": f"with {_language()} select doc_id, language from lang_",
     "language_mismatch": f"with {_language()} select lower(substr(coalesce(lang, ''), 1, 2)) as stated, language, count(*) as documents from lang_ group by 1, 2",
