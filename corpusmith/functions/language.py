@@ -67,9 +67,14 @@ def language_of(text: Column) -> Column:
     """
     text = F.coalesce(text, F.lit(""))
     names = list(SCRIPTS)
-    counts = F.array(*[F.length(F.regexp_replace(text, f"[^{chars}]", "")) for chars in SCRIPTS.values()])
-    # bound once by transform, instead of being written out wherever a count is looked at
-    by_script = F.element_at(F.transform(F.array(counts), lambda n: _by_script(n, names)), 1)
+
+    def counted(rest: Column) -> Column:
+        counts = F.array(*[F.length(F.regexp_replace(rest, f"[^{chars}]+", "")) for chars in SCRIPTS.values()])
+        return F.element_at(F.transform(F.array(counts), lambda n: _by_script(n, names)), 1)
+
+    # ASCII is dropped once before scripts are counted; transform binds what is looked at several times
+    other = F.regexp_replace(text, r"[\x00-\x7F]+", "")
+    by_script = F.element_at(F.transform(F.array(other), counted), 1)
     lower = F.lower(text)
     out = F.when(by_script != "", by_script)
     for name, letters, words in LATIN:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmith.functions import text as T
+from corpusmith.session import durable
 
 RRF = 60
 
@@ -121,8 +122,10 @@ def hybrid_search(pages: DataFrame, chunks: DataFrame, query: str, vector: Seque
     between 1 and 50.
     """
     limit = min(max(limit, 1), 50)
-    hits = keyword_scores(pages, query)
-    first = ranked(hits.select("page_id", "path", "score"), "path", limit)
+    hits = keyword_scores(pages, query).select("page_id", "path", "score")
+    if vector is not None:
+        hits = durable(hits)  # scored once, looked at for the first ranks, the histogram and the exact ranks
+    first = ranked(hits, "path", limit)
     if vector is None:
         out = first.select("page_id", "score", F.col("rank").alias("token_rank"), F.lit(None).cast("long").alias("vector_rank"))
         return out.orderBy(F.desc("score"), "page_id").limit(limit)
