@@ -8,11 +8,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MODEL_ROWS = 150_000
+from corpusmith.session import durable
+
 FREQUENT = 30
+ROUNDS = 4
 
 # --- layout: which stretches of a text are running text ---------------------------------
 
@@ -219,12 +221,12 @@ class Model:
     share held fixed. Clear marks before anything but a small letter are ends.
     """
 
-    def __init__(self, seen: dict[tuple[str, str, str, str], int], rounds: int = 4):
+    def __init__(self, seen: dict[tuple[str, str, str, str], int], rounds: int = ROUNDS):
         words: Counter = Counter()
         for (_, _, nxt, shape), c in seen.items():
             words[shape, nxt] += c
         # names that follow are told apart only if they are frequent
-        self.frequent = {k for k, c in words.items() if c >= FREQUENT}
+        self.frequent = {k for k, c in words.items() if c >= FREQUENT or k[1] == "$"}
         merged: Counter = Counter()
         for (a, w, nxt, shape), c in seen.items():
             merged[a, w, nxt if (shape, nxt) in self.frequent else "", shape] += c
@@ -307,21 +309,31 @@ class Model:
                 p = min(max(self.boundary(h, w), 1e-4), 1 - 1e-4)
                 rows.append((1 - p, p * o))
             trans.append(rows)
-        forward = [trans[0][0]]
-        for t in trans[1:]:
-            f0, f1 = forward[-1]
-            z = f0 + f1
-            forward.append(((f0 * t[0][0] + f1 * t[1][0]) / z, (f0 * t[0][1] + f1 * t[1][1]) / z))
-        b0 = b1 = 1.0
-        out = []
-        for i in range(len(keys) - 1, -1, -1):
-            x0, x1 = forward[i][0] * b0, forward[i][1] * b1
-            out.append(x1 / (x0 + x1))
-            t = trans[i]
-            b0, b1 = t[0][0] * b0 + t[0][1] * b1, t[1][0] * b0 + t[1][1] * b1
-            z = b0 + b1
-            b0, b1 = b0 / z, b1 / z
-        return out[::-1]
+        return _posteriors(trans)
+
+
+def _posteriors(trans: list[list[tuple[float, float]]]) -> list[float]:
+    """Posteriors of neighbouring gaps; each has the weights of (none, boundary) after none and after a boundary."""
+    forward = [trans[0][0]]
+    for t in trans[1:]:
+        f0, f1 = forward[-1]
+        z = f0 + f1
+        forward.append(((f0 * t[0][0] + f1 * t[1][0]) / z, (f0 * t[0][1] + f1 * t[1][1]) / z))
+    b0 = b1 = 1.0
+    out = []
+    for i in range(len(trans) - 1, -1, -1):
+        x0, x1 = forward[i][0] * b0, forward[i][1] * b1
+        out.append(x1 / (x0 + x1))
+        t = trans[i]
+        b0, b1 = t[0][0] * b0 + t[0][1] * b1, t[1][0] * b0 + t[1][1] * b1
+        z = b0 + b1
+        b0, b1 = b0 / z, b1 / z
+    return out[::-1]
+
+
+def _linked(text: str, before: int, at: int) -> bool:
+    """Whether one word stands between two gaps."""
+    return at - before < 24 and len(text[before:at].split()) == 1
 
 
 def units(text: str, model: Model, memo: dict, threshold: float = 0.5) -> list[tuple[int, int]]:
@@ -333,7 +345,7 @@ def units(text: str, model: Model, memo: dict, threshold: float = 0.5) -> list[t
         i = 0
         while i < len(found):
             j = i + 1
-            while j < len(found) and found[j][0] - found[j - 1][0] < 24 and len(text[found[j - 1][0] : found[j][0]].split()) == 1:
+            while j < len(found) and _linked(text, found[j - 1][0], found[j][0]):
                 j += 1
             if j == i + 1:
                 at, key = found[i]
@@ -353,41 +365,200 @@ def units(text: str, model: Model, memo: dict, threshold: float = 0.5) -> list[t
     return out
 
 
-def boundary_counts(documents: DataFrame) -> DataFrame:
-    """Counts of what stands around possible and certain sentence ends, over all documents: (a, w, n, shape, times)."""
+# --- the same model over a whole corpus, as tables --------------------------------------
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+_PIECES = "row long, doc_id long, seq int, head string, key string, linked boolean, char_start int, char_end int, filled boolean"
+
+
+def _pieces(documents: DataFrame) -> DataFrame:
+    """Every text cut at all its gaps: one row a piece, with the context (a, w, n, shape) of the gap at its end as one string.
+
+    ``head`` is filled where a stretch begins; the key of its last piece is
+    that of a certain end. ``linked``: one word lies between the gap and the
+    one before it. char_start and char_end leave out white space.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.bool_()]
+        names = ["row", "doc_id", "seq", "head", "key", "linked", "char_start", "char_end", "filled"]
+        out: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            keys = list(seen)
-            columns = [pa.array([k[i] for k in keys], pa.string()) for i in range(4)]
-            return pa.record_batch([*columns, pa.array([seen[k] for k in keys], pa.int64())], names=["a", "w", "n", "shape", "times"])
+            columns = zip(*out, strict=True) if out else [[]] * len(names)
+            batch = pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+            out.clear()
+            return batch
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for row, doc, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                seq, text = 0, text.replace("\0", "\1")  # it separates the parts of a key
                 for begin, end in blocks(text):
-                    for _, key in gaps(text, begin, end):
-                        seen[key] += 1
-                    for key in _ends(text, begin, end):
-                        seen[key] += 1
-            if len(seen) > 50_000:
-                yield flush()
-                seen.clear()
+                    found = gaps(text, begin, end)
+                    tail, first = _ends(text, begin, end)
+                    head, s, link = "\0".join(first), begin, False
+                    for e, key in (*found, (end, tail)):
+                        if s > begin and key is not tail:
+                            link = _linked(text, s, e)
+                        piece = text[s:e].rstrip()
+                        bare = piece.lstrip()
+                        filled = bool(bare) and (bare[0].isalnum() or any(map(str.isalnum, bare)))
+                        out.append((row, doc, seq, head, "\0".join(key), link and key is not tail, s + len(piece) - len(bare), s + len(piece) if bare else -1, filled))
+                        head, s, seq = None, e, seq + 1
+                if len(out) > 50_000:
+                    yield flush()
         yield flush()
 
-    texts = documents.where(F.length("text") > 0).select("text")
-    counted = texts.mapInArrow(count, "a string, w string, n string, shape string, times long")
-    return counted.groupBy("a", "w", "n", "shape").agg(F.sum("times").alias("times"))
+    texts = documents.where(F.length("text") > 0).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return texts.mapInArrow(cut, _PIECES)
+
+
+def _counts(pieces: DataFrame) -> DataFrame:
+    """Counts of what stands around possible and certain sentence ends, over all pieces: (key, a, w, n, shape, times)."""
+    each = pieces.groupBy("key").agg(F.count("*").alias("times")).unionByName(
+        pieces.where("head is not null").groupBy(F.col("head").alias("key")).agg(F.count("*").alias("times"))
+    )
+    part = F.split("key", "\0")
+    return each.groupBy("key").agg(F.sum("times").alias("times")).select("key", *[part[i].alias(c) for i, c in enumerate(("a", "w", "n", "shape"))], "times")
 
 
-def train(documents: DataFrame, most: int = MODEL_ROWS) -> Model:
-    """The hidden-event model of a corpus. Counts cover all documents; the ``most`` most frequent contexts are kept."""
-    rows = boundary_counts(documents).orderBy(F.desc("times"), "a", "w", "n", "shape").limit(most).toArrow()
+def boundary_counts(documents: DataFrame) -> DataFrame:
+    """Counts of what stands around possible and certain sentence ends, over all documents: (a, w, n, shape, times)."""
+    return _counts(_pieces(documents)).drop("key")
+
+
+def train(documents: DataFrame) -> Model:
+    """The hidden-event model of a corpus whose contexts fit the driver: all of them are collected. sentences() needs no such model."""
+    rows = boundary_counts(documents).toArrow()
     columns = [rows.column(c).to_pylist() for c in ("a", "w", "n", "shape")]
     return Model(dict(zip(zip(*columns, strict=True), rows.column("times").to_pylist(), strict=True)))
 
 
+def context_odds(counts: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """What Model says of every distinct context, computed in tables: (key, p, p_start, odds).
+
+    counts: (key, a, w, n, shape, times). p is the boundary's prior after the
+    history, p_start that after a boundary, odds those of the word that
+    follows. Every context counts, however rare and however many there are;
+    nothing but the sums by shape (six) passes through the driver.
+    """
+    words = counts.groupBy("shape", "n").agg((F.sum("times") >= FREQUENT).alias("frequent"))
+    told = counts.join(words, ["shape", "n"]).withColumn("n", F.when(F.col("frequent") | (F.col("n") == "$"), F.col("n")).otherwise("")).drop("frequent")
+    inner = told.where("w <> '^'")
+    count, ended = F.sum("times"), F.sum(F.when(F.col("n") == "$", F.col("times")).otherwise(0))
+    clear = inner.where("w like '~%' and shape <> 'l'").agg(count.alias("all"), ended.alias("end")).first()
+    at_end = (1.0 + (clear["end"] or 0)) / (1.0 + (clear["all"] or 0))
+
+    by_both = inner.groupBy("a", "w").agg(count.alias("total"), ended.alias("ended"))
+    by_word = by_both.groupBy("w").agg(
+        F.sum("total").alias("total_w"),
+        F.sum("ended").alias("ended_w"),
+        F.sum(F.when(F.col("a") == "^", F.col("total")).otherwise(0)).alias("total_s"),
+        F.sum(F.when(F.col("a") == "^", F.col("ended")).otherwise(0)).alias("ended_s"),
+    )
+    size = F.when(F.col("w").startswith("~"), 9).otherwise(F.length("w") - 1)
+    base = F.when(size > 4, 0.97).when(size == 4, 0.85).when(F.col("w") == "A.", 0.3).otherwise(0.75)
+    weight = F.when(size > 4, 20).when(size == 4, 6).otherwise(3)
+    one = F.least(F.lit(1.0), (F.col("ended_w") / at_end + weight * base) / (F.col("total_w") + weight))
+
+    def boundary(total: str, ended: str) -> Column:
+        plain = F.col("w").endswith(".") & (F.col("w") != "...")
+        both = F.least(F.lit(0.995), (F.col(ended) / at_end + 6 * one) / (F.col(total) + 6))
+        return F.when(plain, both).otherwise(0.97)
+
+    priors = by_both.join(by_word, "w").select(
+        "a", "w", F.when(F.col("a") == "th", 0.97).otherwise(boundary("total", "ended")).alias("p"), boundary("total_s", "ended_s").alias("p_start")
+    )
+    sure = (F.col("shape") != "l") & ((F.col("a") == "th") | F.col("w").startswith("~") | (F.col("w") == "...") | ~F.col("w").endswith("."))
+    contexts = durable(
+        told.where("w <> '^' and n <> '$'").join(priors, ["a", "w"]).select("key", "w", "n", "shape", "p", "p_start", sure.alias("sure"), "times")
+    )
+    heads = durable(told.where("w = '^'").groupBy("shape", "n").agg(F.sum("times").cast("double").alias("x")))
+    # a posterior depends on the history by its prior alone: one row a (w, shape, n), with how often each prior occurs
+    clipped = F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), F.col("p")))
+    first = F.when(F.col("shape") == "l", 0.01).otherwise(F.col("p"))
+    table = durable(
+        contexts.groupBy("w", "shape", "n", "sure", (clipped / (1 - clipped)).alias("prior"), first.alias("first"))
+        .agg(F.sum("times").cast("double").alias("times"))
+        .groupBy("w", "shape", "n", "sure")
+        .agg(F.collect_list(F.struct("prior", "first", "times")).alias("parts"), F.sum("times").alias("c"))
+    )
+
+    def odds(x: float, y: float, word: str, kind: str, own: str, of: str) -> Column:
+        """One of the two likelihoods of Model.odds; x and y are sums by shape and over all."""
+        whole = (x + 0.5) / (y + 4)
+        follows = (F.col(word) + 0.5) / (x + 20)
+        share = (F.col(kind) + 3 * whole) / (F.col(of) + 3)
+        return share * (F.col(own) + 3 * follows) / (F.col(kind) + 3)
+
+    if table.isEmpty():
+        return contexts.select("key", "p", "p_start", F.lit(1.0).alias("odds"))
+    for step in range(rounds):
+        if step == 0:
+            post = lambda s: s["first"]
+        else:
+            post = lambda s: F.when(F.col("sure"), s["first"]).otherwise(s["prior"] * F.col("odds") / (1 + s["prior"] * F.col("odds")))
+        start = F.aggregate("parts", F.lit(0.0), lambda acc, s: acc + s["times"] * post(s))  # noqa: B023
+        own = table.withColumn("x3", start).withColumn("i3", F.col("c") - F.col("x3"))
+        kinds = own.groupBy("w", "shape").agg(F.sum("x3").alias("x2"), F.sum("i3").alias("i2"))
+        histories = kinds.groupBy("w").agg(F.sum("x2").alias("x1"), F.sum("i2").alias("i1"))
+        nexts = (
+            own.select("shape", "n", F.col("x3").alias("x"), F.col("i3").alias("i"))
+            .unionByName(heads.withColumn("i", F.lit(0.0)))
+            .groupBy("shape", "n").agg(F.sum("x").alias("xn"), F.sum("i").alias("in"))
+        )
+        shapes = {r["shape"]: (r["x"], r["i"]) for r in nexts.groupBy("shape").agg(F.sum("xn").alias("x"), F.sum("in").alias("i")).collect()}
+        all_x, all_i = (sum(v[at] for v in shapes.values()) for at in (0, 1))
+        sums = F.create_map(*[c for k, v in shapes.items() for c in (F.lit(k), F.array(*map(F.lit, v)))])
+        x, i = sums[F.col("shape")][0], sums[F.col("shape")][1]
+        ratio = odds(x, F.lit(all_x), "xn", "x2", "x3", "x1") / F.greatest(odds(i, F.lit(all_i), "in", "i2", "i3", "i1"), F.lit(1e-12))
+        table = durable(
+            own.join(kinds, ["w", "shape"]).join(histories, "w").join(nexts, ["shape", "n"]).select("w", "shape", "n", "sure", "parts", "c", ratio.alias("odds"))
+        )
+    return contexts.join(table.select("w", "shape", "n", "odds"), ["w", "shape", "n"]).select("key", "p", "p_start", "odds")
+
+
+def _decide(threshold: float = 0.5):
+    """Pieces with their gaps' figures, sorted by (row, seq), as the units they form."""
+
+    def close(t: pa.Table) -> pa.RecordBatch:
+        get = lambda c: t.column(c).to_numpy()
+        last, linked = get("last").astype(bool), get("linked").astype(bool)
+        # the gap that ends a stretch has no figures
+        p, p_start = np.clip(get("p"), 1e-4, 1 - 1e-4), np.clip(get("p_start"), 1e-4, 1 - 1e-4)
+        odds = get("odds")
+        with np.errstate(invalid="ignore"):
+            whole = p / (1 - p) * odds
+            cut = last | (whole / (1 + whole) >= threshold)
+        ends = np.flatnonzero(linked & ~np.r_[linked[1:], False])
+        begins = np.flatnonzero(~linked & np.r_[linked[1:], False])
+        for b, e in zip(begins.tolist(), ends.tolist(), strict=True):
+            trans = [[(1 - x, x * o) for x in (float(p[k]), float(p_start[k]))] for k in range(b, e + 1) for o in (float(odds[k]),)]
+            cut[b : e + 1] = np.array(_posteriors(trans)) >= threshold
+        at = np.flatnonzero(np.r_[True, cut[:-1]]) if len(cut) else np.empty(0, int)
+        s, e = get("char_start").astype(np.int64), get("char_end").astype(np.int64)
+        s = np.where(e < 0, 2**31 - 1, s)
+        if len(at):
+            s, e, filled = np.minimum.reduceat(s, at), np.maximum.reduceat(e, at), np.logical_or.reduceat(get("filled").astype(bool), at)
+            keep = np.flatnonzero(filled)
+            s, e, ids = s[keep], e[keep], t.column("doc_id").take(pa.array(at[keep])).combine_chunks()
+        else:
+            ids = pa.array([], pa.int64())
+        return pa.record_batch([ids, pa.array(s, pa.int32()), pa.array(e, pa.int32())], names=["doc_id", "char_start", "char_end"])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            ended = np.flatnonzero(batch.column(batch.schema.get_field_index("last")).to_numpy(zero_copy_only=False))
+            if not len(ended):
+                rest.append(batch)
+                continue
+            upto = int(ended[-1]) + 1
+            yield close(pa.Table.from_batches([*rest, batch.slice(0, upto)]))
+            rest = [batch.slice(upto)] if upto < batch.num_rows else []
+
+    return decide
+
+
 def sentences(documents: DataFrame, model: Model | None = None) -> DataFrame:
     """One row per sentence unit of every document: (doc_id, char_start, char_end), offsets in code points.
 
@@ -401,10 +572,20 @@ def sentences(documents: DataFrame, model: Model | None = None) -> DataFrame:
     that have no such marks; a boundary event is scored against none given the
     words before and after, with forward and backward sums over candidates that
     are one word apart. The model is trained on the same corpus without labels,
-    from the ends and beginnings of paragraphs, headings and list items; its
-    size is bounded (MODEL_ROWS), so it travels to the tasks as a broadcast.
+    from the ends and beginnings of paragraphs, headings and list items. It
+    stays in tables: texts are read once and cut at every candidate, counted
+    contexts of any number are judged by context_odds and joined to the
+    candidates. A model that is given instead travels as a broadcast.
     """
-    model = model or train(documents)
+    if model is None:
+        pieces = durable(_pieces(documents))
+        figures = context_odds(durable(_counts(pieces)))
+        judged = pieces.join(figures, "key", "left").select(
+            "row", "seq", "doc_id", F.col("key").endswith("\0$\0$").alias("last"), "linked", "char_start", "char_end", "filled", "p", "p_start", "odds"
+        )
+        ordered = judged.repartition("row").sortWithinPartitions("row", "seq")
+        return ordered.mapInArrow(_decide(), "doc_id long, char_start int, char_end int")
+
     shared = documents.sparkSession.sparkContext.broadcast(model.__dict__)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

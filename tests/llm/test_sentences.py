@@ -94,3 +94,22 @@ def test_forward_backward_equals_enumeration(model):
 def test_long_text_and_empty(spark, model):
     assert len(cut("The river quotes the ledger. " * 20000, model)) == 20000
     assert S.sentences(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_tables_equal_local_model(spark, corpus, model):
+    docs = spark.createDataFrame([c[:2] for c in corpus] + [(900, None), (901, "A\0B. It merges.\n\nJ. R. Lemano tracks it"), (901, "One. Two")], "doc_id long, text string")
+    out = sorted(map(tuple, S.sentences(docs).collect()))
+    model = S.train(docs)
+    assert out == sorted((i, s, e) for i, t in map(tuple, docs.collect()) if t for s, e in S.units(t, model, {}))
+
+
+def test_rare_contexts_count_however_many_there_are(spark):
+    """An abbreviation before 60 names, each once, ends three paragraphs; 160,000 other contexts are more frequent than its own."""
+    names = [f"{a}{b}lemas" for a in "BCDFGHJK" for b in "aeiouyrl"][:60]
+    told = [f"The river saw zq. {n} quoting ledgers. The bridge quotes ledgers." for n in names] + ["The river saw zq."] * 3
+    noise = [" ".join(f"It saw {k:05x}g. Then it saw {k:05x}g. Then" for k in range(j, j + 1600)) + " it quotes ledgers." for j in range(0, 160_000, 1600)]
+    docs = spark.createDataFrame(list(enumerate(told)) + list(enumerate(noise, 1000)), "doc_id long, text string")
+    out = {i: [] for i in range(len(told))}
+    for r in S.sentences(docs).where("doc_id < 1000").collect():
+        out[r["doc_id"]].append(told[r["doc_id"]][r["char_start"] : r["char_end"]])
+    assert [sorted(out[i]) for i in range(60)] == [sorted([f"The river saw zq. {n} quoting ledgers.", "The bridge quotes ledgers."]) for n in names]
