@@ -131,7 +131,8 @@ def multi_value_truth(
     count patterns. The collected parameters are two numbers a source, at most
     ``9 known types + other`` x 4 confidences. Values compare trimmed and
     lower-cased; stand-ins and nulls claim nothing; repeated rows count once.
-    Groups with one slug give nothing. Empty input gives an empty result.
+    Groups with one slug give nothing; where one member of several fills a
+    field, its claim alone decides. Empty input gives an empty result.
     """
     known = ["source", "entity", "concept", "comparison", "query", "synthesis", "thesis", "methodology", "finding"]
     kind = F.lower(trimmed(F.col("type")))
@@ -163,10 +164,13 @@ def multi_value_truth(
     )
     voters = (
         claims.select("group_id", "field", "slug", "source").distinct().groupBy("group_id", "field", "source").agg(F.count("*").alias("n"))
-        .groupBy("group_id", "field").agg(F.sort_array(F.collect_list(F.struct("source", "n"))).alias("all"), F.sum("n").alias("voters"))
+        .groupBy("group_id", "field").agg(F.sort_array(F.collect_list(F.struct("source", "n"))).alias("all"))
     )
+    # members that fill nothing count here: a field that one of several members fills still has values
+    several = member.groupBy("group_id").agg(F.min("slug").alias("_a"), F.max("slug").alias("_b")).where(F.col("_a") != F.col("_b")).select("group_id")
     observed = (
-        facts.join(voters.where(F.col("voters") > 1), ["group_id", "field"])
+        facts.join(voters, ["group_id", "field"])
+        .join(several, "group_id", "left_semi")
         .withColumn("yes", F.map_from_entries("yes"))
         .withColumn(
             "pattern",

@@ -104,3 +104,12 @@ def test_truth_matches_plain_em(spark):
         q = {s: ((a + 7) / (b + 10), (c + 2) / (d + 10)) for s, (a, b, c, d) in sums.items()}
     assert got.keys() == p.keys()
     assert max(abs(got[k] - p[k]) for k in p) < 1e-4
+
+
+def test_truth_of_a_field_that_one_member_fills(spark):
+    rows = [row(1, "a", tags=["x", "y"], confidence="high"), row(1, "b", sources=["s"]), row(2, "a", tags=["z"]), row(2, "a", tags=["z"])]
+    rows += [row(9, s, tags=["p"], confidence="high") for s in "ab"]
+    out = S.multi_value_truth(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r["group_id"], r["field"], r["value"], r["support"], r["kept"]) for r in out} == {
+        (1, "tags", "x", 1, True), (1, "tags", "y", 1, True), (1, "sources", "s", 1, True), (9, "tags", "p", 2, True),
+    }
