@@ -118,9 +118,7 @@ def nearest(
                 row, centre = np.repeat(row, each), np.repeat(centre, each)
                 slot = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
                 part = offsets[centre] + slot
-                # a key of its own for every question, so that none is taken for a copy
-                own = -1 - (key[row] ^ (row.astype(np.int64) * 1_000_003 + part * 7_919)) // 2
-                parts.append((row, part, own, True))
+                parts.append((row, part, key[row], True))
             for at, part, own, is_query in parts:
                 yield pa.record_batch(
                     [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(part.astype(np.int32)), pa.array(own), pa.array(np.full(len(at), is_query))],
@@ -128,7 +126,8 @@ def nearest(
                 )
 
     placed = rows.mapInArrow(place, "id string, embedding array<float>, part int, own long, is_query boolean")
-    copies = Window.partitionBy("part", "own", "is_query").orderBy("id")
+    # a question is never a copy of another one: its id is part of its key
+    copies = Window.partitionBy("part", "own", F.when(F.col("is_query"), F.col("id"))).orderBy("id")
     placed = placed.withColumn("_rank", F.row_number().over(copies)).where(F.col("_rank") <= k + 1).drop("_rank")
 
     def answer(group: pa.Table) -> pa.Table:

@@ -18,6 +18,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("query_id").alias("probe_chunk_id"), F.col("id").alias("chunk_id"))
 
 
+def p1_dense(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours of a twentieth of all vectors instead of a few probes."""
+    vectors = neighbors.current_vectors(load(spark, d, "wiki_chunks"))
+    found = neighbors.nearest(vectors, vectors.where(F.pmod(F.xxhash64("id"), F.lit(20)) == 0).select("id"))
+    return found.select("query_id", "id", F.round("distance", 5).alias("distance"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return survivorship.representatives_by_field(load(spark, d, "merge_candidates"))
 
@@ -79,5 +86,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p3_found, p3_multi_value_truth, p4_found, p4_tag_classes, p5_found, p5_name_groups, p6_pack, p7_found, p7_leak_spans, p8_found)
+    f.__name__: f for f in (p1_found, p1_dense, p3_found, p3_multi_value_truth, p4_found, p4_tag_classes, p5_found, p5_name_groups, p6_pack, p7_found, p7_leak_spans, p8_found)
 }

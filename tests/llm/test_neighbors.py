@@ -67,3 +67,17 @@ def test_current_vectors(spark):
     rows = [("a", [1.0], datetime(2024, 1, 1)), ("a", [2.0], datetime(2024, 1, 2)), ("a", [3.0], None), (None, [1.0], None), ("b", None, datetime(2024, 1, 1))]
     df = spark.createDataFrame(rows, "chunk_id string, embedding array<float>, upserted_at timestamp_ntz")
     assert {r["id"]: r["embedding"] for r in N.current_vectors(df).collect()} == {"a": [2.0], "b": None}
+
+
+def test_every_one_of_many_equal_rows_is_answered(spark):
+    """Equal vectors at the same place of many Arrow batches are questions of their own."""
+    rows = [(f"c{i:03}", [1.0, 2.0, 3.0, 4.0], 0, 0) for i in range(200)] + [("z", [9.0, 9.0, 9.0, 9.0], 0, 0)]
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "4")
+    try:
+        out = N.nearest(frame(spark, rows), k=3, dim=4).toPandas()
+    finally:
+        spark.conf.set(size, before)
+    got = {q: sorted(g.id) for q, g in out.groupby("query_id")}
+    assert got == {r[0]: [c for c in ("c000", "c001", "c002", "c003") if c != r[0]][:3] for r in rows}
