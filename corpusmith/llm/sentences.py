@@ -24,7 +24,7 @@ _FRONT = re.compile(r"\s*---[ \t]*\n(?:.*\n)*?---[ \t]*(?:\n|$)")
 
 
 # Marks that end a line before a numbered item.
-_LINE_END = ".!?…。！？؟।።፧;”»」』）)"
+_LINE_END = ".!?…。！？؟।።፧;”»」』）)។៕။།༎"
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
@@ -75,10 +75,10 @@ def blocks(text: str) -> list[tuple[int, int]]:
 # --- gaps: where a sentence may end -----------------------------------------------------
 
 # Sentence-final marks, and the brackets and quotes around speech.
-_FINAL = ".!?…。！？؟।።፧;;"
-_WIDE = "。！？।።፧"
+_FINAL = ".!?…。！？؟।።፧;;។៕။།༎"
+_WIDE = "。！？।።፧។៕။།༎"
 _OPEN, _CLOSE = "“„«「『（(《", "”»」』）)》“"
-_EVENT = re.compile(rf"[{_FINAL}]+|[“„«”»「」『』（）()《》]|(?<=[฀-๿])[ \n]+(?=[฀-๿])")
+_EVENT = re.compile(rf"[{_FINAL}]+(?: །+)*|[“„«”»「」『』（）()《》]|(?<=[฀-໿])[ \n]+(?=[฀-໿])")
 _AFTER = re.compile(r"[\"'*_`”»」』）)》’“\]]*(?:[   ](?=»)»)?[*_`]*")
 _MAY_CLOSE = set("\"'*_`”»」』）)》’“] \u00a0\u202f")
 _INVISIBLE = "\u200b\ufeff"
@@ -161,7 +161,7 @@ def gaps(text: str, begin: int, end: int) -> list[tuple[int, tuple[str, str, str
         if mid_closed and shape not in "Uwd":
             continue  # quoted speech that the sentence continues after
         if thai:
-            a, w, n = "th", "ไ" + text[max(begin, s - 2) : s], text[to : to + 3]
+            a, w, n, shape = "th", "ไ" + text[max(begin, s - 2) : s], text[to : to + 3], "t"
         else:
             if mark == ".":
                 before = text[max(begin, s - 40) : s].rsplit(None, 2)
@@ -183,8 +183,8 @@ def _ends(text: str, begin: int, end: int) -> tuple[tuple[str, str, str, str], t
     """What a stretch says for certain: how its last sentence ends and its first begins."""
     nxt = _NEXT.match(text, begin, end)
     word = nxt.group(1)
-    if "฀" <= text[begin : begin + 1] <= "๿":
-        first = ("", "^", text[begin : begin + 3], "c")
+    if "฀" <= text[begin : begin + 1] <= "໿":
+        first = ("", "^", text[begin : begin + 3], "t")
     else:
         shape = _shape(word)
         if text.startswith("[[", begin):
@@ -197,7 +197,7 @@ def _ends(text: str, begin: int, end: int) -> tuple[tuple[str, str, str, str], t
         a = _class(parts[-2], 4) if len(parts) > 1 else ""
         return (a, _class(w, 6 if "." not in w else 9) + ".", "$", "$"), first
     mark = tail[-1:]
-    if "฀" <= mark <= "๿":
+    if "฀" <= mark <= "໿":
         return ("th", "ไ" + tail[-2:], "$", "$"), first
     w = "..." if mark == "." else "!" if mark and mark in "!?" else mark if mark and mark in _FINAL else "-"
     return ("", w, "$", "$"), first
@@ -206,6 +206,11 @@ def _ends(text: str, begin: int, end: int) -> tuple[tuple[str, str, str, str], t
 # --- the hidden-event model -------------------------------------------------------------
 
 
+def _spaced(w: str) -> bool:
+    """Whether a history is that of a space in a script that ends sentences by spaces."""
+    return w[:1] == "ไ" and not w.endswith(".")
+
+
 class Model:
     """Probabilities of a boundary event between two words, by interpolated n-gram counts.
 
@@ -218,7 +223,8 @@ class Model:
     boundaries a share ``at_end`` (that of clear marks) falls there, so a word
     that ended n stretches ended n / at_end sentences. What follows a boundary
     and what follows none is found by expectation-maximisation, with that
-    share held fixed. Clear marks before anything but a small letter are ends.
+    share held fixed. Spaces in Thai and Lao are judged in the same way, by what
+    stands before stretch ends and before spaces. Clear marks before anything but a small letter are ends.
     """
 
     def __init__(self, seen: dict[tuple[str, str, str, str], int], rounds: int = ROUNDS):
@@ -231,6 +237,7 @@ class Model:
         for (a, w, nxt, shape), c in seen.items():
             merged[a, w, nxt if (shape, nxt) in self.frequent else "", shape] += c
         seen = merged
+        thai = thai_end = 0
         self.ended: Counter = Counter()
         self.total: Counter = Counter()
         clear_end = clear = 1.0
@@ -241,14 +248,18 @@ class Model:
                 self.total[k] += c
                 if nxt == "$":
                     self.ended[k] += c
+            if _spaced(w):
+                thai += c
+                thai_end += c * (nxt == "$")
             if w[0] == "~" and shape != "l":
                 clear += c
                 clear_end += c * (nxt == "$")
         self.at_end = clear_end / clear
+        self.thai = min(1.0, (thai_end / self.at_end + 20 * 0.97) / (thai + 20))
         keys = [k for k in seen if k[1] != "^" and k[2] != "$"]
         n = np.array([seen[k] for k in keys], float)
         post = np.array([0.01 if k[3] == "l" else self.boundary(k[0], k[1]) for k in keys])
-        sure = np.array([k[3] != "l" and (k[0] == "th" or k[1][0] == "~" or k[1] == "..." or not k[1].endswith(".")) for k in keys], bool)
+        sure = np.array([k[3] != "l" and not _spaced(k[1]) and (k[1][0] == "~" or k[1] == "..." or not k[1].endswith(".")) for k in keys], bool)
         for _ in range(rounds):
             start: Counter = Counter()
             inside: Counter = Counter()
@@ -267,7 +278,9 @@ class Model:
 
     def boundary(self, a: str, w: str) -> float:
         """Share of boundaries after this history, among all places after it."""
-        if a == "th" or not w.endswith(".") or w == "...":
+        if _spaced(w):
+            return min((self.ended[w] / self.at_end + 6 * self.thai) / (self.total[w] + 6), 0.995)
+        if not w.endswith(".") or w == "...":
             return 0.97
         # the longer a word, the more it takes to show that its full stop abbreviates
         size = 9 if w[0] == "~" else len(w) - 1
@@ -285,7 +298,8 @@ class Model:
         def given(seen: Counter) -> float:
             whole = (seen[shape] + 0.5) / (seen[""] + 4)
             word = (seen[shape, nxt] + 0.5) / (seen[shape] + 20)
-            kind = (seen[w, shape] + 3 * whole) / (seen[w, ""] + 3)
+            # a space between letters of such a script is followed by nothing else
+            kind = 1.0 if shape == "t" else (seen[w, shape] + 3 * whole) / (seen[w, ""] + 3)
             return kind * (seen[w, shape, nxt] + 3 * word) / (seen[w, shape] + 3)
 
         return given(self.after) / max(given(self.inside), 1e-12)
@@ -439,14 +453,17 @@ def context_odds(counts: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     counts: (key, a, w, n, shape, times). p is the boundary's prior after the
     history, p_start that after a boundary, odds those of the word that
     follows. Every context counts, however rare and however many there are;
-    nothing but the sums by shape (six) passes through the driver.
+    nothing but the sums by shape (seven) passes through the driver.
     """
     words = counts.groupBy("shape", "n").agg((F.sum("times") >= FREQUENT).alias("frequent"))
     told = counts.join(words, ["shape", "n"]).withColumn("n", F.when(F.col("frequent") | (F.col("n") == "$"), F.col("n")).otherwise("")).drop("frequent")
     inner = told.where("w <> '^'")
     count, ended = F.sum("times"), F.sum(F.when(F.col("n") == "$", F.col("times")).otherwise(0))
-    clear = inner.where("w like '~%' and shape <> 'l'").agg(count.alias("all"), ended.alias("end")).first()
-    at_end = (1.0 + (clear["end"] or 0)) / (1.0 + (clear["all"] or 0))
+    spaced = F.col("w").startswith("ไ") & ~F.col("w").endswith(".")
+    sums = {r["spaced"]: r for r in inner.where(spaced | F.expr("w like '~%' and shape <> 'l'")).groupBy(spaced.alias("spaced")).agg(count.alias("all"), ended.alias("end")).collect()}
+    clear, thai = ((sums[k]["end"], sums[k]["all"]) if k in sums else (0, 0) for k in (False, True))
+    at_end = (1.0 + clear[0]) / (1.0 + clear[1])
+    rate = min(1.0, (thai[0] / at_end + 20 * 0.97) / (thai[1] + 20))
 
     by_both = inner.groupBy("a", "w").agg(count.alias("total"), ended.alias("ended"))
     by_word = by_both.groupBy("w").agg(
@@ -463,12 +480,13 @@ def context_odds(counts: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     def boundary(total: str, ended: str) -> Column:
         plain = F.col("w").endswith(".") & (F.col("w") != "...")
         both = F.least(F.lit(0.995), (F.col(ended) / at_end + 6 * one) / (F.col(total) + 6))
-        return F.when(plain, both).otherwise(0.97)
+        gap = F.least(F.lit(0.995), (F.col("ended_w") / at_end + 6 * rate) / (F.col("total_w") + 6))
+        return F.when(spaced, gap).when(plain, both).otherwise(0.97)
 
     priors = by_both.join(by_word, "w").select(
-        "a", "w", F.when(F.col("a") == "th", 0.97).otherwise(boundary("total", "ended")).alias("p"), boundary("total_s", "ended_s").alias("p_start")
+        "a", "w", boundary("total", "ended").alias("p"), boundary("total_s", "ended_s").alias("p_start")
     )
-    sure = (F.col("shape") != "l") & ((F.col("a") == "th") | F.col("w").startswith("~") | (F.col("w") == "...") | ~F.col("w").endswith("."))
+    sure = (F.col("shape") != "l") & ~spaced & (F.col("w").startswith("~") | (F.col("w") == "...") | ~F.col("w").endswith("."))
     contexts = durable(
         told.where("w <> '^' and n <> '$'").join(priors, ["a", "w"]).select("key", "w", "n", "shape", "p", "p_start", sure.alias("sure"), "times")
     )
@@ -487,7 +505,7 @@ def context_odds(counts: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         """One of the two likelihoods of Model.odds; x and y are sums by shape and over all."""
         whole = (x + 0.5) / (y + 4)
         follows = (F.col(word) + 0.5) / (x + 20)
-        share = (F.col(kind) + 3 * whole) / (F.col(of) + 3)
+        share = F.when(F.col("shape") == "t", 1.0).otherwise((F.col(kind) + 3 * whole) / (F.col(of) + 3))
         return share * (F.col(own) + 3 * follows) / (F.col(kind) + 3)
 
     if table.isEmpty():

@@ -113,3 +113,23 @@ def test_rare_contexts_count_however_many_there_are(spark):
     for r in S.sentences(docs).where("doc_id < 1000").collect():
         out[r["doc_id"]].append(told[r["doc_id"]][r["char_start"] : r["char_end"]])
     assert [sorted(out[i]) for i in range(60)] == [sorted([f"The river saw zq. {n} quoting ledgers.", "The bridge quotes ledgers."]) for n in names]
+
+
+def test_spaces_inside_thai_sentences(spark):
+    """A space before the repetition mark, which never ends a paragraph, doesn't end a sentence; other spaces do."""
+    rnd = random.Random(5)
+    starts, ends = ["หน้า", "โดย", "แมว", "ครู"], ["สัญญา", "ปลา", "ลิงก์", "บ้าน"]
+    say = lambda: f"{rnd.choice(starts)}เขียนมาก ๆ{rnd.choice(ends)}" if rnd.random() < 0.5 else f"{rnd.choice(starts)}อ่าน{rnd.choice(ends)}"
+    told = [[say() for _ in range(rnd.randint(1, 3))] for _ in range(300)]
+    docs = [(i, " ".join(s)) for i, s in enumerate(told)] + [(1000 + i, "The river quotes ledgers. The bridge quotes ledgers.") for i in range(100)]
+    out = {i: [] for i in range(300)}
+    for r in S.sentences(spark.createDataFrame(docs, "doc_id long, text string")).where("doc_id < 1000").collect():
+        out[r["doc_id"]].append((r["char_start"], docs[r["doc_id"]][1][r["char_start"] : r["char_end"]]))
+    assert [[t for _, t in sorted(out[i])] for i in range(300)] == told
+
+
+def test_marks_of_unspaced_scripts(model):
+    assert cut("ខ្ញុំសរសេរ។ គាត់អាន។", model) == ["ខ្ញុំសរសេរ។", "គាត់អាន។"]
+    assert cut("သူရေးသည်။ သူဖတ်သည်။", model) == ["သူရေးသည်။", "သူဖတ်သည်။"]
+    assert cut("ཡི་གེ་འབྲི། །དེབ་ཀློག །", model)[0] == "ཡི་གེ་འབྲི། །"
+    assert cut("ຂ້ອຍຂຽນ ລາວອ່ານ", model) == ["ຂ້ອຍຂຽນ", "ລາວອ່ານ"]
