@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,15 +26,108 @@ def trimmed(value: Column) -> Column:
     return F.regexp_replace(value, r"(?U)^[\s\x{FEFF}\x{200B}]+|[\s\x{FEFF}\x{200B}]+$", "")
 
 
-def filled(value: Column) -> Column:
-    """Whether a string says something: neither null, blank, punctuation alone nor a stand-in."""
-    text = trimmed(value)
-    return F.coalesce(text.rlike(r"[\p{L}\p{N}\p{S}]") & ~F.lower(text).isin(STAND_INS), F.lit(False))
+# What speaks for or against a value: the name of each witness with how often it is first believed to
+# accept a value that says something and one that says nothing, and with how many claims that belief weighs.
+WITNESSES = {
+    "word": (0.999999, 0.3, 1e6),  # it isn't a known stand-in
+    "letters": (0.999999, 0.7, 1e6),  # it has a letter, digit or symbol
+    "rare": (0.99, 0.1, 100.0),  # it doesn't stand on more than a 200th of all members, in several groups
+    "own": (0.99, 0.1, 100.0),  # it doesn't stand in several fields of a 2,000th of all members, in several groups
+}
+PROSE = ["title", "description", "content"]
+COMMON, SPREAD, LEAST = 200, 2000, 10
+
+
+def _local(text: Column) -> Column:
+    """What a trimmed value alone shows, in two bits: no known stand-in, not only punctuation. Null shows neither."""
+    says = lambda test, bit: F.when(F.coalesce(test, F.lit(False)), bit).otherwise(0)
+    return says(text.isNotNull() & ~F.lower(text).isin(STAND_INS), 1) + says(text.rlike(r"[\p{L}\p{N}\p{S}]"), 2)
+
+
+def _value_key(text: Column) -> Column:
+    return F.xxhash64(F.lower(text))
 
 
-def list_filled(values: Column) -> Column:
-    """Whether any element of a list says something."""
-    return F.coalesce(F.exists(values, filled), F.lit(False))
+class Values:
+    """Which values say something: a latent two-sided quality model of witnesses.
+
+    Every claim (a member fills a field with a value) is true or a stand-in,
+    which nobody observes. Witnesses accept or reject each value; how often
+    each accepts a true one (sensitivity) and rejects a stand-in (specificity)
+    is inferred from all claims by expectation-maximisation, run until the
+    rates stand still. Two witnesses look at the value itself, two at where
+    else in the corpus it stands (prose fields only; on the others they
+    abstain). So a stand-in nobody listed is found by being everywhere, and a
+    value stays whatever else its record's other members say: several spellings
+    of a title are all true.
+
+    The iterations run over patterns of testimony, at most 36. Values that the
+    last two reject are collected as hashes: each stands on a 2,000th of the
+    members or more, so there are at most 4 x 2,000.
+    """
+
+    def __init__(self, members: DataFrame):
+        fields = [*PROSE, "created"]
+        total = members.count()
+        told = members.where(F.col("group_id").isNotNull() & F.col("slug").isNotNull())
+        said = told.select("group_id", F.explode(F.array(*[F.struct(F.lit(1 << i).alias("bit"), trimmed(F.col(c)).alias("text")) for i, c in enumerate(fields)])).alias("s"))
+        known = said.where(F.length("s.text") > 0).groupBy(_value_key(F.col("s.text")).alias("key"))
+        seen = known.agg(F.count("*").alias("n"), F.min("group_id").alias("g"), F.max("group_id").alias("h"), F.bit_or("s.bit").alias("bits"))
+        seen = seen.where((F.col("g") != F.col("h")) & (F.col("n") >= max(LEAST, total / SPREAD)))
+        rows = seen.select("key", (F.col("n") >= total / COMMON).alias("common"), (F.bit_count("bits") > 1).alias("spread")).collect()
+        self.common = [r["key"] for r in rows if r["common"]]
+        self.spread = [r["key"] for r in rows if r["spread"]]
+        lists = [F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda v: F.struct(_local(trimmed(v)).alias("code"))) for c in LISTS]
+        alone = F.array(*[F.struct(self.code(F.col(c), c).alias("code")) for c in fields])
+        counts = told.select(F.explode(F.concat(alone, *lists)).alias("s")).groupBy("s.code").agg(F.count("*").alias("n")).collect()
+        self.quality, self.true = _fit({r["code"]: r["n"] for r in counts})
+
+    def code(self, value: Column, field: str) -> Column:
+        """What the witnesses say of a value of a field, in six bits: accepted by word, letters, rare, own; rare and own were asked."""
+        text = trimmed(value)
+        if field not in PROSE:
+            return _local(text)
+        key = _value_key(text)
+        absent = lambda keys, bit: F.when(key.isin(keys), 0).otherwise(bit) if keys else F.lit(bit)
+        return _local(text) + absent(self.common, 4) + absent(self.spread, 8) + F.lit(16)
+
+    def filled(self, value: Column, field: str) -> Column:
+        """Whether a value is judged to say something."""
+        return F.coalesce(self.code(value, field).isin(self.true), F.lit(False)) if self.true else F.lit(False)
+
+    def list_filled(self, values: Column, field: str) -> Column:
+        """Whether any element of a list says something."""
+        return F.coalesce(F.exists(values, lambda v: self.filled(v, field)), F.lit(False))
+
+
+def _fit(counts: dict[int, int]) -> tuple[dict[str, tuple[float, float]], list[int]]:
+    """Rates of the witnesses by expectation-maximisation over patterns of testimony, and the patterns judged true (all there can be)."""
+    patterns = [p for p in range(32) if p >= 16 or p < 4]
+    asked = lambda p: [(name, p >> i & 1) for i, name in enumerate(WITNESSES) if i < 2 or p >= 16]
+    quality = {name: (sens, fall) for name, (sens, fall, _) in WITNESSES.items()}
+    prior = 0.5
+    while True:
+        post = {}
+        for p in patterns:
+            odds = math.log(prior / (1 - prior))
+            for name, yes in asked(p):
+                sens, fall = quality[name]
+                odds += math.log(sens / fall) if yes else math.log((1 - sens) / (1 - fall))
+            post[p] = 1 / (1 + math.exp(-max(-50.0, min(50.0, odds))))
+        new = {}
+        for name, (sens, fall, weight) in WITNESSES.items():
+            rows = [(counts.get(p, 0), post[p], yes) for p in patterns for who, yes in asked(p) if who == name]
+            true, false = sum(n * t for n, t, _ in rows), sum(n * (1 - t) for n, t, _ in rows)
+            new[name] = (
+                (sum(n * t for n, t, yes in rows if yes) + weight * sens) / (true + weight),
+                (sum(n * (1 - t) for n, t, yes in rows if yes) + 10 * fall) / (false + 10),
+            )
+        whole = sum(counts.values())
+        next_prior = (sum(n * post.get(p, 0.0) for p, n in counts.items()) + 5) / (whole + 10)
+        moved = max(abs(next_prior - prior), *(abs(x - y) for name in quality for x, y in zip(quality[name], new[name], strict=True)))
+        quality, prior = new, next_prior
+        if moved < 1e-7:
+            return quality, [p for p in patterns if post[p] >= 0.5]
 
 
 def day_number(value: Column) -> Column:
@@ -64,6 +159,13 @@ def confidence_rank(value: Column) -> Column:
 def best_representatives(members: DataFrame) -> DataFrame:
     """For each group the member that survives, as a whole and field by field.
 
+    Which values are claims at all is decided by the latent quality model of
+    Values, over all members. Among the members whose value is judged true the
+    documented order chooses: the member with most filled ones of title,
+    description, content, created, tags, sources and related, then later
+    updated, then higher confidence; a title by confidence, then updated; a
+    description by updated, then confidence; a content by length, then updated.
+
     members: group_id, slug, title, description, content, tags, sources,
     related, created, updated, confidence; further columns are ignored.
     Returns one row a group: group_id and the slugs canonical, title,
@@ -74,16 +176,15 @@ def best_representatives(members: DataFrame) -> DataFrame:
     change it. Rows with a null group_id or slug are dropped; groups with fewer
     than two slugs give nothing. Ties end at the smallest slug.
     """
-    filled_count = sum(
-        [filled(F.col(c)).cast("int") for c in SCALARS] + [list_filled(F.col(c)).cast("int") for c in LISTS], F.lit(0)
-    )
+    values = Values(members)
+    filled_count = sum([values.filled(F.col(c), c).cast("int") for c in SCALARS] + [values.list_filled(F.col(c), c).cast("int") for c in LISTS], F.lit(0))
     rows = members.where(F.col("group_id").isNotNull() & F.col("slug").isNotNull()).select(
         "group_id",
         "slug",
         filled_count.alias("n"),
         day_number(F.col("updated")).alias("day"),
         confidence_rank(F.col("confidence")).alias("conf"),
-        *[filled(F.col(c)).alias(f"has_{c}") for c in ("title", "description", "content")],
+        *[values.filled(F.col(c), c).alias(f"has_{c}") for c in PROSE],
         F.length(trimmed(F.col("content"))).alias("size"),
     )
     orders = {
@@ -112,9 +213,10 @@ def representatives_by_field(members: DataFrame) -> DataFrame:
 def multi_value_truth(
     members: DataFrame,
     fields: tuple[str, ...] = ("tags", "sources", "related"),
-    rounds: int = 12,
     prior: float = 0.5,
     threshold: float = 0.5,
+    settled: float = 1e-3,
+    most_rounds: int = 200,
 ) -> DataFrame:
     """Which values of a group's multi-valued fields are true: (group_id, field, value, support, posterior, kept).
 
@@ -122,7 +224,9 @@ def multi_value_truth(
     values it lists and denies the group's other values. Members are pooled
     into sources by page type and stated confidence; each source has a
     sensitivity (how often it lists a true value) and a false-positive rate
-    (how often it lists a false one), found by expectation-maximisation.
+    (how often it lists a false one), found by expectation-maximisation until
+    no rate moves by more than ``settled``; it is an error if that takes more
+    than ``most_rounds``. What counts as a value at all is judged by Values.
     Every value whose posterior reaches ``threshold`` is kept, so a field may
     keep many values.
 
@@ -134,6 +238,7 @@ def multi_value_truth(
     Groups with one slug give nothing; where one member of several fills a
     field, its claim alone decides. Empty input gives an empty result.
     """
+    values = Values(members)
     known = ["source", "entity", "concept", "comparison", "query", "synthesis", "thesis", "methodology", "finding"]
     kind = F.lower(trimmed(F.col("type")))
     member = members.where(F.col("group_id").isNotNull() & F.col("slug").isNotNull()).select(
@@ -145,7 +250,7 @@ def multi_value_truth(
                 *[
                     F.struct(
                         F.lit(f).alias("field"),
-                        F.array_distinct(F.transform(F.filter(F.coalesce(F.col(f), F.array().cast("array<string>")), filled), lambda v: F.lower(trimmed(v)))).alias("values"),
+                        F.array_distinct(F.transform(F.filter(F.coalesce(F.col(f), F.array().cast("array<string>")), lambda v: values.filled(v, f)), lambda v: F.lower(trimmed(v)))).alias("values"),  # noqa: B023
                     )
                     for f in fields
                 ]
@@ -195,7 +300,10 @@ def multi_value_truth(
         odds = F.aggregate(pattern, start, lambda acc, s: acc + log_odds(s))
         return 1 / (1 + F.exp(-F.greatest(F.least(odds, F.lit(50.0)), F.lit(-50.0))))
 
-    for _ in range(rounds):
+    moved, rounds = 1.0, 0
+    while moved > settled:
+        if rounds == most_rounds:
+            raise RuntimeError(f"rates still move by {moved} after {rounds} rounds")
         rows = (
             patterns.select("facts", posterior(F.col("pattern")).alias("p"), F.explode("pattern").alias("s"))
             .groupBy("s.source")
@@ -208,6 +316,8 @@ def multi_value_truth(
             .collect()
         )
         # Beta priors keep both rates inside (0, 1): 7 of 10 true values listed, 2 of 10 false ones
-        quality = {r["source"]: ((r["tp"] + 7) / (r["t"] + 10), (r["fp"] + 2) / (r["f"] + 10)) for r in rows}
+        new = {r["source"]: ((r["tp"] + 7) / (r["t"] + 10), (r["fp"] + 2) / (r["f"] + 10)) for r in rows}
+        moved = max((abs(x - y) for k, v in new.items() for x, y in zip(v, quality.get(k, (0.7, 0.2)), strict=True)), default=0.0)
+        quality, rounds = new, rounds + 1
     out = observed.withColumn("posterior", F.round(posterior(F.col("pattern")), 6))
     return out.select("group_id", "field", "value", "support", "posterior", (F.col("posterior") >= threshold).alias("kept"))

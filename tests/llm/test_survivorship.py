@@ -85,8 +85,8 @@ def test_truth_matches_plain_em(spark):
     for r in rows:
         groups[r[0]].append(("entity:" + {"high": "3", "low": "1"}[r[11]], set(r[6])))
     facts = {(g, v): [(s, v in tags) for s, tags in m] for g, m in groups.items() if len(m) > 1 for v in set().union(*(t for _, t in m))}
-    q = {}
-    for step in range(13):
+    q, moved = {}, 1.0
+    while moved > 0:
         p = {}
         for k, claims in facts.items():
             odds = 0.0
@@ -101,7 +101,11 @@ def test_truth_matches_plain_em(spark):
                 sums[s][1] += p[k]
                 sums[s][2] += (1 - p[k]) * yes
                 sums[s][3] += 1 - p[k]
-        q = {s: ((a + 7) / (b + 10), (c + 2) / (d + 10)) for s, (a, b, c, d) in sums.items()}
+        if moved <= 1e-3:
+            break
+        new = {s: ((a + 7) / (b + 10), (c + 2) / (d + 10)) for s, (a, b, c, d) in sums.items()}
+        moved = max(abs(x - y) for s, v in new.items() for x, y in zip(v, q.get(s, (0.7, 0.2)), strict=True))
+        q = new
     assert got.keys() == p.keys()
     assert max(abs(got[k] - p[k]) for k in p) < 1e-4
 
@@ -113,3 +117,19 @@ def test_truth_of_a_field_that_one_member_fills(spark):
     assert {(r["group_id"], r["field"], r["value"], r["support"], r["kept"]) for r in out} == {
         (1, "tags", "x", 1, True), (1, "tags", "y", 1, True), (1, "sources", "s", 1, True), (9, "tags", "p", 2, True),
     }
+
+
+def test_stand_ins_nobody_listed_are_found_by_being_everywhere(spark):
+    """Half of all titles and descriptions are one odd word; it loses, while values of one group stay, even where others disagree."""
+    rows = []
+    for group in range(40):
+        rows += [row(group, "a", "fill me", "fill me", f"text {group}", confidence="high"), row(group, "b", f"Name {group}", f"About {group}", "fill me", confidence="low")]
+    out = found(spark, rows)
+    assert all(out[g, "title"] == "b" and out[g, "description"] == "b" and out[g, "content"] == "a" for g in range(40))
+
+
+def test_quality_of_the_witnesses(spark):
+    rows = [row(g, s, f"T {g}{s}" if s == "a" else "n/a", "-" if g % 2 else f"D {g}", f"C {g}{s}") for g in range(50) for s in "ab"]
+    values = S.Values(spark.createDataFrame(rows, SCHEMA))
+    assert values.quality["word"][0] > 0.99 and values.quality["rare"][1] < 0.3
+    assert {p for p in values.true if p >= 16} >= {31} and not any(p & 1 == 0 for p in values.true)
