@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,20 +17,26 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 GROUP = 4096
 MOST_WINDOWS = 1000
+MOST_BYTES = 64 * 2**20
+ATTENTION = 0.9
 
 
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
     """Length of every text in tokens: (doc_id, tokens). Null texts have none; every row is kept.
 
-    tokenizer: a file of ranks (base64 token and number a line) that every
-    executor can read. Special tokens in a text count as ordinary text.
+    tokenizer: a file of ranks (base64 token and number a line) that the driver
+    can read; it is checked to be of at most MOST_BYTES and travels with the
+    job. Special tokens in a text count as ordinary text.
     """
+    if os.path.getsize(tokenizer) > MOST_BYTES:
+        raise ValueError(f"a tokenizer of more than {MOST_BYTES} bytes")
+    with open(tokenizer, "rb") as file:
+        shipped = documents.sparkSession.sparkContext.broadcast(file.read())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        with open(tokenizer, "rb") as file:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, shipped.value.splitlines())}
         encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
             sizes = [len(encoding.encode_ordinary(text)) if text else 0 for text in batch.column(1).to_pylist()]
@@ -38,21 +45,26 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER, pattern: str
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(count, "doc_id long, tokens long")
 
 
-def best_fit(sizes: np.ndarray, capacity: int, most_items: int, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.2, 0.1)) -> np.ndarray:
+def best_fit(
+    sizes: np.ndarray, capacity: int, most_items: int, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.2, 0.1), attention: float = ATTENTION
+) -> np.ndarray:
     """Container of each item by vector best-fit, largest items first.
 
     An item takes tokens, one place and its squared length (what attention over
     it costs) of a container that has ``capacity`` tokens, ``most_items``
-    places and capacity ** 2 of attention. Among the open containers that have
-    room for it in every respect the one is chosen whose weighted residual
-    after the item has the least norm (``norm``), or whose residual has the
-    greatest weighted dot product with the item per residual (``dot``); if
-    there is none, a new one opens. Sizes must not exceed the capacity.
+    places and ``attention`` * capacity ** 2 of attention. Below 1 the last one
+    binds where an item nearly fills a container, and the more the lower it is;
+    an item that alone costs more than that has a container to itself. Among
+    the open containers that have room for an item in every respect the one is
+    chosen whose weighted residual after the item has the least norm
+    (``norm``), or whose residual has the greatest weighted dot product with
+    the item per residual (``dot``); if there is none, a new one opens. Sizes
+    must not exceed the capacity.
     """
-    limit = np.array([capacity, most_items, float(capacity) ** 2])
+    limit = np.array([capacity, most_items, attention * float(capacity) ** 2])
     w = np.array(weights)
     order = np.argsort(-sizes, kind="stable")
-    smallest = sizes.min(initial=capacity)
+    smallest = float(sizes.min(initial=capacity))
     out = np.empty(len(sizes), np.int64)
     # residuals as shares of the limits, of the containers that are still open
     left = np.empty((len(sizes) + 1, 3))
@@ -60,7 +72,7 @@ def best_fit(sizes: np.ndarray, capacity: int, most_items: int, rule: str = "nor
     opened = used = 0
     for item in order.tolist():
         size = float(sizes[item])
-        need = np.array([size, 1.0, size * size]) / limit
+        need = np.minimum(np.array([size, 1.0, size * size]) / limit, 1.0)
         room = left[:opened]
         after = room - need
         fits = np.flatnonzero((after >= -1e-12).all(1))
@@ -77,13 +89,13 @@ def best_fit(sizes: np.ndarray, capacity: int, most_items: int, rule: str = "nor
             opened, used = opened + 1, used + 1
         out[item] = name[at]
         # a container too full for even the smallest item closes
-        if left[at, 0] * capacity < smallest - 1e-9 or left[at, 1] * most_items < 1 - 1e-9:
+        if left[at, 0] * capacity < smallest - 1e-9 or left[at, 1] * most_items < 1 - 1e-9 or left[at, 2] * limit[2] < smallest**2 - 1e-9:
             opened -= 1
             left[at], name[at] = left[opened], name[opened]
     return out
 
 
-def pack(documents: DataFrame, windows: DataFrame, tokens_per_item: int = 16, group: int = GROUP, rule: str = "norm", tokenizer: str = TOKENIZER) -> DataFrame:
+def pack(documents: DataFrame, windows: DataFrame, tokens_per_item: int = 16, group: int = GROUP, rule: str = "norm", tokenizer: str = TOKENIZER, attention: float = ATTENTION) -> DataFrame:
     """Texts in containers of each capacity: (window_id, container_id, doc_id, token_start, token_end).
 
     documents: (doc_id, text), windows: (window_id, capacity_tokens); other
@@ -97,7 +109,8 @@ def pack(documents: DataFrame, windows: DataFrame, tokens_per_item: int = 16, gr
     Only lengths are shuffled. Items are packed by best_fit in groups of about
     ``group`` by a hash of the document, so that no task holds more; the space
     lost to grouping is less than one container a group. A container has
-    places for capacity / ``tokens_per_item`` items.
+    places for capacity / ``tokens_per_item`` items and an attention budget of
+    ``attention`` times its squared capacity (see best_fit).
     """
     kept = windows.where((F.col("window_id").isNotNull()) & (F.col("capacity_tokens") >= 1)).select("window_id", "capacity_tokens").distinct()
     counts = token_counts(documents.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)), tokenizer).where("tokens > 0")
@@ -111,7 +124,7 @@ def pack(documents: DataFrame, windows: DataFrame, tokens_per_item: int = 16, gr
         whole = np.where(tokens > capacity, tokens // capacity, 0)
         start = whole * capacity
         rest = np.flatnonzero(tokens > start)
-        containers = best_fit(tokens[rest] - start[rest], capacity, max(1, capacity // tokens_per_item), rule)
+        containers = best_fit(tokens[rest] - start[rest], capacity, max(1, capacity // tokens_per_item), rule, attention=attention)
         full = np.repeat(np.arange(len(doc)), whole)
         piece = np.arange(len(full)) - np.repeat(np.cumsum(whole) - whole, whole)
         own = containers.max(initial=-1) + 1 + np.arange(len(full))

@@ -49,3 +49,23 @@ def test_empty(spark):
     windows = spark.createDataFrame([(1, 64)], "window_id long, capacity_tokens long")
     assert P.pack(docs, windows).count() == 0
     assert P.pack(spark.createDataFrame([(1, "text")], "doc_id long, text string"), windows.limit(0)).count() == 0
+
+
+def test_attention_binds():
+    """95 tokens of 100 cost 0.9025 of the square: with a budget of 0.9 nothing joins them, with one of 1 the small items do."""
+    sizes = np.array([95, 5, 4])
+    assert P.best_fit(sizes, 100, 10, attention=0.9).tolist() == [0, 1, 1]
+    assert P.best_fit(sizes, 100, 10, attention=1.0).tolist() == [0, 0, 1]
+    # two halves fit by tokens; a budget below half the square parts them
+    assert len(set(P.best_fit(np.array([50, 50]), 100, 10, attention=0.4).tolist())) == 2
+    assert len(set(P.best_fit(np.array([50, 50]), 100, 10, attention=0.5).tolist())) == 1
+
+
+@pytest.mark.parametrize("attention", [0.2, 0.5, 0.9])
+def test_attention_is_never_exceeded(attention):
+    sizes = np.random.default_rng(3).integers(1, 101, 400)
+    bins = P.best_fit(sizes, 100, 40, attention=attention)
+    cost = np.bincount(bins, sizes.astype(float) ** 2)
+    alone = np.bincount(bins) == 1
+    assert ((cost <= attention * 100**2 + 1e-6) | alone).all()
+    assert (np.bincount(bins, sizes) <= 100).all()
