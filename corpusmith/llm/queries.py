@@ -56,6 +56,10 @@ def p4_tag_classes(spark: SparkSession, d: str) -> DataFrame:
     return setjoin.similar_classes(_page_sets(spark, d, "tags"))
 
 
+def p4_source_classes(spark: SparkSession, d: str) -> DataFrame:
+    return setjoin.similar_classes(_page_sets(spark, d, "sources"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return names.same_name_pairs(load(spark, d, "entities"))
 
@@ -86,5 +90,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_dense, p3_found, p3_multi_value_truth, p4_found, p4_tag_classes, p5_found, p5_name_groups, p6_pack, p7_found, p7_leak_spans, p8_found)
+    f.__name__: f for f in (p1_found, p1_dense, p3_found, p3_multi_value_truth, p4_found, p4_tag_classes, p4_source_classes, p5_found, p5_name_groups, p6_pack, p7_found, p7_leak_spans, p8_found)
 }

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmith.session import durable
 
-ROWS, BANDS = 3, 48
+ROWS = 4
+MISS = 5e-5  # how likely a pair right at the threshold is missed
 
 
 def normal_values(values: Column, source_paths: bool = False) -> Column:
@@ -63,7 +66,7 @@ def similar_sets(
     sets: DataFrame,
     threshold: float = 0.6,
     rows: int = ROWS,
-    bands: int = BANDS,
+    miss: float = MISS,
     hot: int = 200,
     wanted: Sequence[tuple[int, int]] | None = None,
 ) -> DataFrame:
@@ -73,52 +76,112 @@ def similar_sets(
     side is a bit mask of the tables it occurs in. wanted: pairs of bits; a
     pair of sets is made only if its sides have such bits. By default all are.
 
-    Minwise signatures are cut into bands; sets that share a bucket of any band
-    are candidates, each pair once (in its lowest shared band), and are then
-    verified exactly. With 3 rows and 48 bands a pair at 0.6 is missed with a
-    probability of 0.00001. A bucket with more than ``hot`` sets isn't paired
-    as a whole: within it, sets meet only if they share one of their
+    Minwise signatures are cut into as many bands of ``rows`` as keep the
+    chance to miss a pair at the threshold under ``miss`` (72 bands at 0.6;
+    pairs above it are missed far more seldom). Sets that share a bucket of any
+    band are candidates. Entries are brought together by bucket once; as a set
+    has one entry a band, no bucket holds more than one in so many bands of all
+    entries. Buckets of at most ``hot`` sets make their pairs there; of a larger
+    one the entries are passed on, and meet only if they share one of their
     ``n - ceil(threshold * n) + 1`` rarest values, as every pair above the
-    threshold does; so no pair is lost and no bucket makes all its pairs.
+    threshold does. So no pair is lost and no bucket makes all its pairs.
+    Candidates are made distinct, then verified on their whole sets, whose
+    values are compared by 64-bit hashes.
     """
-    keyed = sets.select("set_id", "vals", "side", F.transform("vals", lambda v: F.xxhash64(v)).alias("_h"))
-    banded = keyed.select("set_id", "side", F.size("vals").alias("n"), F.explode(_bands(rows, bands)("_h")).alias("bucket"))
-    counts = banded.groupBy("bucket").agg(F.count("*").alias("members")).where(F.col("members") > 1)
-    shared = banded.join(counts, "bucket")
-
-    def pair(entries: DataFrame, *keys: str) -> DataFrame:
-        a, b = entries.alias("a"), entries.alias("b")
-        near = (F.col("a.set_id") < F.col("b.set_id")) & (F.least("a.n", "b.n") >= F.lit(threshold) * F.greatest("a.n", "b.n") - 1e-9)
-        if wanted:
-            has = lambda side, bit: F.col(side).bitwiseAND(F.lit(bit)) > 0
-            ways = [has("a.side", x) & has("b.side", y) for pair_ in wanted for x, y in {pair_, pair_[::-1]}]
-            near = near & reduce(Column.__or__, ways)
-        same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in keys]
-        return a.join(b, [*same, near]).select(F.col("a.set_id").alias("set_a"), F.col("b.set_id").alias("set_b"))
-
-    # small buckets meet where the count has already brought them together
-    small = pair(shared.where(F.col("members") <= hot), "bucket")
-    # in large ones, rarest values first, over the values of all sets
-    busy = shared.where(F.col("members") > hot)
-    values = sets.select("set_id", F.explode("vals").alias("value"))
-    rarity = values.groupBy("value").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("set_id").orderBy("df", "value"))
-    prefix = (
-        values.join(busy.select("set_id").distinct(), "set_id", "left_semi").join(rarity, "value").withColumn("rank", rank)
-        .select("set_id", "rank", F.xxhash64("value").alias("token"))
-    )
+    bands = math.ceil(math.log(miss) / math.log1p(-(threshold**rows)))
+    hashed = sets.select("set_id", "side", F.size("vals").alias("n"), F.transform("vals", lambda v: F.xxhash64(v)).alias("h"))
+    banded = hashed.select("set_id", "side", "n", F.explode(_bands(rows, bands)("h")).alias("bucket"))
+    gathered = banded.select("bucket", "set_id", "n", "side").repartition("bucket").sortWithinPartitions("bucket", "set_id")
+    made = durable(gathered.mapInArrow(_bucket_pairs(threshold, hot, wanted), "set_a long, set_b long, n int, side int, bucket long"))
+    small = made.where("bucket is null").select("set_a", "set_b")
+
+    # in large buckets, rarest values first, over the values of all sets
+    busy = made.where("bucket is not null").select(F.col("set_a").alias("set_id"), "n", "side", "bucket")
+    values = hashed.select("set_id", F.explode("h").alias("token"))
+    rarity = values.groupBy("token").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("set_id").orderBy("df", "token"))
+    prefix = values.join(busy.select("set_id").distinct(), "set_id", "left_semi").join(rarity, "token").withColumn("rank", rank)
     size = F.col("n")
-    large = pair(busy.join(prefix, "set_id").where(F.col("rank") <= size - F.ceil(F.lit(threshold) * size - 1e-9) + 1), "bucket", "token")
+    entries = busy.join(prefix.select("set_id", "rank", "token"), "set_id").where(F.col("rank") <= size - F.ceil(F.lit(threshold) * size - 1e-9) + 1)
+    a, b = entries.alias("a"), entries.alias("b")
+    near = (F.col("a.set_id") < F.col("b.set_id")) & (F.least("a.n", "b.n") >= F.lit(threshold) * F.greatest("a.n", "b.n") - 1e-9)
+    if wanted:
+        has = lambda side, bit: F.col(side).bitwiseAND(F.lit(bit)) > 0
+        near = near & reduce(Column.__or__, [has("a.side", x) & has("b.side", y) for pair in wanted for x, y in {pair, pair[::-1]}])
+    same = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.token") == F.col("b.token"))
+    large = a.join(b, same & near).select(F.col("a.set_id").alias("set_a"), F.col("b.set_id").alias("set_b"))
     pairs = small.unionByName(large).distinct()
 
-    left = sets.select(F.col("set_id").alias("set_a"), F.col("vals").alias("vals_a"))
-    right = sets.select(F.col("set_id").alias("set_b"), F.col("vals").alias("vals_b"))
+    left = hashed.select(F.col("set_id").alias("set_a"), F.col("h").alias("h_a"))
+    right = hashed.select(F.col("set_id").alias("set_b"), F.col("h").alias("h_b"))
     both = pairs.join(left, "set_a").join(right, "set_b")
-    common = F.size(F.array_intersect("vals_a", "vals_b"))
-    jaccard = common / (F.size("vals_a") + F.size("vals_b") - common)
+    common = F.size(F.array_intersect("h_a", "h_b"))
+    jaccard = common / (F.size("h_a") + F.size("h_b") - common)
     return both.withColumn("jaccard", jaccard).where(F.col("jaccard") >= threshold - 1e-12).select("set_a", "set_b", "jaccard")
 
 
+def _bucket_pairs(threshold: float, hot: int, wanted: Sequence[tuple[int, int]] | None):
+    """Entries (bucket, set_id, n, side), sorted by bucket, as the pairs of small buckets (bucket null) and the entries of large ones (set_b null)."""
+    masks = [way for pair in wanted or [] for way in {pair, pair[::-1]}]
+
+    def pairs_of(columns: list[np.ndarray]) -> pa.RecordBatch:
+        bucket, ids, n, side = columns
+        begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, np.int64)
+        size = np.diff(np.r_[begin, len(bucket)])
+        left = np.repeat(size, size) - 1 - (np.arange(len(bucket)) - np.repeat(begin, size))  # entries after each in its bucket
+        large = np.repeat(size > hot, size)
+        left[large] = 0
+        first = np.repeat(np.arange(len(bucket)), left)
+        second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(left) - left, left)
+        keep = np.minimum(n[first], n[second]) >= threshold * np.maximum(n[first], n[second]) - 1e-9
+        if masks:
+            keep &= np.any([(side[first] & x > 0) & (side[second] & y > 0) for x, y in masks], axis=0)
+        # a pair that meets in several bands of these entries comes out once
+        pair = np.unique(np.stack([ids[first[keep]], ids[second[keep]]]), axis=1)
+        at = np.flatnonzero(large)
+        none = lambda count, kind: pa.nulls(count, kind)
+        m, k = pair.shape[1], len(at)
+        columns = [
+            pa.array(np.r_[pair[0], ids[at]]),
+            pa.concat_arrays([pa.array(pair[1]), none(k, pa.int64())]),
+            pa.concat_arrays([none(m, pa.int32()), pa.array(n[at])]),
+            pa.concat_arrays([none(m, pa.int32()), pa.array(side[at])]),
+            pa.concat_arrays([none(m, pa.int64()), pa.array(bucket[at])]),
+        ]
+        return pa.record_batch(columns, names=["set_a", "set_b", "n", "side", "bucket"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.empty(0, t) for t in (np.int64, np.int64, np.int32, np.int32)]
+        passing = None  # the large bucket that the stream is inside of
+        for batch in batches:
+            columns = [np.concatenate([r, batch.column(i).to_numpy()]) for i, r in enumerate(rest)]
+            last = columns[0][-1] if len(columns[0]) else None
+            begin = int(np.searchsorted(columns[0], last, side="left")) if last is not None else 0
+            if len(columns[0]) - begin > hot or (last is not None and last == passing):
+                # of a large bucket nothing needs to be kept back
+                end = int(np.searchsorted(columns[0], passing, side="right")) if passing is not None else 0
+                end = min(end, begin)
+                yield _entries([np.r_[c[:end], c[begin:]] for c in columns])
+                yield pairs_of([c[end:begin] for c in columns])
+                passing, rest = last, [c[:0] for c in columns]
+                continue
+            if passing is not None:
+                end = int(np.searchsorted(columns[0], passing, side="right"))
+                yield _entries([c[:end] for c in columns])
+                columns, begin, passing = [c[end:] for c in columns], begin - end, None
+            yield pairs_of([c[:begin] for c in columns])
+            rest = [c[begin:] for c in columns]
+        yield pairs_of(rest)
+
+    return run
+
+
+def _entries(columns: list[np.ndarray]) -> pa.RecordBatch:
+    """Entries of a large bucket as they are."""
+    bucket, ids, n, side = (pa.array(c) for c in columns)
+    return pa.record_batch([ids, pa.nulls(len(ids), pa.int64()), n, side, bucket], names=["set_a", "set_b", "n", "side", "bucket"])
+
+
 def similar_pairs(tables: dict[str, tuple[str, DataFrame]], joins: dict[str, tuple[str, str]], threshold: float = 0.6, least: int = 3) -> DataFrame:
     """All pairs of records with similar sets, for several joins at once: (pair_kind, id_a, id_b, jaccard), id_a < id_b.
 

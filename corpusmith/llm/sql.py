@@ -69,8 +69,11 @@ P4_FOUND = " union all ".join(
     ]
 )
 
-P4_TAG_CLASSES = f"""
-with s as (select * from {_PAGE_TAGS}),
+
+
+def _classes(sets: str) -> str:
+    return f"""
+with s as (select * from {sets}),
 c as (select vals, min(id) class_id from s group by vals),
 e as (select class_id, vals, unnest(vals) v from c),
 n as (select x.class_id, count(*) links from (
@@ -82,6 +85,7 @@ from (select distinct page_id from wiki_pages where page_id is not null) p
 left join s on s.id = p.page_id left join c on c.vals = s.vals left join n on n.class_id = c.class_id
 """
 
+
 P1_FOUND = """
 with last as (select chunk_id, arg_max(embedding, coalesce(upserted_at, timestamp '1970-01-01')) e from wiki_chunks where chunk_id is not null group by 1),
 ok as (select chunk_id, e::double[] e from last where len(e) = 64 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0),
@@ -91,4 +95,4 @@ d as (
 select probe_chunk_id, chunk_id from d qualify row_number() over (partition by probe_chunk_id order by dist, chunk_id) <= 10
 """
 
-ORACLE: dict[str, str] = {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p4_tag_classes": P4_TAG_CLASSES}
+ORACLE: dict[str, str] = {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p4_tag_classes": _classes(_PAGE_TAGS), "p4_source_classes": _classes(_PAGE_SOURCES)}

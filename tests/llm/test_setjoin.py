@@ -66,3 +66,24 @@ def test_nulls_and_empties(spark):
 def test_source_paths(spark):
     df = spark.createDataFrame([(["Raw\\Sources\\a\\B.md ", "/srv/x/raw/sources/a/b.md", "c.md"],)], "s array<string>")
     assert df.select(J.normal_values(F.col("s"), source_paths=True)).first()[0] == ["a/b.md", "c.md"]
+
+
+def test_bucket_pairs_stream():
+    """Whatever the batches, small buckets give their pairs and large ones their entries, each once."""
+    import itertools
+
+    import pyarrow as pa
+
+    rnd = random.Random(8)
+    rows = [(b, i, 4, 1) for b, n in enumerate([1, 3, 40, 2, 35, 1, 5, 60, 60, 2]) for i in sorted(rnd.sample(range(1000), n))]
+    groups = {b: [r[1] for r in rows if r[0] == b] for b in range(10)}
+    want = {p for ids in groups.values() if len(ids) <= 30 for p in itertools.combinations(ids, 2)}
+    left = {(i, b) for b, ids in groups.items() if len(ids) > 30 for i in ids}
+    for size in (1, 7, 31, 50, 500):
+        parts = [rows[i : i + size] for i in range(0, len(rows), size)]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        batches = [pa.record_batch([pa.array(c, t) for c, t in zip(zip(*p, strict=True), types, strict=True)], names=["bucket", "set_id", "n", "side"]) for p in parts]
+        out = [r for batch in J._bucket_pairs(0.6, 30, None)(iter(batches)) for r in batch.to_pylist()]
+        pairs = [(r["set_a"], r["set_b"]) for r in out if r["bucket"] is None]
+        entries = [(r["set_a"], r["bucket"]) for r in out if r["bucket"] is not None]
+        assert set(pairs) == want and sorted(entries) == sorted(left)
