@@ -1,9 +1,10 @@
 """A navigable small-world graph over the vectors of one shard, as flat neighbour arrays.
 
-Everything is array work over all nodes or all queries at once; nothing loops
-over single vectors. A shard has a bounded number of vectors (the caller sees
-to that), so candidate lists are exact: the limit that inserting one by one
-with a growing construction width tends to.
+Vectors are inserted in random order, in batches that are small against what
+stands already: a batch searches the graph so far with a construction beam,
+links to the diverse ones of what it finds, and those link back. All steps are
+array work over a whole batch; nothing loops over single vectors, and no step
+compares all vectors of a shard with all others.
 """
 
 from __future__ import annotations
@@ -13,20 +14,6 @@ import numpy as np
 BLOCK = 512
 
 
-def _nearest(x: np.ndarray, rows: np.ndarray, pool: np.ndarray, want: int) -> np.ndarray:
-    """For each of the rows of x the ids (of pool) of its nearest pool members, itself included, nearest first."""
-    y = x[pool]
-    norms = np.einsum("ij,ij->i", y, y)
-    want = min(want, len(pool))
-    out = np.empty((len(rows), want), np.int32)
-    for i in range(0, len(rows), BLOCK):
-        d = norms - 2.0 * (x[rows[i : i + BLOCK]] @ y.T)
-        near = np.argpartition(d, want - 1, axis=1)[:, :want] if want < len(pool) else np.broadcast_to(np.arange(len(pool)), d.shape)
-        order = np.argsort(np.take_along_axis(d, near, 1), axis=1)
-        out[i : i + BLOCK] = pool[np.take_along_axis(near, order, 1)]
-    return out
-
-
 def _diverse(x: np.ndarray, nodes: np.ndarray, cand: np.ndarray, most: int) -> np.ndarray:
     """Of each node's candidates those closer to it than to any kept one; -1 where there are fewer than most."""
     out = np.full((len(nodes), most), -1, np.int32)
@@ -55,59 +42,105 @@ def _diverse(x: np.ndarray, nodes: np.ndarray, cand: np.ndarray, most: int) -> n
     return out
 
 
-def _both_ways(x: np.ndarray, nodes: np.ndarray, links: np.ndarray, degree: int) -> np.ndarray:
-    """Neighbour lists with the reverse of every link added while there is room, own links first."""
-    src = np.repeat(nodes, links.shape[1])
-    dst = links.ravel()
+def _link_back(x: np.ndarray, links: np.ndarray, src: np.ndarray, chosen: np.ndarray, most: int) -> None:
+    """Add the reverse of new links (src to each of its chosen); full lists keep the diverse ones of old and new."""
+    dst = chosen.ravel()
     ok = dst >= 0
-    src, dst = src[ok].astype(np.int64), dst[ok].astype(np.int64)
-    sq = np.einsum("ij,ij->i", x[src] - x[dst], x[src] - x[dst])
-    a, b = np.concatenate([src, dst]), np.concatenate([dst, src])
-    back = np.repeat([0, 1], len(src))
-    key = np.lexsort((np.concatenate([sq, sq]), back, a))
-    a, b = a[key], b[key]
-    pair = a * len(x) + b
-    once = np.sort(np.unique(pair, return_index=True)[1])
-    a, b = a[once], b[once]
-    begins = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.empty(0, int)
-    slot = np.arange(len(a)) - np.repeat(begins, np.diff(np.r_[begins, len(a)])) if len(a) else a
-    out = np.full((len(x), degree), -1, np.int32)
-    fits = slot < degree
-    out[a[fits], slot[fits]] = b[fits]
-    return out
+    a, b = dst[ok].astype(np.int64), np.repeat(src, chosen.shape[1])[ok]
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    begin = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.empty(0, np.int64)
+    count = np.diff(np.r_[begin, len(a)])
+    nodes = a[begin]
+    have = (links[nodes] >= 0).sum(1)
+    slot = np.arange(len(a)) - np.repeat(begin, count) + np.repeat(have, count)
+    wide = np.full((len(nodes), links.shape[1] + int(count.max(initial=0))), -1, np.int32)
+    wide[:, : links.shape[1]] = links[nodes]
+    wide[np.repeat(np.arange(len(nodes)), count), slot] = b
+    over = have + count > links.shape[1]
+    links[nodes[~over]] = wide[~over, : links.shape[1]]
+    if over.any():
+        # empty places point at the node itself, which is never linked
+        own = nodes[over]
+        cand = np.where(wide[over] < 0, own[:, None], wide[over])
+        kept = _diverse(x, own, cand, most)
+        links[own] = -1
+        links[own, : kept.shape[1]] = kept
 
 
 class Graph:
     """levels: neighbour arrays, level 0 first; top: nodes of the highest level, where searches enter."""
 
-    def __init__(self, x: np.ndarray, links: int = 16, candidates: int = 32, seed: int = 7):
+    def __init__(self, x: np.ndarray, links: int = 16, build: int = 16, seed: int = 7):
+        """links: most links of a node above level 0, where it has twice as many; build: width of the construction beam."""
         self.x = np.ascontiguousarray(x, np.float32)
         n = len(self.x)
+        self.norms = np.einsum("ij,ij->i", self.x, self.x)
         rng = np.random.default_rng(seed)
         height = np.minimum(np.floor(-np.log(1.0 - rng.random(n)) / np.log(links)), 6).astype(int) if n else np.empty(0, int)
-        self.levels: list[np.ndarray] = []
-        nodes = np.arange(n)
-        while True:
-            above = np.flatnonzero(height > len(self.levels))
-            near = _nearest(self.x, nodes, nodes, candidates + 1)
-            # the nearest of the level above tie distant parts of the level together
-            far = _nearest(self.x, nodes, above, 6) if len(above) else np.empty((len(nodes), 0), np.int32)
-            degree = links * 2 if not self.levels else links
-            self.levels.append(_both_ways(self.x, nodes, _diverse(self.x, nodes, np.hstack([near, far]), degree * 3 // 4), degree))
-            if len(above) < 2 * links:
-                break
-            nodes = above
-        self.top = nodes
-        self.norms = np.einsum("ij,ij->i", self.x, self.x)
+        # a level needs enough nodes to be worth a search; the lower levels hold all nodes of the higher ones
+        depth = 1
+        while (height >= depth).sum() >= 2 * links:
+            depth += 1
+        height = np.minimum(height, depth - 1)
+        self.levels = [np.full((n, links * (1 if level else 2)), -1, np.int32) for level in range(depth)]
+        # the highest nodes come first, so that every search enters where the levels are complete
+        order = np.lexsort((rng.random(n), -height))
+        tops = int((height == depth - 1).sum())
+        self.top = order[:tops].astype(np.int64)
+        done = 0
+        while done < n:
+            # a batch of the first level's size at the most, or an eighth of what stands
+            batch = order[done : done + max(2 * links, done // 8)]
+            self._insert(batch, height[batch], build, links)
+            done += len(batch)
+
+    def _insert(self, batch: np.ndarray, height: np.ndarray, build: int, links: int) -> None:
+        q = self.x[batch]
+        enter = self._enter(q)
+        for level in range(len(self.levels) - 1, -1, -1):
+            own = height >= level
+            ids, _ = self._beam(q, enter, level, build if level == 0 or own.any() else 8, 4)
+            enter = ids[:, :8]
+            if own.any():
+                most = self.levels[level].shape[1] * 3 // 4
+                # a batch's own members can't be found yet: its nearest ones are candidates as well
+                mates = self._mates(batch[own])
+                cand = np.hstack([ids[own], mates])
+                cand = np.where(cand < 0, batch[own][:, None], cand)
+                chosen = _diverse(self.x, batch[own], cand, most)
+                self.levels[level][batch[own], :] = -1
+                self.levels[level][batch[own][:, None], np.arange(chosen.shape[1])] = chosen
+                _link_back(self.x, self.levels[level], batch[own], chosen, most)
+
+    def _mates(self, nodes: np.ndarray, want: int = 6, block: int = 256) -> np.ndarray:
+        """Nearest other members of a batch, looked for among at most ``block`` of them at a time."""
+        out = np.full((len(nodes), want), -1, np.int32)
+        # sorted along one direction first, so that near ones fall into one block
+        order = nodes[np.argsort(self.x[nodes] @ self.x[nodes[0]])] if len(nodes) > block else nodes
+        place = np.empty(len(self.x), np.int64)
+        place[nodes] = np.arange(len(nodes))
+        for i in range(0, len(order), block):
+            part = order[i : i + block]
+            d = self.norms[part] - 2.0 * (self.x[part] @ self.x[part].T)
+            np.fill_diagonal(d, np.inf)
+            k = min(want, len(part) - 1)
+            if k > 0:
+                out[place[part], :k] = part[np.argpartition(d, k - 1, axis=1)[:, :k]]
+        return out
+
+    def _enter(self, q: np.ndarray, want: int = 8) -> np.ndarray:
+        """The nearest nodes of the highest level."""
+        want = min(want, len(self.top))
+        d = self.norms[self.top] - 2.0 * (q @ self.x[self.top].T)
+        return self.top[np.argpartition(d, want - 1, axis=1)[:, :want]]
 
     def search(self, q: np.ndarray, k: int, width: int = 64, expand: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """Ids and squared distances of the k nearest nodes of each query; -1 and inf where there are fewer."""
         ids, dists = [], []
         for i in range(0, len(q), 256):
             part = np.ascontiguousarray(q[i : i + 256], np.float32)
-            want = min(8, len(self.top))
-            d = self.norms[self.top] - 2.0 * (part @ self.x[self.top].T)
-            near = self.top[np.argpartition(d, want - 1, axis=1)[:, :want]]
+            near = self._enter(part)
             for level in range(len(self.levels) - 1, -1, -1):
                 near, far = self._beam(part, near, level, max(width, k) if level == 0 else 12, expand)
             keep = min(k, near.shape[1])

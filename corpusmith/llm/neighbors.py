@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmith.llm.hnsw import Graph
 
-SHARD = 4096
-SAMPLE = 16384
-MOST_CENTRES = 1024
+SHARD = 4096  # vectors a shard is meant to hold
+LARGEST = 65_536  # and at most, where the collection has outgrown the centres
+SAMPLE = 131_072  # rows the centres are fitted on, at most
+MOST_CENTRES = 16_384
+MOST_TASKS = 4096
 
 
-def _centres(sample: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
+def _means(sample: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
     """k-means centres of a bounded sample."""
     rng = np.random.default_rng(11)
+    count = min(count, len(sample))
     centres = sample[rng.choice(len(sample), count, replace=False)].copy()
     for _ in range(rounds):
         near = np.argmin((centres**2).sum(1) - 2.0 * sample @ centres.T, axis=1)
@@ -26,7 +30,44 @@ def _centres(sample: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
         np.add.at(sums, near, sample)
         sizes = np.bincount(near, minlength=count)
         centres = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], centres)
-    return centres
+    return centres.astype(np.float32)
+
+
+class Centres:
+    """Centres of shards in two levels, so that many of them are looked through as fast as few."""
+
+    def __init__(self, sample: np.ndarray, count: int):
+        self.coarse = _means(sample, math.isqrt(count) if count > 256 else 1)
+        near = self._cells(sample, 1)[:, 0]
+        parts = []
+        for c in range(len(self.coarse)):
+            own = sample[near == c]
+            parts.append(_means(own, max(1, round(count * len(own) / len(sample)))) if len(own) else self.coarse[c : c + 1])
+        self.begin = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        self.fine = np.concatenate(parts)
+        self.norms = (self.fine**2).sum(1)
+
+    def __len__(self) -> int:
+        return len(self.fine)
+
+    def _cells(self, x: np.ndarray, want: int) -> np.ndarray:
+        want = min(want, len(self.coarse))
+        d = (self.coarse**2).sum(1) - 2.0 * x @ self.coarse.T
+        return np.argpartition(d, want - 1, axis=1)[:, :want]
+
+    def nearest(self, x: np.ndarray, want: int, cells: int = 8) -> np.ndarray:
+        """The nearest ``want`` centres of each row, nearest first, within its nearest cells; -1 where those hold fewer."""
+        best_d = np.full((len(x), want), np.inf, np.float32)
+        best = np.full((len(x), want), -1, np.int64)
+        chosen = self._cells(x, cells)
+        for c in np.unique(chosen):
+            rows = np.flatnonzero((chosen == c).any(1))
+            ids = np.arange(self.begin[c], self.begin[c + 1])
+            d = np.hstack([best_d[rows], self.norms[ids] - 2.0 * x[rows] @ self.fine[ids].T])
+            i = np.hstack([best[rows], np.broadcast_to(ids, (len(rows), len(ids)))])
+            keep = np.argpartition(d, want - 1, axis=1)[:, :want]
+            best_d[rows], best[rows] = np.take_along_axis(d, keep, 1), np.take_along_axis(i, keep, 1)
+        return np.take_along_axis(best, np.argsort(best_d, axis=1), 1)
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -43,60 +84,82 @@ def _vector_keys(x: np.ndarray) -> np.ndarray:
     return (key >> np.uint64(1)).astype(np.int64)
 
 
-def _plan_shards(vectors: DataFrame, dim: int, shard: int) -> tuple[np.ndarray, np.ndarray]:
+def _plan_shards(vectors: DataFrame, dim: int, shard: int) -> tuple[Centres, np.ndarray]:
     """Centres and the number of slices of each, from the row count and at most SAMPLE rows."""
     total = vectors.count()
-    share = min(1.0, SAMPLE / max(total, 1))
+    count = int(np.clip(-(-total // shard), 1, MOST_CENTRES))
+    share = min(1.0, max(SAMPLE // 8, 8 * count) / max(total, 1))
     picked = vectors.where((F.size("embedding") == dim) & (F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)))
     table = picked.select("embedding").limit(SAMPLE).toArrow()
     sample = np.concatenate([np.empty((0, dim), np.float32)] + [_matrix(c, dim) for c in table.column(0).chunks])
     sample = sample[np.isfinite(sample).all(1)]
     if not len(sample):
-        return np.zeros((1, dim), np.float32), np.ones(1, np.int64)
-    count = int(np.clip(-(-total // shard), 1, min(MOST_CENTRES, len(sample))))
-    centres = _centres(sample, count).astype(np.float32)
-    near = np.argmin((centres**2).sum(1) - 2.0 * sample @ centres.T, axis=1)
-    sizes = np.bincount(near, minlength=count) / len(sample) * total
-    return centres, np.maximum(1, np.ceil(sizes / (1.5 * shard))).astype(np.int64)
+        return Centres(np.zeros((1, dim), np.float32), 1), np.ones(1, np.int64)
+    centres = Centres(sample, min(count, len(sample)))
+    near = centres.nearest(sample, 1)[:, 0]
+    sizes = np.bincount(near, minlength=len(centres)) / len(sample) * total
+    most = 1.5 * shard if count < MOST_CENTRES else max(1.5 * total / count, LARGEST)
+    return centres, np.maximum(1, np.ceil(sizes / most)).astype(np.int64)
+
+
+def _few_copies(key: np.ndarray, ids: pa.Array, most: int) -> np.ndarray:
+    """Rows of a batch without those that have ``most`` equal vectors with smaller ids before them."""
+    order = np.argsort(key, kind="stable")
+    begin = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]]) if len(key) else np.empty(0, int)
+    size = np.diff(np.r_[begin, len(key)])
+    keep = np.ones(len(key), bool)
+    for b, n in zip(begin[size > most].tolist(), size[size > most].tolist(), strict=True):
+        rows = order[b : b + n]
+        by_id = np.argsort(np.asarray(ids.take(pa.array(rows)).to_pylist(), object), kind="stable")
+        keep[rows[by_id[most:]]] = False
+    return np.flatnonzero(keep)
 
 
 def nearest(
     vectors: DataFrame,
-    queries: DataFrame | None = None,
+    queries: DataFrame | Column | None = None,
     k: int = 10,
     dim: int = 64,
     probes: int = 10,
     width: int = 64,
     shard: int = SHARD,
+    fit_on: DataFrame | None = None,
 ) -> DataFrame:
     """The k nearest other rows of each query by Euclidean distance: (query_id, id, distance, score).
 
     vectors: (id, embedding), one row an id. A row belongs to the collection if
     its embedding has exactly ``dim`` finite values; null, short, long and
     non-finite ones neither come out nor are queried. queries: (id) of rows of
-    the collection; by default every row is a query. score is
-    1 / (1 + distance). Ties go to the smallest id. Empty input gives no rows.
+    the collection, or a condition on id; by default every row is a query.
+    score is 1 / (1 + distance). Ties go to the smallest id. Empty input gives
+    no rows.
 
     The collection is cut into shards of about ``shard`` vectors around centres
-    fitted on at most SAMPLE rows; shards that would be larger are sliced by
-    the vector's hash, and all slices are searched. Every vector is indexed in
-    one shard. Each shard builds a small-world graph over its distinct vectors
-    and answers the queries whose ``probes`` nearest centres include it with a
-    beam of ``width``; shard answers are merged per query. Of equal vectors
-    k + 1 rows (smallest ids) are indexed, which is all that k neighbours can
-    use, and the surplus is dropped before the shuffle.
+    fitted on at most SAMPLE rows (of ``fit_on``, by default of the vectors);
+    there are as many centres as that takes, up to MOST_CENTRES, beyond which
+    shards grow to LARGEST; shards that would be larger are sliced by the
+    vector's hash, and all slices are searched. Every vector is indexed in one
+    shard. Each shard builds a small-world graph over its distinct vectors by
+    insertion and answers the queries whose ``probes`` nearest centres include
+    it with a beam of ``width``; shard answers are merged per query. What a
+    query costs thus doesn't grow with the collection but by the logarithm of
+    the shards' size. Of equal vectors k + 1 rows (smallest ids) are indexed,
+    which is all that k neighbours can use; of those in one batch the surplus
+    is dropped before the shuffle, so a vector that a third of the rows share
+    doesn't fill a task.
     """
-    centres, slices = _plan_shards(vectors, dim, shard)
+    centres, slices = _plan_shards(vectors if fit_on is None else fit_on, dim, shard)
     probes = min(probes, len(centres))
     usable = vectors.where(F.col("id").isNotNull() & (F.size("embedding") == dim)).select("id", "embedding")
     if queries is None:
         rows = usable.withColumn("asked", F.lit(True))
+    elif isinstance(queries, Column):
+        rows = usable.withColumn("asked", F.coalesce(queries, F.lit(False)))
     else:
         asked = queries.where(F.col("id").isNotNull()).select("id", F.lit(True).alias("asked")).distinct()
         rows = usable.join(asked, "id", "left")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        norms = (centres**2).sum(1)
         offsets = np.concatenate([[0], np.cumsum(slices)])
         for batch in batches:
             x = _matrix(batch.column(1), dim)
@@ -105,20 +168,18 @@ def nearest(
             if not len(keep):
                 continue
             x, batch = x[keep], batch.take(pa.array(keep))
-            d = norms - 2.0 * x @ centres.T
             key = _vector_keys(x)
-            home = np.argmin(d, axis=1)
-            index = (np.arange(len(x)), offsets[home] + key % slices[home], key)
             want = np.flatnonzero(batch.column(2).to_numpy(zero_copy_only=False) == True)  # noqa: E712
-            parts = [(*index, False)]
+            kept = _few_copies(key, batch.column(0), k + 1)
+            home = centres.nearest(x[kept], 1, 2)[:, 0]
+            parts = [(kept, offsets[home] + key[kept] % slices[home], key[kept], False)]
             if len(want):
-                near = np.argpartition(d[want], probes - 1, axis=1)[:, :probes]
-                row, centre = np.repeat(want, probes), near.ravel()
+                near = centres.nearest(x[want], probes)
+                row, centre = np.repeat(want, probes)[near.ravel() >= 0], near.ravel()[near.ravel() >= 0]
                 each = slices[centre]
                 row, centre = np.repeat(row, each), np.repeat(centre, each)
                 slot = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
-                part = offsets[centre] + slot
-                parts.append((row, part, key[row], True))
+                parts.append((row, offsets[centre] + slot, key[row], True))
             for at, part, own, is_query in parts:
                 yield pa.record_batch(
                     [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(part.astype(np.int32)), pa.array(own), pa.array(np.full(len(at), is_query))],
@@ -126,6 +187,8 @@ def nearest(
                 )
 
     placed = rows.mapInArrow(place, "id string, embedding array<float>, part int, own long, is_query boolean")
+    # one shuffle brings a shard together; more tasks than shards, so that few have two
+    placed = placed.repartition(int(min(4 * slices.sum(), MOST_TASKS)), "part")
     # a question is never a copy of another one: its id is part of its key
     copies = Window.partitionBy("part", "own", F.when(F.col("is_query"), F.col("id"))).orderBy("id")
     placed = placed.withColumn("_rank", F.row_number().over(copies)).where(F.col("_rank") <= k + 1).drop("_rank")

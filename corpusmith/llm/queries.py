@@ -12,16 +12,18 @@ from corpusmith.session import load
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    vectors = neighbors.current_vectors(load(spark, d, "wiki_chunks"))
+    chunks = load(spark, d, "wiki_chunks")
     probes = load(spark, d, "probe_chunks").select(F.col("chunk_id").alias("id"))
-    found = neighbors.nearest(vectors, probes)
+    rows = chunks.select(F.col("chunk_id").alias("id"), "embedding")
+    found = neighbors.nearest(neighbors.current_vectors(chunks), probes, fit_on=rows)
     return found.select(F.col("query_id").alias("probe_chunk_id"), F.col("id").alias("chunk_id"))
 
 
 def p1_dense(spark: SparkSession, d: str) -> DataFrame:
     """Neighbours of a twentieth of all vectors instead of a few probes."""
-    vectors = neighbors.current_vectors(load(spark, d, "wiki_chunks"))
-    found = neighbors.nearest(vectors, vectors.where(F.pmod(F.xxhash64("id"), F.lit(20)) == 0).select("id"))
+    chunks = load(spark, d, "wiki_chunks")
+    rows = chunks.select(F.col("chunk_id").alias("id"), "embedding")
+    found = neighbors.nearest(neighbors.current_vectors(chunks), F.pmod(F.xxhash64("id"), F.lit(20)) == 0, fit_on=rows)
     return found.select("query_id", "id", F.round("distance", 5).alias("distance"))
 
 

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from corpusmith.llm import neighbors as N
 from corpusmith.llm.hnsw import Graph
@@ -81,3 +82,41 @@ def test_every_one_of_many_equal_rows_is_answered(spark):
         spark.conf.set(size, before)
     got = {q: sorted(g.id) for q, g in out.groupby("query_id")}
     assert got == {r[0]: [c for c in ("c000", "c001", "c002", "c003") if c != r[0]][:3] for r in rows}
+
+
+def test_centres_in_two_levels():
+    """Above 256 centres are looked up through coarse cells: nearly always the nearest ones all the same."""
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=(60, 8))[rng.integers(0, 60, 6000)] * 5 + rng.normal(size=(6000, 8))).astype(np.float32)
+    centres = N.Centres(x, 400)
+    assert 390 <= len(centres) <= 420 and len(centres.coarse) == 20
+    found = centres.nearest(x[:500], 10)
+    d = ((x[:500, None] - centres.fine[None]) ** 2).sum(2)
+    best = np.argsort(d, axis=1)[:, :10]
+    assert np.mean(found[:, 0] == best[:, 0]) > 0.98
+    assert np.mean([len(set(a) & set(b)) for a, b in zip(found, best)]) > 9
+
+
+def test_recall_of_a_twentieth_against_all(spark):
+    """Rows with an id divisible by 20 against all rows, in many shards: recall at 10."""
+    rng = np.random.default_rng(9)
+    scale = rng.uniform(0.3, 2.0, 30)
+    topic = rng.integers(0, 30, 3000)
+    x = (rng.normal(size=(30, 16))[topic] * 3 + rng.normal(size=(3000, 16)) * scale[topic, None]).astype(np.float32)
+    rows = [(str(i), [float(v) for v in x[i]], 1, 2) for i in range(3000)]
+    out = N.nearest(frame(spark, rows), F.col("id").cast("int") % 20 == 0, dim=16, shard=128).toPandas()
+    near = out.groupby("query_id").distance.apply(sorted).to_dict()
+    assert len(near) == 150
+    d = np.sqrt(((x[::20, None].astype(float) - x[None]) ** 2).sum(2))
+    best = np.sort(d, axis=1)[:, 10]
+    hits = sum(sum(v <= best[i] + 1e-5 for v in near[str(i * 20)]) for i in range(150))
+    assert hits / 1500 > 0.95
+
+
+def test_graph_is_built_without_all_pairs():
+    """No step of an insertion compares more than a small part of the shard with another one."""
+    x = np.random.default_rng(2).normal(size=(2000, 8)).astype(np.float32)
+    g = Graph(x)
+    ids, _ = g.search(x, 1)
+    assert np.mean(ids[:, 0] == np.arange(2000)) > 0.995
+    assert (g.levels[0] >= 0).sum(1).min() > 0
