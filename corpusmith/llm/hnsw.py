@@ -91,7 +91,7 @@ class Graph:
         done = 0
         while done < n:
             # a batch of the first level's size at the most, or an eighth of what stands
-            batch = order[done : done + max(2 * links, done // 8)]
+            batch = order[done : done + min(max(2 * links, done // 8), max(16, 2**24 // n))]
             self._insert(batch, height[batch], build, links)
             done += len(batch)
 
@@ -138,8 +138,10 @@ class Graph:
     def search(self, q: np.ndarray, k: int, width: int = 64, expand: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """Ids and squared distances of the k nearest nodes of each query; -1 and inf where there are fewer."""
         ids, dists = [], []
-        for i in range(0, len(q), 256):
-            part = np.ascontiguousarray(q[i : i + 256], np.float32)
+        # a block's marks of what it has seen take at most 64 MB
+        block = max(16, min(256, 2**24 // max(len(self.x), 1)))
+        for i in range(0, len(q), block):
+            part = np.ascontiguousarray(q[i : i + block], np.float32)
             near = self._enter(part)
             for level in range(len(self.levels) - 1, -1, -1):
                 near, far = self._beam(part, near, level, max(width, k) if level == 0 else 12, expand)
@@ -153,7 +155,7 @@ class Graph:
     def _beam(self, q: np.ndarray, enter: np.ndarray, level: int, width: int, expand: int) -> tuple[np.ndarray, np.ndarray]:
         """Best-first search of all queries in step; distances lack the query's own norm."""
         links, rows = self.levels[level], np.arange(len(q))
-        seen = np.zeros((len(q), len(self.x)), bool)
+        seen = np.zeros((len(q), len(self.x)), np.int32)
         width = min(width, len(self.x))
         ids = np.full((len(q), width), -1, np.int32)
         best = np.full((len(q), width), np.inf, np.float32)
@@ -161,21 +163,24 @@ class Graph:
 
         def add(at: np.ndarray, new: np.ndarray) -> None:
             """Put the new nodes (rows at, -1 for none) into the beams."""
-            row = np.repeat(at, new.shape[1])
+            wide = new.shape[1]
             flat = new.ravel()
-            ok = flat >= 0
-            ok[ok] = ~seen[row[ok], flat[ok]]
-            r, f = row[ok], flat[ok]
+            slot = np.flatnonzero(flat >= 0)
+            r, f = at[slot // wide], flat[slot]
+            fresh = seen[r, f] == 0
+            slot, r, f = slot[fresh], r[fresh], f[fresh]
             # a node may be reached twice in one step: the mark left last counts
-            seen[r, f] = True
+            seen[r, f] = slot + 1
+            last = seen[r, f] == slot + 1
+            slot, r, f = slot[last], r[last], f[last]
             d = np.full(flat.shape, np.inf, np.float32)
-            d[ok] = self.norms[f] - 2.0 * np.einsum("ij,ij->i", self.x[f], q[r])
+            d[slot] = self.norms[f] - 2.0 * np.einsum("ij,ij->i", self.x[f], q[r])
             d = d.reshape(new.shape)
-            order = np.argsort(new, axis=1, kind="stable")
-            sorted_new = np.take_along_axis(new, order, 1)
-            twice = np.zeros(new.shape, bool)
-            np.put_along_axis(twice, order[:, 1:], sorted_new[:, 1:] == sorted_new[:, :-1], 1)
-            d[twice] = np.inf
+            worst = best[at].max(1, keepdims=True)
+            d[d >= worst] = np.inf
+            # beams that nothing new can enter stay as they are
+            some = np.flatnonzero(np.isfinite(d).any(1))
+            at, new, d = at[some], new[some], d[some]
             all_d, all_i = np.hstack([best[at], d]), np.hstack([ids[at], new])
             all_o = np.hstack([open_[at], np.isfinite(d)])
             keep = np.argpartition(all_d, width - 1, axis=1)[:, :width] if all_d.shape[1] > width else np.arange(all_d.shape[1])[None].repeat(len(at), 0)
