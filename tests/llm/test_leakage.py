@@ -71,12 +71,12 @@ def corpus():
     return items, docs
 
 
-@pytest.mark.parametrize("shard", [100, 1_000_000])
-def test_cases(spark, shard):
+@pytest.mark.parametrize(("shard", "pass_chars"), [(20, 10**7), (100, 900), (1_000_000, 10**7)])
+def test_cases(spark, shard, pass_chars):
     items, docs = corpus()
     d = spark.createDataFrame([*docs.items(), (8, None), (9, ""), (None, docs[1]), (1, docs[1])], "doc_id long, text string").repartition(2)
     i = spark.createDataFrame([(a, b, "x") for a, b in items] + [(50, None, "x"), (51, "", "x"), (None, "a", "x"), (0, items[0][1], "x")], "item_id long, text string, doc_id string")
-    out = L.leaked_passages(d, i, shard_tokens=shard, block_items=4).collect()
+    out = L.leaked_passages(d, i, shard_tokens=shard, block_items=4, pass_chars=pass_chars).collect()
     assert {(r["item_id"], r["doc_id"]) for r in out} - {(0, None)} == {(0, 1), (1, 2), (4, 6), (5, 7)}
     whole = next(r for r in out if r["doc_id"] == 1)
     text = docs[1]
@@ -97,3 +97,33 @@ def test_empty(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     assert L.leaked_passages(docs, items).count() == 0
     assert L.leaked_passages(spark.createDataFrame([(1, "some text")], docs.schema), items).count() == 0
+
+
+def test_nothing_is_lost_before_joining():
+    """Whatever _passages accepts passes the vectorised test before it."""
+    rnd = np.random.default_rng(5)
+    pairs, kept_all = 0, 0
+    for _ in range(300):
+        n = int(rnd.integers(1, 12))
+        p = np.sort(rnd.integers(0, 80, n))
+        a = np.clip(p + rnd.integers(-3, 4, n), 0, None)
+        size = rnd.integers(4, 12, n)
+        pair, need = np.zeros(n, int), np.full(n, 20.0)
+        keep = L._worth_joining(pair, a, a + size, p, p + size, 9, 6, need)
+        rows = list(zip(a.tolist(), (a + size).tolist(), p.tolist(), (p + size).tolist(), strict=True))
+        covered = lambda parts: sum(len(set(range(x, y))) for x, y, _, _ in parts)
+        whole = L._passages(rows, 9, 6)
+        if len(set().union(*(range(x, y) for x, y, _, _ in whole))) >= 20:
+            pairs += 1
+            some = L._passages([rows[i] for i in keep], 9, 6)
+            kept_all += sorted(some) == sorted(whole)
+    assert pairs > 50 and kept_all == pairs
+
+
+def test_first_lines_are_shared_whatever_their_spelling(spark):
+    rnd = random.Random(5)
+    line, other = "Answer the following question carefully, please, in one word.", "ANSWER the following question *carefully*, please -- in one word"
+    items = [(1, line + "\n" + sentence(rnd, 8)), (2, other + "\n" + sentence(rnd, 8))]
+    docs = [(1, line + " " + sentence(rnd, 30))]
+    out = L.leaked_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert out.count() == 0
