@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusmith.session import durable
 
-FREQUENT = 30
+FREQUENT = 3e-5  # share of all contexts from which on a next word is told apart, the same at every size
 ROUNDS = 4
 
 # --- layout: which stretches of a text are running text ---------------------------------
@@ -232,7 +233,8 @@ class Model:
         for (_, _, nxt, shape), c in seen.items():
             words[shape, nxt] += c
         # names that follow are told apart only if they are frequent
-        self.frequent = {k for k, c in words.items() if c >= FREQUENT or k[1] == "$"}
+        bound = FREQUENT * sum(words.values())
+        self.frequent = {k for k, c in words.items() if c >= bound or k[1] == "$"}
         merged: Counter = Counter()
         for (a, w, nxt, shape), c in seen.items():
             merged[a, w, nxt if (shape, nxt) in self.frequent else "", shape] += c
@@ -379,6 +381,143 @@ def units(text: str, model: Model, memo: dict, threshold: float = 0.5) -> list[t
     return out
 
 
+# --- stretches without any mark: an event after every word --------------------------------
+
+LEAST_WORDS = 30  # a stretch without marks is one unit up to this length
+SLOTS = 2**20
+_SIGN = re.compile(rf"[{_FINAL}]")
+_ALONE = "\u2e80-\u9fff\uf900-\ufaff"
+_TOKEN = re.compile(rf"[{_ALONE}][^\w\s]*|[^\s{_ALONE}]+")
+_CLEAR = re.compile(r"[!?…。！？؟।።፧;။།༎។៕]|[^\W\d_]{5}\.$")
+
+
+def words_of(text: str, begin: int, end: int) -> list[tuple[int, str]]:
+    """Words of a stretch (characters where words aren't spaced): (end, word in lower case without marks around it)."""
+    return [(m.end(), m.group().strip("\"'“”„«»()[]*_`（）「」…,.:;!?").casefold()) for m in _TOKEN.finditer(text, begin, end)]
+
+
+def word_gaps(text: str, begin: int, end: int) -> list[tuple[int, tuple[str, str, str, str]]]:
+    """An event after every word of a stretch that has no sentence mark at all and is long; of any other none.
+
+    Thai and Lao have events at their spaces instead.
+    """
+    if end - begin < LEAST_WORDS or _SIGN.search(text, begin, end) or any("\u0e00" <= c <= "\u0eff" for c in text[begin : begin + 40]):
+        return []
+    words = words_of(text, begin, end)
+    if len(words) < LEAST_WORDS:
+        return []
+    return [(e, ("", "·" + w, n, "u")) for (e, w), (_, n) in zip(words, words[1:], strict=False)]
+
+
+def _word_counts(documents: DataFrame, slots: np.ndarray) -> DataFrame:
+    """What marked text says of words: (kind, w, n, times).
+
+    Kinds: s starts (n), e ends by a clear mark (w), z ends of stretches (w), m
+    full stops that may abbreviate (w), c words (w), b pairs within a sentence
+    (w, n), t all words, x and y clear marks within and at the end of
+    stretches. Only words whose slot is asked for are told apart (a filter of
+    fixed size: it lets too many pass, never too few).
+    """
+    flags = np.zeros(SLOTS, bool)
+    flags[slots] = True
+    sent = documents.sparkSession.sparkContext.broadcast(np.packbits(flags).tobytes())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
+        asked: dict[str, bool] = {}
+        seen: Counter = Counter()
+
+        def ask(word: str) -> bool:
+            out = asked[word] = bool(wanted[_slot(word)])
+            return out
+
+        def flush() -> pa.RecordBatch:
+            rows = [(*k, c) for k, c in seen.items()]
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            seen.clear()
+            asked.clear()
+            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, [pa.string()] * 3 + [pa.int64()], strict=True)], names=["kind", "w", "n", "times"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for begin, end in blocks(text):
+                    if not _SIGN.search(text, begin, end):
+                        continue
+                    before, total, clear = None, 0, False
+                    for m in _TOKEN.finditer(text, begin, end):
+                        raw = m.group().rstrip("\"'”»)]*_`")
+                        word = raw.strip("\"'“”„«»()[]*_`（）「」…,.:;!?").casefold()
+                        if not word:
+                            continue
+                        # what the mark behind the word before it says is counted once it is known not to be the last
+                        if clear:
+                            seen["e", before, ""] += 1
+                            seen["x", "", ""] += 1
+                            before = None
+                        elif total and dotted:
+                            seen["m", before, ""] += 1
+                            before = ""
+                        total += 1
+                        known = asked.get(word)
+                        known = ask(word) if known is None else known
+                        if known:
+                            seen["c", word, ""] += 1
+                        if before is None:
+                            seen["s", "", word if known else ""] += 1
+                        elif known and before:
+                            seen["b", before, word] += 1
+                        before, clear, dotted = word if known else "", _CLEAR.search(raw) is not None, raw.endswith(".")
+                    if total:
+                        seen["z", before, ""] += 1
+                        seen["y", "", ""] += clear
+                    seen["t", "", ""] += total
+                if len(seen) > 300_000:
+                    yield flush()
+        yield flush()
+
+    rows = documents.where(F.length("text") > 0).select("text").mapInArrow(count, "kind string, w string, n string, times long")
+    return rows.groupBy("kind", "w", "n").agg(F.sum("times").alias("times"))
+
+
+def _slot(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % SLOTS
+
+
+def word_odds(gaps_: DataFrame, documents: DataFrame) -> DataFrame:
+    """Figures of the events after words: (key, p, p_start, odds), from what marked text of the same corpus says.
+
+    gaps_: (key, w, n), distinct. p is the chance of a boundary after the word
+    (how often it ends sentences among all times it occurs), p_start that right
+    after another boundary; odds are the chance of the next word at a start
+    against that after this word within a sentence, each interpolated with how
+    frequent the word is. Without marked text only the average length counts.
+    """
+    cut = gaps_.select("key", F.expr("substring(w, 2)").alias("w"), "n")
+    both = cut.select(F.col("w").alias("x")).union(cut.select("n"))
+    # a word's slot is that of its hash: at most SLOTS numbers come to the driver
+    slots = both.select(F.pmod(F.crc32(F.encode("x", "UTF-8")), F.lit(SLOTS)).cast("int").alias("slot")).distinct().toArrow().column(0).to_numpy()
+    counts = durable(_word_counts(documents, slots))
+    of = lambda kind, *keys: counts.where(F.col("kind") == kind).select(*keys, F.col("times").cast("double").alias(kind))
+    sums = {r["kind"]: float(r["n"]) for r in counts.where("kind in ('s', 't', 'x', 'y', 'm')").groupBy("kind").agg(F.sum("times").alias("n")).collect()}
+    within = (sums.get("x", 0.0) + 1) / (sums.get("y", 0.0) + 1)  # ends within stretches for each at the end of one
+    starts, total = sums.get("s", 0.0) + 1, sums.get("t", 0.0) + 15
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    about = (
+        cut.join(of("c", "w"), "w", "left").join(of("e", "w"), "w", "left").join(of("z", "w"), "w", "left").join(of("m", "w"), "w", "left").join(of("b", "w", "n"), ["w", "n"], "left")
+        .join(of("s", "n").where("n <> ''"), "n", "left").join(of("c", F.col("w").alias("n")).withColumnRenamed("c", "cn"), "n", "left")
+    )
+    common = (zero("c") + 0.5) / (total + 1)
+    common_n = (zero("cn") + 0.5) / (total + 1)
+    rate = starts / total
+    # of the full stops that may abbreviate as many are ends as the ends of stretches with the word let expect
+    ends = zero("e") + zero("z") + F.least(zero("m"), zero("z") * within)
+    p = (ends + 10 * rate) / (zero("c") + 10)
+    start = (zero("s") + 10 * common_n) / (starts + 10)
+    inside = (zero("b") + 5 * common_n) / (F.greatest(zero("c") - ends, F.lit(0.0)) + 5)
+    p = F.greatest(F.lit(1e-4), F.least(F.lit(0.97), p))
+    return about.select("key", p.alias("p"), (p * 0.05).alias("p_start"), (start / inside).alias("odds"))
+
+
 # --- the same model over a whole corpus, as tables --------------------------------------
 
 _PIECES = "row long, doc_id long, seq int, head string, key string, linked boolean, char_start int, char_end int, filled boolean"
@@ -407,12 +546,12 @@ def _pieces(documents: DataFrame) -> DataFrame:
             for row, doc, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 seq, text = 0, text.replace("\0", "\1")  # it separates the parts of a key
                 for begin, end in blocks(text):
-                    found = gaps(text, begin, end)
+                    found = gaps(text, begin, end) or word_gaps(text, begin, end)
                     tail, first = _ends(text, begin, end)
                     head, s, link = "\0".join(first), begin, False
                     for e, key in (*found, (end, tail)):
                         if s > begin and key is not tail:
-                            link = _linked(text, s, e)
+                            link = key[3] == "u" or _linked(text, s, e)
                         piece = text[s:e].rstrip()
                         bare = piece.lstrip()
                         filled = bool(bare) and (bare[0].isalnum() or any(map(str.isalnum, bare)))
@@ -453,9 +592,10 @@ def context_odds(counts: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     counts: (key, a, w, n, shape, times). p is the boundary's prior after the
     history, p_start that after a boundary, odds those of the word that
     follows. Every context counts, however rare and however many there are;
-    nothing but the sums by shape (seven) passes through the driver.
+    nothing but sums by shape (seven) and over all passes through the driver.
     """
-    words = counts.groupBy("shape", "n").agg((F.sum("times") >= FREQUENT).alias("frequent"))
+    bound = FREQUENT * (counts.agg(F.sum("times")).first()[0] or 0)
+    words = counts.groupBy("shape", "n").agg((F.sum("times") >= bound).alias("frequent"))
     told = counts.join(words, ["shape", "n"]).withColumn("n", F.when(F.col("frequent") | (F.col("n") == "$"), F.col("n")).otherwise("")).drop("frequent")
     inner = told.where("w <> '^'")
     count, ended = F.sum("times"), F.sum(F.when(F.col("n") == "$", F.col("times")).otherwise(0))
@@ -593,11 +733,19 @@ def sentences(documents: DataFrame, model: Model | None = None) -> DataFrame:
     from the ends and beginnings of paragraphs, headings and list items. It
     stays in tables: texts are read once and cut at every candidate, counted
     contexts of any number are judged by context_odds and joined to the
-    candidates. A model that is given instead travels as a broadcast.
+    candidates. A stretch without any mark has an event after every word
+    (character, where words aren't spaced) once it is longer than LEAST_WORDS;
+    these are judged by word_odds, with forward and backward sums over the
+    whole stretch; only if there are such stretches are the texts read again.
+    A model that is given instead travels as a broadcast and judges marks only.
     """
     if model is None:
         pieces = durable(_pieces(documents))
-        figures = context_odds(durable(_counts(pieces)))
+        counts = durable(_counts(pieces))
+        figures = context_odds(counts.where("shape <> 'u'"))
+        unmarked = counts.where("shape = 'u'").select("key", "w", "n")
+        if not unmarked.isEmpty():
+            figures = figures.unionByName(word_odds(unmarked, documents))
         judged = pieces.join(figures, "key", "left").select(
             "row", "seq", "doc_id", F.col("key").endswith("\0$\0$").alias("last"), "linked", "char_start", "char_end", "filled", "p", "p_start", "odds"
         )

@@ -133,3 +133,49 @@ def test_marks_of_unspaced_scripts(model):
     assert cut("သူရေးသည်။ သူဖတ်သည်။", model) == ["သူရေးသည်။", "သူဖတ်သည်။"]
     assert cut("ཡི་གེ་འབྲི། །དེབ་ཀློག །", model)[0] == "ཡི་གེ་འབྲི། །"
     assert cut("ຂ້ອຍຂຽນ ລາວອ່ານ", model) == ["ຂ້ອຍຂຽນ", "ລາວອ່ານ"]
+
+
+def _agreement(out, told):
+    """Precision and recall of the units of documents whose sentences are known, and how many are exactly right."""
+    both = sum(len(set(out[i]) & set(s)) for i, s in told.items())
+    return both / max(1, sum(map(len, out.values()))), both / sum(map(len, told.values()))
+
+
+def _unpunctuated(spark, marked, told, join=" "):
+    docs = [(i, t) for i, t in enumerate(marked)] + [(10_000 + i, join.join(s)) for i, s in told.items()]
+    texts = dict(docs)
+    out = {i: [] for i in told}
+    for r in S.sentences(spark.createDataFrame(docs, "doc_id long, text string")).where("doc_id >= 10000").collect():
+        out[r["doc_id"] - 10_000].append(texts[r["doc_id"]][r["char_start"] : r["char_end"]].strip())
+    return out
+
+
+def test_unpunctuated_english(spark):
+    """Transcripts without marks and capitals, held out from the marked text that the model learns from."""
+    rnd = random.Random(21)
+    noun, verb = ["river", "vector", "index", "harbor", "ledger", "graph", "bridge", "summary", "archive", "meeting"], ["quotes", "merges", "tracks", "splits", "renames"]
+    n, v = lambda: rnd.choice(noun), lambda: rnd.choice(verb)
+    say = lambda: rnd.choice([f"the {n()} {v()} the {n()} of every {n()}", f"when the {n()} {v()} a {n()} it {v()} the old {n()}", f"most of the {n()} {v()} them without a {n()}", f"we {v()} every {n()} before the {n()} {v()} us", f"in practice nobody {v()} the {n()} and the {n()}"])
+    marked = [" ".join(s.capitalize() + "." for s in (say() for _ in range(rnd.randint(2, 5)))) for _ in range(600)]
+    told = {i: [say() for _ in range(rnd.randint(8, 15))] for i in range(40)}
+    precision, recall = _agreement(_unpunctuated(spark, marked, told), told)
+    assert precision > 0.9 and recall > 0.9
+
+
+def test_unpunctuated_chinese(spark):
+    """The same without spaces: an event after every character."""
+    rnd = random.Random(22)
+    noun, verb = ["数据", "链接", "页面", "标题", "快照", "索引", "桥梁", "会议"], ["更新", "删除", "合并", "重复"]
+    n, v = lambda: rnd.choice(noun), lambda: rnd.choice(verb)
+    say = lambda: rnd.choice([f"今天{n()}又{v()}了{n()}吗", f"随后他们{v()}旧的{n()}了", f"通常{n()}不能{v()}任何{n()}呢"])
+    marked = ["".join(say() + "。" for _ in range(rnd.randint(2, 5))) for _ in range(500)]
+    told = {i: [say() for _ in range(rnd.randint(8, 12))] for i in range(30)}
+    precision, recall = _agreement(_unpunctuated(spark, marked, told, ""), told)
+    assert precision > 0.9 and recall > 0.9
+
+
+def test_unmarked_stretches_that_are_short_or_marked_stay_whole():
+    assert S.word_gaps("a title of a few words without a mark", 0, 37) == []
+    long = "word " * 60
+    assert len(S.word_gaps(long, 0, len(long))) == 59
+    assert S.word_gaps(long + ".", 0, len(long) + 1) == []
