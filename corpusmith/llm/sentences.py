@@ -383,7 +383,7 @@ def units(text: str, model: Model, memo: dict, threshold: float = 0.5) -> list[t
 
 # --- stretches without any mark: an event after every word --------------------------------
 
-LEAST_WORDS = 30  # a stretch without marks is one unit up to this length
+LEAST_WORDS = 30  # a stretch without marks is one unit up to this length; two characters count as a word where words aren't spaced
 SLOTS = 2**20
 _SIGN = re.compile(rf"[{_FINAL}]")
 _ALONE = "\u2e80-\u9fff\uf900-\ufaff"
@@ -404,7 +404,7 @@ def word_gaps(text: str, begin: int, end: int) -> list[tuple[int, tuple[str, str
     if end - begin < LEAST_WORDS or _SIGN.search(text, begin, end) or any("\u0e00" <= c <= "\u0eff" for c in text[begin : begin + 40]):
         return []
     words = words_of(text, begin, end)
-    if len(words) < LEAST_WORDS:
+    if sum(0.5 if len(w) == 1 and w > "\u2e7f" else 1 for _, w in words) < LEAST_WORDS:
         return []
     return [(e, ("", "·" + w, n, "u")) for (e, w), (_, n) in zip(words, words[1:], strict=False)]
 
@@ -424,18 +424,22 @@ def _word_counts(documents: DataFrame, slots: np.ndarray) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
-        asked: dict[str, bool] = {}
+        told: dict[str, tuple[str, int]] = {}
         seen: Counter = Counter()
 
-        def ask(word: str) -> bool:
-            out = asked[word] = bool(wanted[_slot(word)])
+        def tell(raw: str) -> tuple[str, int]:
+            """The word if it is asked for, and what is behind it: 0 no word at all, 1 no mark, 2 a full stop, 3 a clear mark."""
+            word = raw.strip("\"'“”„«»()[]*_`（）「」…,.:;!?").casefold()
+            bare = raw.rstrip("\"'”»)]*_`")
+            says = 0 if not word else 3 if _CLEAR.search(bare) else 2 if bare.endswith(".") else 1
+            out = told[raw] = (word if word and wanted[_slot(word)] else "", says)
             return out
 
         def flush() -> pa.RecordBatch:
             rows = [(*k, c) for k, c in seen.items()]
             columns = zip(*rows, strict=True) if rows else [[]] * 4
             seen.clear()
-            asked.clear()
+            told.clear()
             return pa.record_batch([pa.array(c, t) for c, t in zip(columns, [pa.string()] * 3 + [pa.int64()], strict=True)], names=["kind", "w", "n", "times"])
 
         for batch in batches:
@@ -443,30 +447,27 @@ def _word_counts(documents: DataFrame, slots: np.ndarray) -> DataFrame:
                 for begin, end in blocks(text):
                     if not _SIGN.search(text, begin, end):
                         continue
-                    before, total, clear = None, 0, False
-                    for m in _TOKEN.finditer(text, begin, end):
-                        raw = m.group().rstrip("\"'”»)]*_`")
-                        word = raw.strip("\"'“”„«»()[]*_`（）「」…,.:;!?").casefold()
-                        if not word:
+                    before, total, clear, dotted = None, 0, False, False
+                    for raw in _TOKEN.findall(text, begin, end):
+                        word, says = told.get(raw) or tell(raw)
+                        if not says:
                             continue
                         # what the mark behind the word before it says is counted once it is known not to be the last
                         if clear:
                             seen["e", before, ""] += 1
                             seen["x", "", ""] += 1
                             before = None
-                        elif total and dotted:
+                        elif dotted and total:
                             seen["m", before, ""] += 1
                             before = ""
                         total += 1
-                        known = asked.get(word)
-                        known = ask(word) if known is None else known
-                        if known:
+                        if word:
                             seen["c", word, ""] += 1
+                            if before:
+                                seen["b", before, word] += 1
                         if before is None:
-                            seen["s", "", word if known else ""] += 1
-                        elif known and before:
-                            seen["b", before, word] += 1
-                        before, clear, dotted = word if known else "", _CLEAR.search(raw) is not None, raw.endswith(".")
+                            seen["s", "", word] += 1
+                        before, clear, dotted = word, says == 3, says == 2
                     if total:
                         seen["z", before, ""] += 1
                         seen["y", "", ""] += clear

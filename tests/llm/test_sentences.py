@@ -179,3 +179,4 @@ def test_unmarked_stretches_that_are_short_or_marked_stay_whole():
     long = "word " * 60
     assert len(S.word_gaps(long, 0, len(long))) == 59
     assert S.word_gaps(long + ".", 0, len(long) + 1) == []
+    assert S.word_gaps("数据" * 25, 0, 50) == [] and len(S.word_gaps("数据" * 30, 0, 60)) == 59
