@@ -32,55 +32,101 @@ SCRIPTS = {
     "Russian": r"\x{0400}-\x{052F}",
     "Greek": r"\x{0370}-\x{03FF}\x{1F00}-\x{1FFF}",
 }
-# For each Latin-script language, in the order tried, letters of which one must occur (if any) and words of which one must.
+# For each Latin-script language, in the order tried, letters of which one must occur (if any) and words of which one must (if any).
 LATIN = [
-    ("Vietnamese", "ảạắằẳẵặấầẩẫậđẻẽẹếềểễệỉĩịỏọốồổỗộơớờởỡợủũụưứừửữựỷỹỵ", ""),
-    ("Turkish", "ğış", "bir|ve|ile|bu|da|de|ama"),
-    ("Polish", "ąćęłńóśźż", ""),
-    ("Czech", "ěšžřďťňů", ""),
-    ("Romanian", "ăâîșț", "sau|care|pentru"),
-    ("Hungarian", "őű", ""),
-    ("German", "", "und|der|die|das|ist"),
-    ("French", "", "le|la|les|est|une|des"),
-    ("Portuguese", "ãõç", "o|a|os|as|de|do|da|em|um|uma|que"),
-    ("Spanish", "", "el|los|las|del|por"),
-    ("Spanish", "ñ¿¡", ""),
-    ("Italian", "", "il|della|gli|che"),
-    ("Dutch", "", "het|een|van|dat"),
-    ("Swedish", "åäö", "och|att|det|en|ett|med"),
-    ("Norwegian", "åæø", "og|er|det|en|et|for|med|til|av|af"),
-    ("Finnish", "äö", "ja|on|ei|se|tai|kun|niin"),
-    ("Indonesian", "", "yang|dari|untuk|dengan|adalah"),
-    ("Swahili", "", "na|ya|wa|ni|kwa|katika|hii|hiyo"),
+    ("Vietnamese", "ảạắằẳẵặấầẩẫậđẻẽẹếềểễệỉĩịỏọốồổỗộơớờởỡợủũụưứừửữựỷỹỵ", []),
+    ("Turkish", "ğış", ["bir", "ve", "için", "ile", "bu", "da", "de", "değil", "ama"]),
+    ("Polish", "ąćęłńóśźż", []),
+    ("Czech", "ěšžřďťňů", []),
+    ("Romanian", "ăâîșț", ["și", "este", "sau", "care", "pentru"]),
+    ("Hungarian", "őű", []),
+    ("German", "", ["und", "der", "die", "das", "ist"]),
+    ("French", "", ["le", "la", "les", "est", "une", "des"]),
+    ("Portuguese", "ãõç", ["o", "a", "os", "as", "de", "do", "da", "é", "em", "um", "uma", "não", "que"]),
+    ("Spanish", "", ["el", "los", "las", "del", "por"]),
+    ("Spanish", "ñ¿¡", []),
+    ("Italian", "", ["il", "della", "gli", "che", "è"]),
+    ("Dutch", "", ["het", "een", "van", "dat"]),
+    ("Swedish", "åäö", ["och", "att", "det", "en", "ett", "är", "för", "med"]),
+    ("Norwegian", "åæø", ["og", "er", "det", "en", "et", "for", "med", "på"]),
+    ("Danish", "åæø", ["og", "er", "det", "en", "et", "til", "med", "af"]),
+    ("Finnish", "äö", ["ja", "on", "ei", "se", "että", "tai", "kun", "niin"]),
+    ("Indonesian", "", ["yang", "dari", "untuk", "dengan", "adalah"]),
+    ("Swahili", "", ["na", "ya", "wa", "ni", "kwa", "katika", "hii", "hiyo"]),
 ]
+# What tells Persian from Arabic, with how much each counts.
+PERSIAN_LETTERS = {"پچژگ": 3, "کی": 1}
+PERSIAN_WORDS = ["این", "است", "که", "برای", "های", "را", "در", "به", "از", "می", "یک"]
+ARABIC_LETTERS = {"كيةىإأؤئ": 1}
+ARABIC_WORDS = ["ال", "في", "من", "على", "هذا", "هذه", "إلى", "التي", "الذي", "كان"]
 
+_WORD = "0-9a-z_"
 
-def word_pattern(words: str) -> str:
-    """One of the words, bounded by anything but ASCII letters, digits and underscores (the same in every regex dialect)."""
-    return f"(^|[^0-9a-z_])({words})($|[^0-9a-z_])"
+
+def _odd(word: str) -> str:
+    """A word with other than ASCII letters, bounded as \\b bounds it, which knows ASCII only: at such a letter a neighbour that is one."""
+    plain = lambda c: c.isascii()
+    before = f"(^|[^{_WORD}])" if plain(word[0]) else f"[{_WORD}]"
+    after = f"($|[^{_WORD}])" if plain(word[-1]) else f"[{_WORD}]"
+    return f"{before}{word}{after}"
+
+
+def _has_word(lower: Column, tokens: Column, words: list[str]) -> Column:
+    """Whether one of the words occurs: ASCII ones among the tokens, which cut the text at everything else."""
+    ascii_, odd = [w for w in words if w.isascii()], [w for w in words if not w.isascii()]
+    test = F.arrays_overlap(tokens, F.array(*map(F.lit, ascii_)))
+    return test | lower.rlike("|".join(map(_odd, odd))) if odd else test
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), with value computed once however often it is looked at."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def language_of(text: Column) -> Column:
     """Name of the language: the most frequent script with two characters or more, else Latin rules, else English.
 
-    One kana beside ideographs makes a text Japanese. Null and empty texts are English.
+    One kana beside ideographs makes a text Japanese; Arabic script is Persian
+    if its letters and words speak for it more than for Arabic, and at least by
+    3. Equally frequent scripts are settled by the order of SCRIPTS. Null and
+    empty texts are English.
     """
     text = F.coalesce(text, F.lit(""))
     names = list(SCRIPTS)
 
     def counted(rest: Column) -> Column:
         counts = F.array(*[F.length(F.regexp_replace(rest, f"[^{chars}]+", "")) for chars in SCRIPTS.values()])
-        return F.element_at(F.transform(F.array(counts), lambda n: _by_script(n, names)), 1)
-
-    # ASCII is dropped once before scripts are counted; transform binds what is looked at several times
-    other = F.regexp_replace(text, r"[\x00-\x7F]+", "")
-    by_script = F.element_at(F.transform(F.array(other), counted), 1)
-    lower = F.lower(text)
-    out = F.when(by_script != "", by_script)
-    for name, letters, words in LATIN:
-        tests = ([lower.rlike(f"[{letters}]")] if letters else []) + ([lower.rlike(word_pattern(words))] if words else [])
-        out = out.when(tests[0] if len(tests) == 1 else tests[0] & tests[1], name)
-    return out.otherwise("English")
+        return F.when(F.length(rest) < 2, "").otherwise(_bound(counts, lambda n: _by_script(n, names)))
+
+    # what no script counts (ASCII, Latin letters, punctuation) is dropped once before scripts are counted
+    other = F.regexp_replace(text, r"[\x00-\x{036F}\x{2000}-\x{2BFF}\x{3000}-\x{303F}\x{FF01}-\x{FF64}]+", "")
+
+    def latin(lower: Column, tokens: Column) -> Column:
+        out = None
+        for name, letters, words in LATIN:
+            tests = ([lower.rlike(f"[{letters}]")] if letters else []) + ([_has_word(lower, tokens, words)] if words else [])
+            test = tests[0] if len(tests) == 1 else tests[0] & tests[1]
+            out = F.when(test, name) if out is None else out.when(test, name)
+        return out.otherwise("English")
+
+    def by_words(lower: Column) -> Column:
+        return _bound(F.array_distinct(F.split(lower, f"[^{_WORD}]+")), lambda tokens: latin(lower, tokens))
+
+    def named(script: Column) -> Column:
+        return F.when(script == "", _bound(F.lower(text), by_words)).when(script == "Arabic", F.when(_persian(text), "Persian").otherwise("Arabic")).otherwise(script)
+
+    return _bound(_bound(other, counted), named)
+
+
+def _persian(text: Column) -> Column:
+    """Whether letters and words of a text in Arabic script speak for Persian: by at least 3, and more than for Arabic."""
+    words = F.split(text, r"[^\p{L}\p{N}]+")
+
+    def score(letters: dict[str, int], known: list[str]) -> Column:
+        parts = [F.length(F.regexp_replace(text, f"[^{chars}]+", "")) * weight for chars, weight in letters.items()]
+        return sum(parts, F.lit(0)) + 2 * F.size(F.array_intersect(words, F.array(*map(F.lit, known))))
+
+    return (score(PERSIAN_LETTERS, PERSIAN_WORDS) >= 3) & (score(PERSIAN_LETTERS, PERSIAN_WORDS) > score(ARABIC_LETTERS, ARABIC_WORDS))
 
 
 def _by_script(counts: Column, names: list[str]) -> Column:

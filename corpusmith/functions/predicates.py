@@ -10,7 +10,7 @@ from corpusmith.functions import text as T
 
 # Extensions that can be ingested, folders an import leaves out, and data files that may hold settings.
 INGESTABLE = [
-    "md", "mdx", "txt", "pdf", "docx", "doc", "pptx", "ppt", "xlsx", "xls", "csv", "json", "html", "htm", "rtf", "xml", "yaml", "yml", "odt", "ods", "odp",
+    "md", "mdx", "txt", "pdf", "doc", "docx", "pptx", "xlsx", "odt", "odp", "ods", "xls", "csv", "json", "html", "htm", "rtf", "xml", "yaml", "yml",
 ]
 SKIPPED_FOLDERS = ["wiki", "cache", ".cache", ".git", "node_modules", ".obsidian"]
 SETTINGS = ["json", "yaml", "yml", "xml"]

@@ -154,17 +154,29 @@ def title_of(text: Column, path: Column) -> Column:
     return F.when(named != "", named).when(heading != "", heading).otherwise(F.replace(file_stem(path), F.lit("-"), F.lit(" ")))
 
 
-def snippet(text: Column, phrase: str, around: int = 80) -> Column:
-    """The stretch around the first match of a phrase, dots where it is cut, on one line; null without a match."""
-    at = F.instr(F.lower(text), phrase)
+def snippet(text: Column, phrase: str, around: int = 80, tokens: Sequence[str] = ()) -> Column:
+    """The stretch around the first match, dots where it is cut, on one line.
+
+    Matched is the phrase, else the first of the tokens that occurs; without
+    any match it is the beginning of the text.
+    """
+    low = F.lower(text)
+    places = [(F.instr(low, t.lower()), len(t)) for t in [phrase, *tokens] if t]
+    at, size = F.lit(1), F.lit(0)
+    for place, length in reversed(places):
+        at, size = F.when(place > 0, place).otherwise(at), F.when(place > 0, length).otherwise(size)
     start = F.greatest(at - around, F.lit(1))
-    end = at + len(phrase) + around
-    cut = F.concat(
-        F.when(start > 1, "...").otherwise(""),
-        F.substring(text, start, end - start),
-        F.when(end <= F.length(text), "...").otherwise(""),
-    )
-    return F.when(at > 0, F.replace(cut, F.lit("\n"), F.lit(" ")))
+    end = at + size + around
+    cut = F.concat(F.when(start > 1, "...").otherwise(""), F.substring(text, start, end - start), F.when(end <= F.length(text), "...").otherwise(""))
+    return F.replace(cut, F.lit("\n"), F.lit(" "))
+
+
+def vector_snippet(text: Column, heading: Column, around: int = 80) -> Column:
+    """The beginning of a chunk on one line after its heading path; empty for an empty chunk. Null counts as empty."""
+    line = F.replace(F.trim(F.coalesce(text, F.lit(""))), F.lit("\n"), F.lit(" "))
+    short = F.when(F.length(line) > 2 * around, F.concat(F.substring(line, 1, 2 * around), F.lit("..."))).otherwise(line)
+    bare = F.trim(F.coalesce(heading, F.lit("")))
+    return F.when((line == "") | (bare == ""), short).otherwise(F.concat(bare, F.lit(": "), short))
 
 
 LINK = r"\[\[([^\]|]+)(?:\|([^\]]*))?\]\]"

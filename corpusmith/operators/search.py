@@ -78,6 +78,12 @@ def page_scores(chunks: DataFrame) -> DataFrame:
     return grouped.select("page_id", (F.col("_top") + tail).alias("score"), "best_text", "chunks")
 
 
+def best_chunks(chunks: DataFrame, most: int = 3) -> DataFrame:
+    """The best few chunks of each page with their rank: (page_id, rank, chunk_id, ...). Ties go to the smaller chunk_id."""
+    order = Window.partitionBy("page_id").orderBy(F.desc("score"), "chunk_id")
+    return chunks.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= most)
+
+
 def ranked(hits: DataFrame, key: str, most: int) -> DataFrame:
     """1-based rank by descending score, then key.
 

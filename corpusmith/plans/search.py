@@ -48,20 +48,43 @@ def token_hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def snippets(spark: SparkSession, d: str) -> DataFrame:
-    found = T.snippet(F.col("text"), "broken index")
-    return load(spark, d, "documents").select("doc_id", found.alias("snippet")).where("snippet is not null")
+    """What is shown of every document: the place of the phrase, else of the first token that occurs, else the beginning."""
+    found = T.snippet(F.col("text"), "broken index", tokens=TOKENS)
+    return load(spark, d, "documents").where("text is not null").select("doc_id", found.alias("snippet"))
+
+
+def _store(spark: SparkSession, d: str) -> DataFrame:
+    """The chunk store: the latest row of each chunk."""
+    at = F.coalesce(F.col("upserted_at"), F.lit("1970-01-01").cast("timestamp_ntz"))
+    row = F.struct("page_id", "chunk_index", "chunk_text", "heading_path", "embedding")
+    rows = load(spark, d, "wiki_chunks").where("chunk_id is not null").groupBy("chunk_id").agg(F.max_by(row, at).alias("r"))
+    return rows.select("chunk_id", "r.*")
+
+
+def _asked(spark: SparkSession, d: str) -> list[float]:
+    """A query vector: that of the chunk with the smallest id that has a usable one."""
+    row = _store(spark, d).where(S.usable_vector(F.col("embedding"), 64)).orderBy("chunk_id").select("embedding").limit(1).collect()
+    return [float(x) for x in row[0]["embedding"]] if row else [0.0] * 64
 
 
 def vector_knn(spark: SparkSession, d: str) -> DataFrame:
-    near = S.nearest_chunks(_chunks(spark, d), _vector(spark, d), 60)
-    return near.select("chunk_id", "page_id", F.round("score", 6).alias("score"))
+    """The chunks of the store nearest to a query vector, with what is shown of each."""
+    near = S.nearest_chunks(_store(spark, d), _asked(spark, d), 60)
+    shown = T.vector_snippet(F.col("chunk_text"), F.col("heading_path"))
+    return near.select("chunk_id", "page_id", F.round("score", 6).alias("score"), shown.alias("snippet"))
 
 
 def vector_pages(spark: SparkSession, d: str) -> DataFrame:
-    pages = S.page_scores(S.nearest_chunks(_chunks(spark, d), _vector(spark, d), 60))
+    pages = S.page_scores(S.nearest_chunks(_store(spark, d), _asked(spark, d), 60))
     return pages.select("page_id", F.round("score", 6).alias("score"), "best_text", "chunks")
 
 
+def vector_best_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The best three chunks of each page that a query vector finds."""
+    near = S.nearest_chunks(_store(spark, d), _asked(spark, d), 60)
+    return S.best_chunks(near).select("page_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
     found = S.hybrid_search(_pages(spark, d), _chunks(spark, d), QUERY, _vector(spark, d))
     return found.select("page_id", F.round("score", 8).alias("score"), "token_rank", "vector_rank")
@@ -82,7 +105,7 @@ def recorded_hits(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (keyword_search, token_hits, snippets, vector_knn, vector_pages, hybrid_rrf, vector_only_pages, recorded_hits)}
+QUERIES = {f.__name__: f for f in (keyword_search, token_hits, snippets, vector_knn, vector_pages, vector_best_chunks, hybrid_rrf, vector_only_pages, recorded_hits)}
 
 _TEXT = "coalesce(text, '')"
 _NAME = "list_last(string_split(path, '/'))"
@@ -119,16 +142,29 @@ page as (
   select page_id, top + least(0.3 * (total - top), greatest(0.0, 1 - top)) score, best_text, chunks from (
     select page_id, max(score) top, sum(score) total, count(*) chunks, arg_max(chunk_text, (score, -chunk_index)) best_text from near group by page_id))"""
 
+_STORE = """
+last as (select chunk_id, arg_max(struct_pack(p := page_id, i := chunk_index, t := chunk_text, h := heading_path, e := embedding), coalesce(upserted_at, timestamp '1970-01-01')) r from wiki_chunks where chunk_id is not null group by 1),
+store as (select chunk_id, r.p page_id, r.i chunk_index, r.t chunk_text, r.h heading_path, r.e::double[] e from last where len(r.e) = 64 and len(list_filter(r.e, lambda x: x is null or not isfinite(x))) = 0),
+v as (select e v from store order by chunk_id limit 1),
+hit as (select *, 1 / (1 + sqrt(list_sum(list_transform(list_zip(e, v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))) score from store, v order by score desc, chunk_id limit 60)"""
+_ANCHOR = " ".join(f"when contains(l, '{t}') then instr(l, '{t}')" for t in TOKENS)
+_ANCHOR_SIZE = " ".join(f"when contains(l, '{t}') then {len(t)}" for t in TOKENS)
+
 ORACLE = {
     "keyword_search": f"with {_WORDS} select row_number() over (order by score desc, path) as rank, * from words qualify rank <= 20",
     "token_hits": " union all ".join(
         f"select '{t}' as token, count(*) as documents, cast(sum({_times('lower(text)', t)}) as bigint) as occurrences from documents where contains(lower(text), '{t}') having count(*) > 0" for t in TOKENS
     ),
-    "snippets": """
+    "snippets": f"""
 select doc_id, replace(case when s > 1 then '...' else '' end || substr(text, s, e - s) || case when e <= length(text) then '...' else '' end, chr(10), ' ') as snippet
-from (select doc_id, text, greatest(a - 80, 1) s, a + 12 + 80 e from (select *, instr(lower(text), 'broken index') a from documents) where a > 0)""",
-    "vector_knn": f"with {_NEAR} select chunk_id, page_id, round(score, 6) as score from near",
-    "vector_pages": f"with {_NEAR} select page_id, round(score, 6) as score, best_text, chunks from page",
+from (select doc_id, text, greatest(a - 80, 1) s, a + n + 80 e from (
+  select *, case when contains(l, 'broken index') then instr(l, 'broken index') {_ANCHOR} else 1 end a,
+    case when contains(l, 'broken index') then 12 {_ANCHOR_SIZE} else 0 end n from (select doc_id, text, lower(text) l from documents where text is not null)))""",
+    "vector_knn": f"""with {_STORE} select chunk_id, page_id, round(score, 6) as score, case when t = '' then '' else case when h <> '' then h || ': ' else '' end || case when length(t) > 160 then substr(t, 1, 160) || '...' else t end end as snippet
+from (select *, replace(trim(coalesce(chunk_text, '')), chr(10), ' ') t, trim(coalesce(heading_path, '')) h from hit)""",
+    "vector_pages": f"""with {_STORE} select page_id, round(top + least(0.3 * (total - top), greatest(0.0, 1 - top)), 6) as score, best_text, chunks from (
+    select page_id, max(score) top, sum(score) total, count(*) chunks, arg_max(chunk_text, (score, -chunk_index)) best_text from hit group by page_id)""",
+    "vector_best_chunks": f"with {_STORE} select page_id, row_number() over (partition by page_id order by score desc, chunk_id) as rank, chunk_id, round(score, 6) as score from hit qualify rank <= 3",
     "hybrid_rrf": f"""with {_WORDS}, {_NEAR},
 a as (select page_id, row_number() over (order by score desc, path) token_rank from words),
 b as (select page_id, row_number() over (order by score desc, page_id) vector_rank from page qualify vector_rank <= 20)

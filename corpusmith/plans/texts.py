@@ -10,7 +10,7 @@ from corpusmith.functions import predicates as P
 from corpusmith.functions import text as T
 from corpusmith.functions.records import parse_front_matter
 from corpusmith.session import load
-from corpusmith.sources.files import _CATEGORY, category
+from corpusmith.sources.files import category
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -115,7 +115,9 @@ def safe_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def source_categories(spark: SparkSession, d: str) -> DataFrame:
-    rows = _docs(spark, d).where("source is not null").select(category(F.col("source")).alias("category"))
+    """Sources and paths of the documents by category."""
+    docs = load(spark, d, "documents")
+    rows = docs.select("source").union(docs.select("path")).toDF("path").where("path is not null").select(category(F.col("path")).alias("category"))
     return rows.groupBy("category").agg(F.count("*").alias("documents"))
 
 
@@ -128,19 +130,77 @@ QUERIES = {
 }
 
 
+# the SQL states the rules itself, as one rule a line, so that it checks those of the code
+_SCRIPT_SQL = """
+Chinese [\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}\\x{20000}-\\x{2A6DF}]
+Japanese [\\x{3040}-\\x{309F}\\x{30A0}-\\x{30FF}\\x{31F0}-\\x{31FF}\\x{FF65}-\\x{FF9F}]
+Korean [\\x{AC00}-\\x{D7AF}\\x{1100}-\\x{11FF}\\x{3130}-\\x{318F}]
+Arabic [\\x{0600}-\\x{06FF}\\x{0750}-\\x{077F}\\x{08A0}-\\x{08FF}\\x{FB50}-\\x{FDFF}\\x{FE70}-\\x{FEFF}]
+Hebrew [\\x{0590}-\\x{05FF}\\x{FB1D}-\\x{FB4F}]
+Thai [\\x{0E00}-\\x{0E7F}]
+Hindi [\\x{0900}-\\x{097F}]
+Bengali [\\x{0980}-\\x{09FF}]
+Tamil [\\x{0B80}-\\x{0BFF}]
+Telugu [\\x{0C00}-\\x{0C7F}]
+Kannada [\\x{0C80}-\\x{0CFF}]
+Malayalam [\\x{0D00}-\\x{0D7F}]
+Gujarati [\\x{0A80}-\\x{0AFF}]
+Punjabi [\\x{0A00}-\\x{0A7F}]
+Burmese [\\x{1000}-\\x{109F}]
+Khmer [\\x{1780}-\\x{17FF}]
+Lao [\\x{0E80}-\\x{0EFF}]
+Georgian [\\x{10A0}-\\x{10FF}\\x{2D00}-\\x{2D2F}]
+Armenian [\\x{0530}-\\x{058F}]
+Amharic [\\x{1200}-\\x{137F}]
+Tibetan [\\x{0F00}-\\x{0FFF}]
+Sinhala [\\x{0D80}-\\x{0DFF}]
+Russian [\\x{0400}-\\x{04FF}\\x{0500}-\\x{052F}]
+Greek [\\x{0370}-\\x{03FF}\\x{1F00}-\\x{1FFF}]
+"""
+_LATIN_SQL = """
+Vietnamese ảạắằẳẵặấầẩẫậđẻẽẹếềểễệỉĩịỏọốồổỗộơớờởỡợủũụưứừửữựỷỹỵ -
+Turkish ğış (^|A)(bir|ve|için|ile|bu|da|de|değil|ama)(A|$)
+Polish ąćęłńóśźż -
+Czech ěšžřďťňů -
+Romanian ăâîșț (^|A)(este|sau|care|pentru)(A|$)|Bși(A|$)
+Hungarian őű -
+German - (^|A)(und|der|die|das|ist)(A|$)
+French - (^|A)(le|la|les|est|une|des)(A|$)
+Portuguese ãõç (^|A)(o|a|os|as|de|do|da|em|um|uma|não|que)(A|$)|BéB
+Spanish - (^|A)(el|los|las|del|por)(A|$)
+Spanish ñ¿¡ -
+Italian - (^|A)(il|della|gli|che)(A|$)|BèB
+Dutch - (^|A)(het|een|van|dat)(A|$)
+Swedish åäö (^|A)(och|att|det|en|ett|för|med)(A|$)|Bär(A|$)
+Norwegian åæø (^|A)(og|er|det|en|et|for|med)(A|$)|(^|A)påB
+Danish åæø (^|A)(og|er|det|en|et|til|med|af)(A|$)
+Finnish äö (^|A)(ja|on|ei|se|tai|kun|niin)(A|$)|(^|A)ettäB
+Indonesian - (^|A)(yang|dari|untuk|dengan|adalah)(A|$)
+Swahili - (^|A)(na|ya|wa|ni|kwa|katika|hii|hiyo)(A|$)
+"""
+
+
 def _language() -> str:
-    t, low = "t", "lower(t)"
-    n = {name: f"length(regexp_replace({t}, '[^{chars}]', '', 'g'))" for name, chars in L.SCRIPTS.items()}
-    most = "m"
+    scripts = [line.split(" ") for line in _SCRIPT_SQL.split("\n") if line]
+    counts = ", ".join(f"length(regexp_replace(t, '[^{chars[1:]}', '', 'g')) n_{name}" for name, chars in scripts)
+    persian = (
+        "case when p >= 3 and p > q then 'Persian' else 'Arabic' end"
+    )
     out = "case when n_Japanese > 0 and n_Chinese > 0 then 'Japanese' "
-    out += " ".join(f"when {most} >= 2 and n_{k} = {most} then '{k}'" for k in n)
-    for name, letters, words in L.LATIN:
-        tests = ([f"regexp_matches(l, '[{letters}]')"] if letters else []) + ([f"regexp_matches(l, '{L.word_pattern(words)}')"] if words else [])
+    out += " ".join(f"when m >= 2 and n_{name} = m then {persian if name == 'Arabic' else repr(name)}" for name, _ in scripts)
+    for line in filter(None, _LATIN_SQL.split("\n")):
+        name, letters, words = line.split(" ")
+        tests = [f"regexp_matches(l, '[{letters}]')"] if letters != "-" else []
+        if words != "-":
+            tests.append("regexp_matches(l, '" + words.replace("A", "[^0-9a-z_]").replace("B", "[0-9a-z_]") + "')")
         out += f" when {' and '.join(tests)} then '{name}'"
-    counts = ", ".join(f"{v} n_{k}" for k, v in n.items())
+    score = (
+        "3 * length(regexp_replace(t, '[^پچژگ]', '', 'g')) + length(regexp_replace(t, '[^کی]', '', 'g')) + 2 * len(list_filter(['این', 'است', 'که', 'برای', 'های', 'را', 'در', 'به', 'از', 'می', 'یک'], lambda x: contains(s, ' ' || x || ' '))) p, "
+        "length(regexp_replace(t, '[^كيةىإأؤئ]', '', 'g')) + 2 * len(list_filter(['ال', 'في', 'من', 'على', 'هذا', 'هذه', 'إلى', 'التي', 'الذي', 'كان'], lambda x: contains(s, ' ' || x || ' '))) q"
+    )
     return (
-        f"lang_ as (select doc_id, lang, {out} else 'English' end as language from (select *, greatest({', '.join(f'n_{k}' for k in n)}) m from "
-        f"(select doc_id, lang, {low} l, {counts} from (select doc_id, lang, coalesce(text, '') t from documents))))"
+        f"lang_ as (select doc_id, lang, {out} else 'English' end as language from (select *, greatest({', '.join(f'n_{name}' for name, _ in scripts)}) m from "
+        f"(select doc_id, lang, lower(t) l, {counts}, {score} from (select doc_id, lang, coalesce(text, '') t, ' ' || regexp_replace(coalesce(text, ''), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' ' s from documents))))"
     )
 
 
@@ -153,19 +213,28 @@ def _scalar(name: str) -> str:
     return f"regexp_replace(trim(regexp_extract({_FRONT}, '(?m)^{name}:[ \\t]*(.*)$', 1)), '^[\"''](.*)[\"'']$', '\\1')"
 
 
-_FOLDERS = " ".join(f"when contains(path, '/{f}/') then '{k}'" for f, k in T.PAGE_FOLDERS.items())
+_FOLDERS = """when contains(path, '/entities/') then 'entity' when contains(path, '/concepts/') then 'concept' when contains(path, '/sources/') then 'source'
+        when contains(path, '/queries/') then 'query' when contains(path, '/comparisons/') then 'comparison' when contains(path, '/synthesis/') then 'synthesis'
+        when contains(path, '/findings/') then 'finding' when contains(path, '/thesis/') then 'thesis' when contains(path, '/methodology/') then 'methodology'"""
 _IDENTITY = "lower(regexp_replace(trim(replace({}, '\\', '/')), '^.*?raw/sources/', '', 'i'))"
-_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
-_SEP = T.SEPARATORS.replace("'", "''")
+_STOP = """'的', '是', '了', '什么', '在', '有', '和', '与', '对', '从', 'the', 'is', 'a', 'an', 'what', 'how', 'are', 'was', 'were', 'do', 'does', 'did', 'be', 'been', 'being',
+        'have', 'has', 'had', 'it', 'its', 'in', 'on', 'at', 'to', 'for', 'of', 'with', 'by', 'this', 'that', 'these', 'those'"""
+_SEP = r"[\s!-/:-@\[-`{-~，。！？、；：“”‘’（）·～…]+"
 
 ORACLE = {
     "front_matter_records": f"""select doc_id, cast(len(l) as int) as fields, cast(len(list_filter(l, lambda x: not regexp_matches(x, '^tags:'))) + case when contains(f, 'tags:') then len(string_split(regexp_extract(f, '(?m)^tags:[ \\t]*\\[(.*)\\]', 1), ',')) else 0 end as int) as entries,
         regexp_extract(f, '(?m)^type:[ \\t]*(.*)$', 1) as type from (select doc_id, f, list_filter(string_split(f, chr(10)), lambda x: contains(x, ':')) l from (select doc_id, {_FRONT} f from documents) where f <> '')""",
     "safe_paths": f"""with p as (select distinct path, replace(path, '\\', '/') q from file_change_tasks where path is not null), e as (select *, string_split(q, '/') parts, list_last(string_split(q, '/')) n from p)
-        select regexp_extract(lower(n), '.\\.([^.]*)$', 1) in ({", ".join(f"'{x}'" for x in P.INGESTABLE)}) and not list_contains(parts, '.cache') and not starts_with(n, '.') as ingestable,
-          len(list_filter(parts, lambda x: lower(x) in ({", ".join(f"'{x}'" for x in P.SKIPPED_FOLDERS)}) or (starts_with(x, '.') and x not in ('.', '..')))) = 0 and regexp_extract(lower(n), '.\\.([^.]*)$', 1) not in ('json', 'yaml', 'yml', 'xml') and n <> '' as importable,
+        select regexp_extract(lower(n), '.\\.([^.]*)$', 1) in ('md', 'mdx', 'txt', 'pdf', 'doc', 'docx', 'pptx', 'xlsx', 'odt', 'odp', 'ods', 'xls', 'csv', 'json', 'html', 'htm', 'rtf', 'xml', 'yaml', 'yml') and not list_contains(parts, '.cache') and not starts_with(n, '.') as ingestable,
+          len(list_filter(parts, lambda x: lower(x) in ('wiki', 'cache', '.cache', '.git', 'node_modules', '.obsidian') or (starts_with(x, '.') and x not in ('.', '..')))) = 0 and regexp_extract(lower(n), '.\\.([^.]*)$', 1) not in ('json', 'yaml', 'yml', 'xml') and n <> '' as importable,
           starts_with(q, 'wiki/') and len(list_filter(parts, lambda x: x in ('', '.', '..') or regexp_matches(x, '[<>:"|?*]|[. ]$'))) = 0 as page, count(*) as paths from e group by 1, 2, 3""",
-    "source_categories": "select case lower(regexp_extract(source, '.\\.([^./]*)$', 1)) " + " ".join(f"when '{e}' then '{c}'" for e, c in _CATEGORY.items()) + " else 'other' end as category, count(*) as documents from documents where source is not null group by 1",
+    "source_categories": """select case when e in ('md', 'mdx') then 'markdown' when e in ('txt', 'rtf', 'log') then 'text' when e = 'pdf' then 'pdf'
+        when e in ('json', 'jsonl', 'csv', 'tsv', 'yaml', 'yml', 'ndjson') then 'data' when e in ('mp4', 'webm', 'mov', 'avi', 'mkv', 'flv', 'wmv', 'm4v') then 'video'
+        when e in ('mp3', 'wav', 'ogg', 'flac', 'aac', 'm4a', 'wma') then 'audio' when e in ('doc', 'docx', 'xls', 'xlsx', 'ppt', 'pptx', 'odt', 'ods', 'odp', 'pages', 'numbers', 'key', 'epub') then 'document'
+        when e in ('png', 'jpg', 'jpeg', 'gif', 'webp', 'bmp', 'ico', 'tiff', 'tif', 'avif', 'heic', 'heif') then 'image'
+        when e in ('js', 'jsx', 'ts', 'tsx', 'py', 'rs', 'go', 'java', 'c', 'cpp', 'h', 'hpp', 'rb', 'php', 'swift', 'kt', 'scala', 'sh', 'bash', 'zsh', 'sql', 'r', 'lua', 'css', 'scss', 'less', 'html', 'htm',
+          'xml', 'svg', 'vue', 'svelte', 'toml', 'ini', 'cfg', 'conf', 'dockerfile', 'makefile') then 'code' else 'unknown' end as category, count(*) as documents
+        from (select lower(list_last(string_split(p, '.'))) e from (select source p from documents union all select path from documents) where p is not null) group by 1""",
     "language_id": f"with {_language()} select doc_id, language from lang_",
     "language_mismatch": f"with {_language()} select lower(substr(coalesce(lang, ''), 1, 2)) as stated, language, count(*) as documents from lang_ group by 1, 2",
     "doc_titles": f"""select doc_id, case when {_scalar("title")} <> '' then {_scalar("title")}

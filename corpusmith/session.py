@@ -28,14 +28,23 @@ def load(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df through files that every executor can read.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data that every executor can read: the cluster's ``spark.checkpoint.dir``.
 
-    The folder is the cluster's ``spark.checkpoint.dir``. Only where that is
-    unset (tests, a single machine) is a temporary folder used.
+    Where that is unset, a temporary one serves a single machine; on a cluster
+    it is an error.
     """
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if shared:
+        return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="corpusmith-")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage of df through files in shared_folder that every executor can read."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="corpusmith-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

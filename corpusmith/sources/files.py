@@ -16,16 +16,26 @@ from corpusmith.functions import text as T
 
 # The category of each extension.
 CATEGORIES = {
-    "markdown": "md mdx markdown", "text": "txt rst log", "data": "json jsonl csv tsv yaml yml xml toml", "code": "py js ts tsx jsx rs go java c cpp h rb php swift kt sh sql html css",
-    "pdf": "pdf", "document": "docx doc odt rtf", "presentation": "pptx ppt odp", "spreadsheet": "xlsx xls ods", "image": "png jpg jpeg gif webp svg bmp tiff", "media": "mp3 wav ogg flac m4a mp4 mov avi mkv webm",
+    "markdown": ["md", "mdx"],
+    "text": ["txt", "rtf", "log"],
+    "code": [
+        "js", "jsx", "ts", "tsx", "py", "rs", "go", "java", "c", "cpp", "h", "hpp", "rb", "php", "swift", "kt", "scala", "sh", "bash", "zsh", "sql", "r", "lua",
+        "css", "scss", "less", "html", "htm", "xml", "svg", "vue", "svelte", "toml", "ini", "cfg", "conf", "dockerfile", "makefile",
+    ],
+    "image": ["png", "jpg", "jpeg", "gif", "webp", "bmp", "ico", "tiff", "tif", "avif", "heic", "heif"],
+    "video": ["mp4", "webm", "mov", "avi", "mkv", "flv", "wmv", "m4v"],
+    "audio": ["mp3", "wav", "ogg", "flac", "aac", "m4a", "wma"],
+    "pdf": ["pdf"],
+    "document": ["doc", "docx", "xls", "xlsx", "ppt", "pptx", "odt", "ods", "odp", "pages", "numbers", "key", "epub"],
+    "data": ["json", "jsonl", "csv", "tsv", "yaml", "yml", "ndjson"],
 }
-_CATEGORY = {e: c for c, es in CATEGORIES.items() for e in es.split()}
+_CATEGORY = {e: c for c, es in CATEGORIES.items() for e in es}
 
 
 def category(path: Column) -> Column:
-    """Category of a file by its extension, ``other`` for unknown ones."""
+    """Category of a file by what follows its last dot (the whole path where there is none), ``unknown`` for unknown ones."""
     table = F.create_map(*[F.lit(x) for pair in _CATEGORY.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, T.extension(path)), F.lit("other"))
+    return F.coalesce(F.try_element_at(table, F.lower(F.substring_index(path, ".", -1))), F.lit("unknown"))
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
@@ -181,7 +191,7 @@ def extract_one(path: str, data: bytes) -> str:
             return readers[ext](data)
         except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, StopIteration) as problem:
             return f"[{name}: can't be read ({type(problem).__name__})]"
-    if _CATEGORY.get(ext) in ("image", "media") or ext in ("pdf", "doc", "ppt", "xls"):
+    if _CATEGORY.get(ext) in ("image", "video", "audio") or ext in ("pdf", "doc", "ppt", "xls"):
         return f"[{_CATEGORY[ext]}: {name}]"
     return data.decode("utf-8", "replace")
 
@@ -189,21 +199,21 @@ def extract_one(path: str, data: bytes) -> str:
 def read_texts(spark: SparkSession, root: str, largest: int = 32 * 2**20) -> DataFrame:
     """Text of every file below a folder: (path, category, sha256, text).
 
-    Files over ``largest`` bytes have neither hash nor text: their content
-    isn't read. Hidden files are left out. A file that can't be parsed gives a
-    placeholder that says so.
+    Files over ``largest`` bytes have no hash, as change detection doesn't hash
+    them, but their text. Hidden files are left out. A file that can't be
+    parsed gives a placeholder that says so.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    small = files.where((F.col("length") <= largest) & ~T.file_name(F.col("path")).startswith("."))
+    shown = files.where(~T.file_name(F.col("path")).startswith("."))
+    hashed = F.when(F.col("length") <= largest, F.sha2("content", 256))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [extract_one(p, d or b"") for p, d in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["path", "sha256", "text"])
 
-    read = small.select("path", F.sha2("content", 256).alias("sha256"), "content").mapInArrow(extract, "path string, sha256 string, text string")
-    large = files.where(F.col("length") > largest).select("path", F.lit(None).cast("string").alias("sha256"), F.lit(None).cast("string").alias("text"))
-    return read.unionByName(large).select("path", category(F.col("path")).alias("category"), "sha256", "text")
+    read = shown.select("path", hashed.alias("sha256"), "content").mapInArrow(extract, "path string, sha256 string, text string")
+    return read.select("path", category(F.col("path")).alias("category"), "sha256", "text")
 
 
 def write_conversations(messages: DataFrame, folder: str, most: int = 100) -> None:

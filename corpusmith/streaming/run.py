@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusmith.session import shared_folder
+
 
 def read_stream(spark: SparkSession, directory: str, table: str, files_per_batch: int = 1000) -> DataFrame:
     """A table of a data directory as a file stream; it may be one file or a directory of files."""
@@ -16,14 +18,12 @@ def read_stream(spark: SparkSession, directory: str, table: str, files_per_batch
 def run_once(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
     """Process everything available, then stop; the result as a batch DataFrame.
 
-    Output and progress go to a new folder under the cluster's shared
-    ``spark.checkpoint.dir`` (or under ``folder``), a temporary one where
-    neither is set. With ``complete`` or ``update`` the last version of the
+    Output and progress go to a new folder under ``folder`` or the session's
+    shared folder. With ``complete`` or ``update`` the last version of the
     output is written by foreachBatch.
     """
     spark = stream.sparkSession
-    shared = folder or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    base = f"{shared.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{id(stream)}" if shared else tempfile.mkdtemp(prefix="corpusmith-stream-")
+    base = f"{(folder or shared_folder(spark)).rstrip('/')}/stream-{uuid.uuid4()}"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/progress").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", f"{base}/out").start()

@@ -42,7 +42,7 @@ def test_read_texts(spark, tmp_path):
     (tmp_path / "big.txt").write_text("x" * 500)
     out = {r["path"].rpartition("/")[2]: r for r in files.read_texts(spark, str(tmp_path), largest=450 + len(DOCX) // 10**6).collect()}
     assert out["a.md"]["text"] == "# hi" and out["a.md"]["category"] == "markdown" and out["p.png"]["text"] == "[image: p.png]"
-    assert "can't be read" in out["bad.docx"]["text"] and out["big.txt"]["text"] is None and out["big.txt"]["sha256"] is None
+    assert "can't be read" in out["bad.docx"]["text"] and out["big.txt"]["text"] == "x" * 500 and out["big.txt"]["sha256"] is None
     listed = files.list_files(spark, str(tmp_path))
     assert {r["rel"] for r in listed.collect()} == {"sub/a.md", "c.docx", "bad.docx", "p.png", "big.txt"}
     tree = files.file_tree(listed).collect()

@@ -21,7 +21,8 @@ def one(spark, value, f, kind="string"):
         ("The quick brown fox", "English"), ("这是中文", "Chinese"), ("これは日本語です漢字", "Japanese"), ("한국어 문장", "Korean"), ("Это по-русски", "Russian"),
         ("der Hund und die Katze", "German"), ("le chat est une bête", "French"), ("el niño y las casas", "Spanish"), ("สวัสดีครับ", "Thai"), ("مرحبا بالعالم", "Arabic"),
         ("", "English"), (None, "English"), ("Tôi yêu tiếng Việt đẹp", "Vietnamese"), ("Καλημέρα κόσμε", "Greek"), ("नमस्ते दुनिया", "Hindi"), ("ሰላም ለዓለም", "Amharic"),
-        ("il gatto che dorme", "Italian"), ("漢", "English"),
+        ("il gatto che dorme", "Italian"), ("漢", "English"), ("این کتاب برای شما است", "Persian"), ("هذا كتاب من المكتبة", "Arabic"), ("پچ گژ", "Persian"),
+        ("jeg er hjemme og på tur", "Norwegian"), ("jeg går til bageren af lyst på ø", "Danish"), ("bu değil için şey", "Turkish"), ("aceasta este o carte în română", "Romanian"), ("não há coração", "Portuguese"),
     ],
 )
 def test_language(spark, text, language):
@@ -35,7 +36,8 @@ def test_text_functions(spark):
     assert s(T.folder_context, "/x/raw/sources/papers/2024/a.pdf") == "papers > 2024" and s(T.source_identity, "Raw\\Sources\\a.md") == "a.md"
     assert s(T.link_key, "wiki/Big_Idea two.md") == "bigideatwo" and s(T.slug_of, "  Ünïcode — title! ") == "ünïcode-title"
     assert s(T.host_of, "https://www.example.org/x?y") == "example.org" and s(T.host_of, "nonsense") == ""
-    assert s(lambda c: T.snippet(c, "needle", 3), "aaaa\nNeedle bbbb") == "...aa Needle bb..." and s(lambda c: T.snippet(c, "zzz"), "abc") is None
+    assert s(lambda c: T.snippet(c, "needle", 3), "aaaa\nNeedle bbbb") == "...aa Needle bb..." and s(lambda c: T.snippet(c, "zzz"), "abc") == "abc"
+    assert s(lambda c: T.snippet(c, "zzz", 2, ["q", "needle"]), "aaaa Needle bbbb") == "...a Needle b..." and s(lambda c: T.snippet(c, "zzz"), None) is None
     assert [tuple(x) for x in s(T.wiki_links, "[[a]] [[ b | the b ]] [[]] [[c|]]")] == [("a", ""), ("b", "the b"), ("c", "")]
     assert s(T.local_images, "![x](a.png) ![[b.png]] ![y](http://c/d.png) ![z](a.png)") == ["a.png", "b.png"]
     assert s(T.review_title, " Missing page:  The   Thing ") == "the thing"
