@@ -67,8 +67,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_name_groups(spark: SparkSession, d: str) -> DataFrame:
-    keys = names.same_names(load(spark, d, "entities"))
-    return keys.groupBy("name_key").agg(F.min("entity_id").alias("first_entity_id"), F.count("*").alias("entities"))
+    return names.name_classes(load(spark, d, "entities"))
 
 
 def p6_pack(spark: SparkSession, d: str) -> DataFrame:
