@@ -138,6 +138,16 @@ def scalar_field(front: Column, name: str) -> Column:
     return F.regexp_replace(raw, r"""^["'](.*)["']$""", "$1")
 
 
+def with_scalar(text: Column, name: str, value: Column) -> Column:
+    """A page with a scalar of its front matter set: its line replaced, or one added at the end. Without front matter the text stays."""
+    front = front_matter(text)
+    line = F.concat(F.lit(f"{name}: "), value)
+    lines = F.split(front, "\n")
+    has = F.exists(lines, lambda row: row.startswith(f"{name}:"))
+    new = F.when(has, F.transform(lines, lambda row: F.when(row.startswith(f"{name}:"), line).otherwise(row))).otherwise(F.concat(lines, F.array(line)))
+    return F.when(front != "", F.concat(F.lit("---\n"), F.array_join(new, "\n"), F.lit("\n---\n"), body_of(text))).otherwise(text)
+
+
 def list_field(front: Column, name: str) -> Column:
     """A list of the front matter, inline or as a block; empty if absent."""
     inline = F.regexp_extract(front, rf"(?m)^{name}:[ \t]*\[(.*)\][ \t]*$", 1)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmith.functions import text as T
-from corpusmith.session import durable
+from corpusmith.session import durable, written
 
 # How well two page types go together; 0.5 for types not listed.
 AFFINITY = {
@@ -86,7 +86,7 @@ def relevance(nodes: DataFrame, edges: DataFrame, sources: DataFrame, seeds: Dat
     seed shares with the node's list (a source the node lists twice counts
     twice), 1.5 / ln(max(degree, 2)) for each common neighbour, plus the
     affinity of the types. Pairs that share nothing have their affinity alone,
-    at most 1.2, and aren't generated. A node without a type has ``other``.
+    at most 1.2, and aren't generated (fill_related adds them where a list is short). A node without a type has ``other``.
     """
     wanted = seeds.select(F.col("node").alias("seed")).distinct()
     direct = wanted.join(edges, F.col("seed") == F.col("src")).select("seed", F.col("dst").alias("node")).unionAll(
@@ -114,6 +114,32 @@ def top_related(scored: DataFrame, most: int = 5, least: float = 0.0) -> DataFra
     return scored.where(F.col("relevance") >= least).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= most)
 
 
+def _role(kind: Column) -> Column:
+    """The types that AFFINITY tells apart; all others are ``other``."""
+    return F.when(kind.isin(sorted({a for a, _ in AFFINITY})), kind).otherwise("other")
+
+
+def fill_related(top: DataFrame, nodes: DataFrame, seeds: DataFrame, most: int = 5) -> DataFrame:
+    """top_related with lists of fewer than ``most`` filled up by nodes that share nothing but have an affinity: the best, then smallest ones.
+
+    Of each of the six roles only the 2 * most smallest nodes can come in, as a
+    seed has fewer than ``most`` nodes to leave out; so short lists meet at
+    most 12 * most nodes.
+    """
+    typed = nodes.select("node", _role(F.coalesce("type", F.lit("other"))).alias("role"))
+    few = typed.withColumn("_n", F.row_number().over(Window.partitionBy("role").orderBy("node"))).where(F.col("_n") <= 2 * most).drop("_n")
+    roles = F.array(*[F.lit(r) for r in [*sorted({a for a, _ in AFFINITY}), "other"]])
+    have = top.groupBy("seed").agg(F.count("*").alias("_have"))
+    short = seeds.select(F.col("node").alias("seed")).distinct().join(have, "seed", "left").where(F.coalesce("_have", F.lit(0)) < most)
+    mine = short.join(typed.select(F.col("node").alias("seed"), F.col("role").alias("own")), "seed").select("seed", "own", F.explode(roles).alias("role"))
+    # at most 12 * most rows
+    new = mine.join(F.broadcast(few), "role").where("node <> seed").join(top.select("seed", "node"), ["seed", "node"], "left_anti")
+    new = new.select("seed", "node", affinity(F.col("own"), F.col("role")).alias("relevance"))
+    both = top.select("seed", "node", "relevance", F.lit(0).alias("_late")).unionByName(new.withColumn("_late", F.lit(1)))
+    order = Window.partitionBy("seed").orderBy("_late", F.desc("relevance"), "node")
+    return both.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= most).drop("_late")
+
+
 def expand(scored: DataFrame, hits: DataFrame, most: int = 3, least: float = 2.0) -> DataFrame:
     """One-hop expansion of hits (node): nodes among the top of any hit that aren't hits, with their best relevance."""
     near = top_related(scored, most, least).join(hits.select("node"), "node", "left_anti")
@@ -176,6 +202,43 @@ def knowledge_gaps(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return isolated.unionByName(sparse).unionByName(bridges)
 
 
+# Pages that link to everything.
+STRUCTURAL = ["index", "log", "overview"]
+
+
+def top_surprises(edges: DataFrame, nodes: DataFrame, most: int = 5, least: int = 3) -> DataFrame:
+    """The most surprising edges without those of structural pages: (a, b, surprise); ties in the order of the ends."""
+    shown = edges.where(~F.col("a").cast("string").isin(STRUCTURAL) & ~F.col("b").cast("string").isin(STRUCTURAL))
+    return surprising_edges(shown, nodes, least).orderBy(F.desc("surprise"), "a", "b").limit(most)
+
+
+def top_gaps(edges: DataFrame, nodes: DataFrame, isolated: int = 5, bridges: int = 3, most: int = 8) -> DataFrame:
+    """What of the gaps is shown: (gap, id, value) of at most so many isolated nodes and bridges (most communities first), ``most`` in all.
+
+    Structural pages and overviews are left out. Isolated nodes come first,
+    then sparse communities, then bridges; ties by id.
+    """
+    plain = ~F.col("node").cast("string").isin(STRUCTURAL) & (F.coalesce("type", F.lit("other")) != "overview")
+    rows = knowledge_gaps(edges, nodes)
+    hidden = nodes.where(~plain).select(F.col("node").alias("id"))
+    kept = rows.where("gap = 'sparse'").unionByName(rows.where("gap <> 'sparse'").join(hidden, "id", "left_anti").select(*rows.columns))
+    # each kind's few are a top-k of their own, so that nothing is sorted as a whole
+    parts = [
+        kept.where("gap = 'isolated'").orderBy("id").limit(isolated).withColumn("_o", F.lit(0)),
+        kept.where("gap = 'sparse'").orderBy("value", "id").limit(most).withColumn("_o", F.lit(1)),
+        kept.where("gap = 'bridge'").orderBy(F.desc("value"), "id").limit(bridges).withColumn("_o", F.lit(2)),
+    ]
+    value = F.when(F.col("_o") == 2, -F.col("value")).when(F.col("_o") == 1, F.col("value")).otherwise(0.0)
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).orderBy("_o", value, "id").limit(most).drop("_o")
+
+
+def shown_graph(nodes: DataFrame, edges: DataFrame, query: str = "", kind: str = "", limit: int = 200) -> tuple[DataFrame, DataFrame]:
+    """Nodes that contain the query in id or label and have the type (if any is given), the first ``limit`` (1 to 1,000) by id, and the edges among those."""
+    hit = F.contains(F.lower(F.concat_ws(" ", F.col("node").cast("string"), F.col("label"))), F.lit(query.lower()))
+    kept = nodes.where(hit & (F.col("type") == kind if kind else F.lit(True))).orderBy("node").limit(min(max(limit, 1), 1000))
+    return kept, induced(kept, edges)
+
+
 def induced(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges (a, b, ...) both ends of which are among nodes (node)."""
     kept = nodes.select("node").distinct()
@@ -191,36 +254,74 @@ def search_nodes(nodes: DataFrame, query: str) -> DataFrame:
     return nodes.where(keep)
 
 
-def communities(edges: DataFrame, rounds: int = 8) -> DataFrame:
+def _move(edges: DataFrame, nodes: DataFrame, total: float, settled: float, most_rounds: int) -> tuple[DataFrame, float]:
+    """Labels (node, community) of one level and their modularity; see communities. edges: both directions, nodes: (node, k, own)."""
+    labels = nodes.select("node", "k", "own", F.col("node").alias("community"))
+    best, kept, still = -2.0, labels, 0
+    for step in range(most_rounds):
+        sums = labels.groupBy("community").agg(F.sum("k").alias("total"))
+        links = edges.join(labels.select(F.col("node").alias("other"), "community"), "other").groupBy("node", "community").agg(F.sum("w").alias("into"))
+        here = labels.select("node", "k", F.col("community").alias("at"))
+        options = links.join(sums, "community").join(here, "node")
+        own = F.col("community") == F.col("at")
+        rest = F.col("total") - F.when(own, F.col("k")).otherwise(0.0)
+        gain = F.round(F.col("into") - F.col("k") * rest / total, 9)
+        allowed = (F.col("community") <= F.col("at")) if step % 2 == 0 else (F.col("community") >= F.col("at"))
+        # staying costs nothing where there is no link to the own community
+        stay = F.max(F.when(own, gain)).alias("stay")
+        go = F.min(F.when(allowed & ~own & (gain > 0), F.struct((-gain).alias("gain"), "community"))).alias("go")
+        chosen = options.groupBy("node").agg(stay, go, F.max(F.when(own, F.col("into"))).alias("inside"))
+        moved = labels.join(chosen, "node", "left").select(
+            "node", "k", "own", F.col("community").alias("old"), (F.col("own") + F.coalesce("inside", F.lit(0.0))).alias("inside"),
+            F.when(-F.col("go.gain") > F.coalesce("stay", F.lit(0.0)), F.col("go.community")).otherwise(F.col("community")).alias("community"),
+        )
+        moved = written(moved)
+        share = moved.groupBy("old").agg(F.sum("k").alias("k"), F.sum("inside").alias("inside"))
+        value = share.agg(F.sum("inside") / total - F.sum((F.col("k") / total) * (F.col("k") / total))).first()[0]
+        if value > best + settled:
+            best, kept, still = value, moved.select("node", F.col("old").alias("community")), 0
+        else:
+            still += 1
+        if still == 2:  # neither direction gains any more
+            return kept, best
+        labels = moved.select("node", "k", "own", "community")
+    raise RuntimeError(f"modularity still grows after {most_rounds} rounds")
+
+
+def communities(edges: DataFrame, settled: float = 3e-3, most_rounds: int = 200) -> DataFrame:
     """Communities of weighted undirected edges (a, b, weight): (node, community).
 
-    Nodes move, all at once, to the neighbouring community with the greatest
-    gain in modularity (ties to the smaller one); to keep neighbours from
-    swapping, a node moves only to a smaller label in even rounds and a larger
-    one in odd ones. The same edges give the same communities. Everything is
-    joins and aggregates; no list of nodes or edges is gathered in one place.
+    In rounds nodes move, all at once, to the neighbouring community with the
+    greatest gain in modularity (ties to the smaller one); to keep neighbours
+    from swapping, only to smaller labels in even rounds and to larger ones in
+    odd ones. When two rounds in a row gain less than ``settled``, the
+    communities become nodes and move in turn, until that gains nothing either.
+    It is an error if a level takes more than ``most_rounds``. The same edges
+    give the same communities. Everything is joins and aggregates; no list of
+    nodes or edges is gathered in one place, and one number a round reaches the
+    driver. No edges give no rows.
     """
     kept = edges.where("a is not null and b is not null and a <> b and weight > 0")
     both = durable(kept.select("a", "b", "weight").union(kept.select("b", "a", "weight")).toDF("node", "other", "w").groupBy("node", "other").agg(F.sum("w").alias("w")))
-    strength = both.groupBy("node").agg(F.sum("w").alias("k"))
-    total = both.agg(F.sum("w")).first()[0] or 1.0
-    labels = strength.select("node", "k", F.col("node").alias("community"))
-    for step in range(rounds):
-        sums = labels.groupBy("community").agg(F.sum("k").alias("total"))
-        links = both.join(labels.select(F.col("node").alias("other"), "community"), "other").groupBy("node", "community").agg(F.sum("w").alias("into"))
-        here = labels.select("node", "k", F.col("community").alias("own"))
-        options = links.join(sums, "community").join(here, "node")
-        rest = F.col("total") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
-        gain = F.round(F.col("into") - F.col("k") * rest / total, 9)
-        allowed = (F.col("community") <= F.col("own")) if step % 2 == 0 else (F.col("community") >= F.col("own"))
-        best = options.withColumn("gain", gain).where(allowed & ((F.col("gain") > 0) | (F.col("community") == F.col("own"))))
-        chosen = best.groupBy("node").agg(F.min_by("community", F.struct(-F.col("gain"), "community")).alias("new"))
-        moved = labels.join(chosen, "node", "left").select("node", "k", F.coalesce("new", "community").alias("community"), F.col("community").alias("old"))
-        moved = durable(moved)
-        labels = moved.drop("old")
-        if step % 2 and not moved.where("community <> old").limit(1).count():
+    nodes = both.groupBy("node").agg(F.sum("w").alias("k")).withColumn("own", F.lit(0.0))
+    names = nodes.select("node", F.col("node").alias("community"))
+    total = both.agg(F.sum("w")).first()[0]
+    best = -2.0
+    while total:
+        labels, value = _move(both, nodes, total, settled, most_rounds)
+        if value < best + settled:
             break
-    return labels.select("node", "community")
+        best = value
+        names = written(names.withColumnRenamed("community", "_c").join(labels.withColumnRenamed("node", "_c"), "_c").select("node", "community"))
+        end = lambda side, name: labels.select(F.col("node").alias(side), F.col("community").alias(name))  # noqa: B023, E731
+        merged = written(both.join(end("node", "x"), "node").join(end("other", "y"), "other").groupBy("x", "y").agg(F.sum("w").alias("w")))
+        inner = merged.where("x = y").select(F.col("x").alias("community"), "w")
+        nodes = written(
+            nodes.join(labels, "node").groupBy("community").agg(F.sum("k").alias("k"), F.sum("own").alias("_own"))
+            .join(inner, "community", "left").select(F.col("community").alias("node"), "k", (F.col("_own") + F.coalesce("w", F.lit(0.0))).alias("own"))
+        )
+        both = merged.where("x <> y").toDF("node", "other", "w")
+    return names
 
 
 def modularity(edges: DataFrame, membership: DataFrame) -> DataFrame:
@@ -235,3 +336,27 @@ def modularity(edges: DataFrame, membership: DataFrame) -> DataFrame:
 def node_ids(documents: DataFrame) -> DataFrame:
     """Nodes of a link graph from documents: the name part of the file stem, smallest first on a tie."""
     return documents.select(F.regexp_replace(T.file_stem(F.col("path")), r"-\d+$", "").alias("node_id"))
+
+
+def page_graph(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The link graph of pages from their own texts: nodes (node, label, type, path, sources) and links (src, dst), one row a link.
+
+    documents: (doc_id, text, path). A page is named by its file; of several
+    documents of one name the smallest doc_id describes it, and the links of
+    all count. The type is that of the front matter, else of the folder. Links
+    to no page and to the page itself are left out; null texts link nowhere,
+    documents without a path are no pages.
+    """
+    text = F.coalesce("text", F.lit(""))
+    front = T.front_matter(text)
+    stated = T.scalar_field(front, "type")
+    named = F.regexp_replace(T.file_stem(F.col("path")), r"-\d+$", "")
+    kind = F.when(stated != "", F.lower(stated)).otherwise(T.page_type(F.concat(F.lit("/"), F.col("path"))))
+    pages = documents.where("path is not null").select(
+        named.alias("node"), "doc_id", T.title_of(text, F.col("path")).alias("label"), kind.alias("type"), "path",
+        T.list_field(front, "sources").alias("sources"), F.transform(T.wiki_links(text), lambda link: link["target"]).alias("targets"),
+    )
+    nodes = pages.groupBy("node").agg(F.min_by(F.struct("label", "type", "path", "sources"), "doc_id").alias("p")).select("node", "p.*")
+    links = pages.select(F.col("node").alias("src"), F.explode("targets").alias("target"))
+    found = resolve_links(links, nodes.select(F.col("node").alias("node_id")))
+    return nodes, found.where("node_id is not null and node_id <> src").select("src", F.col("node_id").alias("dst"))

@@ -154,3 +154,42 @@ def resolve_files(references: DataFrame, files: DataFrame, folders: Sequence[str
     known = files.select("path", F.lower("path").alias("_k")).distinct()
     best = wanted.join(known, F.lower("_p") == F.col("_k")).groupBy("reference").agg(F.min(F.struct("rank", "path"))["path"].alias("path"))
     return references.join(best, "reference", "left")
+
+
+def pages_of_source(pages: DataFrame, sources: DataFrame) -> DataFrame:
+    """Pages that a source has left traces in: (source, page_id, way), the first way that holds.
+
+    pages: (page_id, path, text), sources: (source), a path or file name. Ways:
+    ``listed`` in the front matter's sources, ``summary`` (a page in the folder
+    ``sources`` whose stem begins with the source's stem), ``quoted`` (the file
+    name in quotes anywhere). Names compare in lower case. Each way is an
+    equi-join on what the pages hold: entries, beginnings of stems, quotations.
+    """
+    name = F.lower(T.file_name(F.col("source")))
+    wanted = sources.where("source is not null").select("source", name.alias("name"), F.lower(T.file_stem(F.col("source"))).alias("stem")).distinct()
+    text = F.coalesce("text", F.lit(""))
+    low, path = F.lower(text), F.lower(F.coalesce("path", F.lit("")))
+    listed = F.transform(T.list_field(T.front_matter(low), "sources"), T.file_name)
+    stem = T.file_stem(path)
+    begins = F.when(F.contains(path, F.lit("sources/")), F.transform(F.sequence(F.lit(1), F.length(stem)), lambda n: F.substring(stem, F.lit(1), n)))
+    quoted = F.array_distinct(F.regexp_extract_all(low, F.lit(r'"([^"\n]+)"'), 1))
+
+    def way(keys: Column, on: str, rank: int) -> DataFrame:
+        keyed = pages.select("page_id", F.explode(F.array_distinct(keys)).alias(on)).where(F.col(on) != "")
+        return keyed.join(wanted.select("source", on), on).select("source", "page_id", F.lit(rank).alias("r"))
+
+    found = way(listed, "name", 1).unionByName(way(begins, "stem", 2)).unionByName(way(quoted, "name", 3))
+    best = found.groupBy("source", "page_id").agg(F.min("r").alias("r"))
+    return best.select("source", "page_id", F.element_at(F.array(F.lit("listed"), F.lit("summary"), F.lit("quoted")), F.col("r")).alias("way"))
+
+
+def without_lines_of(text: Column, slugs: Column) -> Column:
+    """An index page without the list lines that name one of the slugs (array): as a link, as a link with a label, or as a file."""
+    bare = F.transform(slugs, lambda s: F.lower(s))
+
+    def names(line: Column) -> Column:
+        links = F.transform(F.regexp_extract_all(F.lower(line), F.lit(r"\[\[([^\]|]+)"), 1), lambda t: F.trim(t))
+        files = F.transform(F.regexp_extract_all(F.lower(line), F.lit(r"\(([^)\s]+)\.md\)"), 1), T.file_name)
+        return line.rlike(r"^\s*[-*]\s") & F.arrays_overlap(F.concat(links, files), bare)
+
+    return F.array_join(F.filter(F.split(text, "\n"), lambda line: ~F.coalesce(names(line), F.lit(False))), "\n")

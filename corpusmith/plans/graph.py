@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmith.functions import text as T
 from corpusmith.operators import graph as G
-from corpusmith.session import load
+from corpusmith.session import durable, load
 
 _KINDS = ["entity", "concept", "source", "query", "synthesis"]
 
@@ -56,7 +56,9 @@ def graph_degrees(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_relevance(spark: SparkSession, d: str) -> DataFrame:
-    return G.top_related(_scored(spark, d)).select("seed", "rank", "node", F.round("relevance", 5).alias("relevance"))
+    nodes = _nodes(spark, d)
+    full = G.fill_related(G.top_related(_scored(spark, d)), nodes, nodes.where("node % 20 = 0"))
+    return full.select("seed", "rank", "node", F.round("relevance", 5).alias("relevance"))
 
 
 def graph_expand(spark: SparkSession, d: str) -> DataFrame:
@@ -82,6 +84,68 @@ def knowledge_gaps(spark: SparkSession, d: str) -> DataFrame:
     return gaps.withColumn("value", F.round("value", 8))
 
 
+def top_surprises(spark: SparkSession, d: str) -> DataFrame:
+    return G.top_surprises(_weighted(spark, d), _counted(spark, d))
+
+
+def top_gaps(spark: SparkSession, d: str) -> DataFrame:
+    return G.top_gaps(G.undirected(_links(spark, d)), _counted(spark, d)).withColumn("value", F.round("value", 8))
+
+
+def shown_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Edges among the first 200 nodes that a listing shows."""
+    return G.shown_graph(_nodes(spark, d), G.undirected(_links(spark, d)), "1", "concept")[1]
+
+
+def _pages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return G.page_graph(load(spark, d, "documents"))
+
+
+def page_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as nodes, with their links counted."""
+    nodes, links = _pages(spark, d)
+    counts = G.link_counts(links)
+    return nodes.join(counts, "node", "left").select("node", "type", "path", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("pairs", F.lit(0)).alias("pairs"))
+
+
+def page_edges(spark: SparkSession, d: str) -> DataFrame:
+    return G.distinct_edges(_pages(spark, d)[1])
+
+
+def page_related(spark: SparkSession, d: str) -> DataFrame:
+    """The five pages most relevant to a twentieth of the pages, against all pages; lists are filled up by type."""
+    nodes, links = _pages(spark, d)
+    seeds = nodes.where(F.pmod(F.xxhash64("node"), F.lit(20)) == 0)
+    sources = load(spark, d, "documents").where("path is not null and source is not null").select(F.regexp_replace(T.file_stem(F.col("path")), r"-\d+$", "").alias("node"), "source")
+    scored = G.relevance(nodes, G.distinct_edges(links), sources, seeds)
+    return G.fill_related(G.top_related(scored), nodes, seeds).select("seed", "rank", "node", F.round("relevance", 5).alias("relevance"))
+
+
+def _grouped_pages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Undirected edges of the page graph and its nodes with the communities found in it; a page without links is one of its own."""
+    nodes, links = _pages(spark, d)
+    edges = durable(G.undirected(links))
+    found = G.communities(edges.select("a", "b", F.col("links").cast("double").alias("weight")))
+    counts = G.link_counts(links).select("node", F.col("pairs").alias("links"))
+    full = nodes.join(found, "node", "left").join(counts, "node", "left")
+    return edges, durable(full.select("node", "label", "type", F.coalesce("community", "node").alias("community"), F.coalesce("links", F.lit(0)).alias("links")))
+
+
+def page_communities(spark: SparkSession, d: str) -> DataFrame:
+    """Communities of the page graph with cohesion and the page linked best, largest first."""
+    edges, nodes = _grouped_pages(spark, d)
+    leaders = G.community_leaders(nodes, nodes.select("node", "community"), 1).select("community", F.col("node").alias("leader"))
+    return G.cohesion(edges, nodes).join(leaders, "community").select("community", "nodes", "inner_edges", F.round("cohesion", 8).alias("cohesion"), "leader")
+
+
+def page_insights(spark: SparkSession, d: str) -> DataFrame:
+    """What stands out in the page graph: the most surprising links and the gaps that are shown."""
+    edges, nodes = _grouped_pages(spark, d)
+    weighted = edges.select("a", "b", F.col("links").cast("double").alias("weight"))
+    surprises = G.top_surprises(weighted, nodes).select(F.lit("surprise").alias("gap"), F.concat_ws(" - ", "a", "b").alias("id"), F.col("surprise").cast("double").alias("value"))
+    return surprises.unionByName(G.top_gaps(edges, nodes))
+
+
 def graph_search(spark: SparkSession, d: str) -> DataFrame:
     nodes = G.search_nodes(_nodes(spark, d), "1 concept")
     return G.induced(nodes, G.undirected(_links(spark, d)))
@@ -136,7 +200,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         graph_edges, graph_link_counts, graph_degrees, graph_relevance, graph_expand, community_cohesion, community_leaders, surprising_edges,
-        knowledge_gaps, graph_search, graph_filter, graph_communities, link_extract, link_targets, broken_links, orphan_pages, no_outlinks,
+        knowledge_gaps, graph_search, graph_filter, graph_communities, top_surprises, top_gaps, shown_graph,
+        page_nodes, page_edges, page_related, page_communities, page_insights, link_extract, link_targets, broken_links, orphan_pages, no_outlinks,
     )
 }
 
@@ -169,6 +234,18 @@ scored as (
     where p.seed <> p.node group by 1, 2)),
 top as (select *, row_number() over (partition by seed order by round(relevance, 9) desc, node) as rank from scored)
 """
+_FILLED = f"""
+short as (select seed from seed where seed not in (select seed from top where rank = 5)),
+fresh as (select seed, node, relevance from (
+  select s.seed, n.node, {_AFFINITY} relevance from (select seed, type t from short join node on node = seed) s join (select node, type u, row_number() over (partition by type order by node) k from node) n on n.k <= 10 and n.node <> s.seed)
+  where (seed, node) not in (select (seed, node) from top where rank <= 5)),
+filled as (select seed, node, relevance, row_number() over (partition by seed order by late, round(relevance, 9) desc, node) as rank from (
+  select seed, node, relevance, 0 late from top where rank <= 5 union all select *, 1 from fresh))
+"""
+_SURPRISE = """select a, b, surprise from (
+        select a, b, cast(case when x.community <> y.community then 3 else 0 end + case when x.type || '/' || y.type in ('source/concept', 'concept/source', 'source/synthesis', 'synthesis/source', 'query/entity', 'entity/query') then 2 when x.type <> y.type then 1 else 0 end
+          + case when least(x.links, y.links) <= 2 and greatest(x.links, y.links) >= (select max(links) from counted) / 2 then 2 else 0 end
+          + case when und.links < 2 then 1 else 0 end as int) surprise from und join counted x on und.a = x.node join counted y on und.b = y.node)"""
 _DISTANT = ", ".join(f"'{a}/{b}'" for a, b in G.DISTANT)
 _DOC_LINKS = r"""
 ext as (
@@ -179,12 +256,21 @@ dl as (
 name as (select doc_id, page_type, regexp_replace(regexp_replace(list_last(string_split(path, '/')), '(.)\.[^.]*$', '\1'), '-[0-9]+$', '') n from documents)
 """
 
+_PAGE_EDGES = r"""
+cand as (
+  select target, n, least(case when n = target then 0 else 9 end,
+    case when lower(target) in (n, lower(n), regexp_replace(lower(n), '\s+', '-', 'g')) then 1 else 9 end,
+    case when regexp_replace(lower(target), '\s+', '-', 'g') in (n, lower(n), regexp_replace(lower(n), '\s+', '-', 'g')) then 2 else 9 end) r
+  from (select distinct target from dl), (select distinct n from name where n is not null)),
+plink as (select name.n src, b.node_id dst from dl join name using (doc_id) join (select target, arg_min(n, (r, n)) node_id from cand where r < 9 group by 1) b using (target) where name.n is not null and name.n <> b.node_id)
+"""
+
 ORACLE = {
     "graph_edges": f"with {_LINKS} select * from und",
     "graph_link_counts": f"""with {_LINKS} select node, e.links, p.links as pairs from (
         select node, count(*) links from (select src node from links where src <> dst union all select dst from links where src <> dst) group by 1) e join pairs p using (node)""",
     "graph_degrees": f"with {_LINKS} select node, out_degree, in_degree, out_degree + in_degree as degree, neighbors from deg join (select node, count(*) neighbors from nb group by 1) using (node)",
-    "graph_relevance": f"with {_LINKS}, {_SCORED} select seed, rank, node, round(relevance, 5) as relevance from top where rank <= 5",
+    "graph_relevance": f"with {_LINKS}, {_SCORED}, {_FILLED} select seed, rank, node, round(relevance, 5) as relevance from filled where rank <= 5",
     "graph_expand": f"with {_LINKS}, {_SCORED} select node, round(max(relevance), 5) as relevance, count(*) as seeds from (select *, row_number() over (partition by seed order by round(relevance, 9) desc, node) k from scored where relevance >= 2) where k <= 3 and node not in (select seed from seed) group by 1",
     "community_cohesion": f"with {_LINKS} select community, nodes, inner_edges, round(cohesion, 8) as cohesion from coh",
     "community_leaders": f"with {_LINKS} select community, row_number() over (partition by community order by links desc, node) as rank, node, links from counted qualify rank <= 5",
@@ -196,6 +282,24 @@ ORACLE = {
         select 'isolated' as gap, node as id, cast(links as double) as value from counted where links <= 1
         union all select 'sparse', community, round(cohesion, 8) from coh where nodes >= 3 and cohesion < 0.15
         union all select 'bridge', nb.node, cast(count(distinct community) as double) from nb join node n on n.node = nb.neighbor group by 2 having count(distinct community) >= 3""",
+    "top_surprises": f"with {_LINKS} {_SURPRISE} where surprise >= 3 order by surprise desc, a, b limit 5",
+    "top_gaps": f"""with {_LINKS}, g as (
+        select * from (select 'isolated' as gap, node as id, cast(links as double) as value, 0 o, 0.0 v from counted where links <= 1 order by node limit 5)
+        union all select * from (select 'sparse', community, round(cohesion, 8), 1, cohesion from coh where nodes >= 3 and cohesion < 0.15 order by cohesion, community limit 8)
+        union all select * from (select 'bridge', nb.node, cast(count(distinct community) as double), 2, -count(distinct community) from nb join node n on n.node = nb.neighbor group by 2 having count(distinct community) >= 3 order by 5, 2 limit 3))
+        select gap, id, value from g order by o, v, id limit 8""",
+    "shown_graph": f"with {_LINKS}, hit as (select node from node where contains(lower(concat_ws(' ', node, label)), '1') and type = 'concept' order by node limit 200) select * from und where a in (select node from hit) and b in (select node from hit)",
+    "page_edges": f"with {_DOC_LINKS}, {_PAGE_EDGES} select distinct src, dst from plink",
+    "page_nodes": f"""with {_DOC_LINKS}, {_PAGE_EDGES},
+        page as (select n as node, arg_min(struct_pack(k := kind, p := path), doc_id) s from (
+          select name.doc_id, n, path, case when trim(regexp_extract(f, '(?m)^type:[ \\t]*(.*)$', 1)) <> '' then lower(regexp_replace(trim(regexp_extract(f, '(?m)^type:[ \\t]*(.*)$', 1)), '^["''](.*)["'']$', '\\1'))
+            when contains(q, '/entities/') then 'entity' when contains(q, '/concepts/') then 'concept' when contains(q, '/sources/') then 'source' when contains(q, '/queries/') then 'query' when contains(q, '/comparisons/') then 'comparison'
+            when contains(q, '/synthesis/') then 'synthesis' when contains(q, '/findings/') then 'finding' when contains(q, '/thesis/') then 'thesis' when contains(q, '/methodology/') then 'methodology'
+            when list_last(string_split(q, '/')) = 'overview.md' then 'overview' else 'other' end kind
+          from name join (select doc_id, path, '/' || path q, regexp_extract(coalesce(text, ''), '^---[ \\t]*\\n(.*?)\\n---[ \\t]*(?:\\n|$)', 1, 's') f from documents) using (doc_id) where n is not null) group by 1),
+        every as (select node, count(*) c from (select src node from plink union all select dst from plink) group by 1),
+        pair as (select node, count(*) c from (select least(src, dst) node, greatest(src, dst) o from plink union select greatest(src, dst), least(src, dst) from plink) group by 1)
+        select node, s.k as type, s.p as path, coalesce(every.c, 0) as links, coalesce(pair.c, 0) as pairs from page left join every using (node) left join pair using (node)""",
     "graph_search": f"""with {_LINKS}, hit as (select node from node where contains(lower(concat_ws(' ', label, node, type)), '1') and contains(lower(concat_ws(' ', label, node, type)), 'concept'))
         select * from und where a in (select node from hit) and b in (select node from hit)""",
     "graph_filter": f"with {_LINKS}, hit as (select node from counted where type not in ('source', 'query') and links between 1 and 40) select * from und where a in (select node from hit) and b in (select node from hit)",

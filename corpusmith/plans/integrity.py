@@ -86,16 +86,44 @@ def cached_sources(spark: SparkSession, d: str) -> DataFrame:
     return I.cache_hits(known, docs.select(F.col("doc_id").cast("string").alias("source"), "hash"), files)
 
 
+def source_traces(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that the sources of all documents have left traces in."""
+    docs = load(spark, d, "documents")
+    pages = docs.select(F.col("doc_id").alias("page_id"), "path", "text")
+    return I.pages_of_source(pages, docs.select("source").distinct()).select("source", F.col("page_id").alias("doc_id"), "way")
+
+
+def stamped_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with front matter after a new day was set in it: the day as read again, and their length."""
+    docs = load(spark, d, "documents").where("text is not null")
+    new = T.with_scalar(F.col("text"), "updated", F.lit("2026-01-01"))
+    rows = docs.where(T.front_matter(F.col("text")) != "").select("doc_id", new.alias("t"))
+    return rows.select("doc_id", T.scalar_field(T.front_matter(F.col("t")), "updated").alias("updated"), F.length("t").alias("chars"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (delete_fate, survivor_sources, stripped_texts, redirected_links, review_merge, review_sweep, open_groups, page_merge, cached_sources)
+    for f in (delete_fate, survivor_sources, stripped_texts, redirected_links, review_merge, review_sweep, open_groups, page_merge, cached_sources, source_traces, stamped_pages)
 }
 
 _LISTS = r"lists as (select page_id, source from (select page_id, lower(regexp_replace(trim(replace(s, '\', '/')), '^.*?raw/sources/', '', 'i')) source from (select page_id, unnest(sources) s from wiki_pages)) where source <> '')"
 _FATE = "fate as (select page_id, count(distinct source) as before, count(distinct source) filter (source not like 'clips/%') as after from lists group by 1)"
 _TITLE = r"lower(trim(regexp_replace(regexp_replace(trim(coalesce(title, ''), ' '), '^(?:missing page|missing-page|duplicate page|possible duplicate|contradiction|suggestion|confirm)\s*[:：-]\s*', '', 'i'), '\s+', ' ', 'g'), ' '))"
 
+_FRONT = "regexp_extract(text, '^---[ \\t]*\\n(.*?)\\n---[ \\t]*(?:\\n|$)', {}, 's')"
+
 ORACLE = {
+    "stamped_pages": f"""select doc_id, '2026-01-01' as updated,
+        cast(length(text) - length(w) + 9 + (case when o <> '' then length(f) - length(o) + 19 else length(f) + 20 end) as int) as chars
+        from (select doc_id, text, w, f, regexp_extract(f, '(?m)^updated:.*$') o from (select doc_id, text, {_FRONT.format(0)} w, {_FRONT.format(1)} f from documents where text is not null)) where f <> ''""",
+    "source_traces": f"""with s as (select distinct source, lower(list_last(string_split(replace(source, '\\', '/'), '/'))) n from documents where source is not null),
+        k as (select source, n, regexp_replace(n, '(.)\\.[^.]*$', '\\1') st from s),
+        p as (select doc_id, lower(coalesce(path, '')) path, lower(coalesce(text, '')) text from documents),
+        q as (select doc_id, path, regexp_replace(list_last(string_split(replace(path, '\\', '/'), '/')), '(.)\\.[^.]*$', '\\1') st, regexp_extract_all(text, '"([^"\\n]+)"', 1) quoted,
+          list_transform(string_split(regexp_extract({_FRONT.format(1)}, '(?m)^sources:[ \\t]*\\[(.*)\\][ \\t]*$', 1), ','), lambda x: list_last(string_split(trim(trim(x), chr(34) || chr(39)), '/'))) listed from p),
+        w as (select source, doc_id, 1 r from k join (select doc_id, unnest(listed) x from q) on x = n union all select source, doc_id, 2 from k join q on contains(path, 'sources/') and starts_with(q.st, k.st) and k.st <> ''
+          union all select source, doc_id, 3 from k join (select doc_id, unnest(quoted) x from q) on x = n)
+        select source, doc_id, ['listed', 'summary', 'quoted'][min(r)] as way from w group by 1, 2""",
     "delete_fate": f"with {_LISTS}, {_FATE} select *, case when after = 0 then 'delete' else 'keep' end as fate from fate where before > after",
     "survivor_sources": f"""with {_LISTS}, {_FATE} select page_id, count(distinct source) as sources, min(source) as first_source from lists
         where source not like 'clips/%' and page_id in (select page_id from fate where before > after and after > 0) group by 1""",

@@ -66,3 +66,29 @@ def test_search_and_filter(spark):
     hit = G.search_nodes(nodes, "GRAPH concept")
     assert [r["node"] for r in hit.collect()] == ["a"]
     assert G.induced(G.search_nodes(nodes, "graph"), edges).count() == 1
+
+
+def test_page_graph_and_short_lists(spark):
+    docs = [
+        (1, "---\ntype: concept\nsources: [a.pdf]\n---\n# One\n[[two]] [[Two|x]] [[one]] [[nowhere]]", "wiki/concepts/one-11.md"), (2, "[[one]]", "wiki/entities/two-12.md"),
+        (3, None, "wiki/entities/three.md"), (4, "[[three]]", "other/one-99.md"), (5, "[[one]]", None),
+    ]
+    nodes, links = G.page_graph(spark.createDataFrame(docs, "doc_id long, text string, path string"))
+    assert {(r["node"], r["label"], r["type"], tuple(r["sources"])) for r in nodes.collect()} == {("one", "One", "concept", ("a.pdf",)), ("two", "two 12", "entity", ()), ("three", "three", "entity", ())}
+    assert sorted(map(tuple, links.collect())) == [("one", "three"), ("one", "two"), ("one", "two"), ("two", "one")]
+    none = spark.createDataFrame([], "node string, source string")
+    top = G.top_related(G.relevance(nodes, G.distinct_edges(links), none, nodes))
+    full = {(r["seed"], r["rank"]): (r["node"], round(r["relevance"], 2)) for r in G.fill_related(top, nodes, nodes).collect()}
+    assert {k for k in full} == {(s, r) for s in ("one", "two", "three") for r in (1, 2)}
+    alone = spark.createDataFrame([("a", "concept"), ("b", "entity"), ("c", None)], "node string, type string")
+    lists = G.fill_related(top.limit(0), alone, alone).orderBy("seed", "rank").collect()
+    assert [(r["seed"], r["node"], r["relevance"]) for r in lists] == [("a", "b", 1.2), ("a", "c", 0.5), ("b", "a", 1.2), ("b", "c", 0.5), ("c", "a", 0.5), ("c", "b", 0.5)]
+
+
+def test_structural_pages_stay_out(spark):
+    nodes = spark.createDataFrame([("index", "other", "x", 3, "i"), ("a", "source", "x", 1, "a"), ("b", "concept", "y", 2, "b"), ("c", "overview", "y", 1, "c")], "node string, type string, community string, links long, label string")
+    edges = spark.createDataFrame([("a", "index", 1.0), ("a", "b", 1.0), ("b", "c", 1.0)], "a string, b string, weight double")
+    assert [tuple(r) for r in G.top_surprises(edges, nodes).collect()] == [("a", "b", 8), ("b", "c", 4)]
+    assert [tuple(r) for r in G.top_gaps(edges, nodes).collect()] == [("isolated", "a", 1.0)]
+    shown, among = G.shown_graph(nodes, edges, "B", limit=0)
+    assert [r["node"] for r in shown.collect()] == ["b"] and among.count() == 0

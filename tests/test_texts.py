@@ -130,3 +130,16 @@ def test_page_merge_and_cache(spark):
     assert [r[0] for r in I.cache_hits(cache, src, spark.createDataFrame([("x",)], "path string")).collect()] == ["a"]
     fate = I.delete_fate(spark.createDataFrame([(1, "A"), (1, "b"), (2, "a"), (3, "c"), (2, "a"), (4, None)], "page_id long, source string"), spark.createDataFrame([("a",)], "source string"))
     assert {r["page_id"]: r["fate"] for r in fate.collect()} == {1: "keep", 2: "delete"}
+
+
+def test_traces_stamps_and_listings(spark):
+    pages = [(1, "wiki/sources/report-2024.md", "text"), (2, "wiki/a.md", '---\nsources: ["x/Report.pdf"]\n---\nsays "report.pdf"'), (3, "wiki/b.md", 'the "REPORT.pdf" says'), (4, None, None)]
+    out = I.pages_of_source(spark.createDataFrame(pages, "page_id long, path string, text string"), spark.createDataFrame([("raw/sources/report.pdf",), (None,)], "source string"))
+    assert {(r["page_id"], r["way"]) for r in out.collect()} == {(1, "summary"), (2, "listed"), (3, "quoted")}
+    stamp = lambda text: one(spark, text, lambda c: T.with_scalar(c, "updated", F.lit("now")))
+    assert stamp("---\na: 1\nupdated: x\n---\nBody") == "---\na: 1\nupdated: now\n---\nBody" and stamp("---\na: 1\n---\n") == "---\na: 1\nupdated: now\n---\n"
+    assert stamp("Body") == "Body" and stamp(None) is None
+    listing = "# Index\n- [[gone]] x\n- [[kept]]\n* [[Gone|label]]\n- [t](wiki/gone.md)\nsee [[gone]]"
+    assert one(spark, listing, lambda c: I.without_lines_of(c, F.array(F.lit("gone")))) == "# Index\n- [[kept]]\nsee [[gone]]"
+    assert one(spark, "  chunk\nof text ", lambda c: T.vector_snippet(c, F.lit(" A > B "))) == "A > B: chunk of text"
+    assert one(spark, "x" * 200, lambda c: T.vector_snippet(c, F.lit(None).cast("string"))) == "x" * 160 + "..." and one(spark, None, lambda c: T.vector_snippet(c, F.lit("h"))) == ""
