@@ -13,6 +13,7 @@ INGESTABLE = [
     "md", "mdx", "txt", "pdf", "doc", "docx", "pptx", "xlsx", "odt", "odp", "ods", "xls", "csv", "json", "html", "htm", "rtf", "xml", "yaml", "yml",
 ]
 SKIPPED_FOLDERS = ["wiki", "cache", ".cache", ".git", "node_modules", ".obsidian"]
+STRUCTURAL_FILES = ["index.md", "log.md", "overview.md"]
 SETTINGS = ["json", "yaml", "yml", "xml"]
 
 
@@ -57,3 +58,25 @@ def in_language(text: Column, language: Column, most: int = 1500) -> Column:
     prose = F.regexp_replace(F.regexp_replace(T.body_of(F.coalesce(text, F.lit(""))), r"(?s)```.*?(?:```|$)|`[^`\n]*`", " "), r"(?s)\$\$.*?\$\$|\$[^$\n]+\$", " ")
     sample = F.substring(F.trim(prose), 1, most)
     return (F.length(sample) < 20) | (L.language_of(sample) == F.coalesce(language, F.lit("")))
+
+
+def change_route(path: Column, kind: Column) -> Column:
+    """Where a change of a file goes: ``ingest`` (a source came or changed), ``source_deleted``, ``page_deleted`` or ``none``."""
+    plain = F.replace(F.coalesce(path, F.lit("")), F.lit("\\"), F.lit("/"))
+    source = plain.startswith("raw/sources/") & ingestable(plain)
+    gone = F.coalesce(kind, F.lit("")) == "deleted"
+    page = plain.startswith("wiki/") & plain.endswith(".md") & ~T.file_name(plain).isin(STRUCTURAL_FILES)
+    came = F.coalesce(kind, F.lit("")).isin("created", "modified")
+    return F.when(gone & source, "source_deleted").when(gone & page, "page_deleted").when(came & source, "ingest").otherwise("none")
+
+
+def page_route(path: Column, fits: Column) -> Column:
+    """How a generated page is written: ``append`` (log), ``overwrite`` (listings), ``merge``, or ``drop`` if its path isn't safe or its language doesn't fit.
+
+    fits says whether the language is the wanted one; logs, entities and
+    sources may hold any.
+    """
+    name = T.file_name(F.coalesce(path, F.lit("")))
+    free = path.startswith("wiki/entities/") | path.startswith("wiki/sources/") | F.contains(path, F.lit("/entities/")) | F.contains(path, F.lit("/sources/"))
+    refused = ~safe_page_path(path) | ~((name == "log.md") | F.coalesce(free, F.lit(False)) | F.coalesce(fits, F.lit(True)))
+    return F.when(refused, "drop").when(name == "log.md", "append").when(name.isin("index.md", "overview.md"), "overwrite").otherwise("merge")

@@ -92,24 +92,3 @@ def parse_front_matter(documents: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column(0), pa.array([list(f.items()) if f is not None else None for f in found], kind)], names=["doc_id", "fields"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fields map<string,array<string>>")
-
-
-def source_slug(identity: str, most: int = 120) -> str:
-    """Name of the summary page of a source: its stem, or for a path length-prefixed, percent-encoded parts and a 32-bit hash in base 36."""
-    from urllib.parse import quote
-
-    parts = [p.strip() for p in re.sub(r"\.[^/.]+$", "", identity).split("/") if p.strip()]
-    if len(parts) < 2:
-        return parts[0] if parts else "source"
-    h = 0x811C9DC5
-    raw = identity.encode("utf-16-le", "surrogatepass")
-    for i in range(0, len(raw), 2):
-        h = ((h ^ int.from_bytes(raw[i : i + 2], "little")) * 0x01000193) & 0xFFFFFFFF
-    digits = ""
-    while h or not digits:
-        h, d = divmod(h, 36)
-        digits = "0123456789abcdefghijklmnopqrstuvwxyz"[d] + digits
-    slug = "--".join(f"{len(q)}-{q}" for q in (quote(p, safe="-_.~") for p in parts))
-    if len(slug) + 2 + len(digits) > most:
-        slug = re.sub(r"-+$", "", re.sub(r"%[0-9A-Fa-f]?$", "", slug[: most - len(digits) - 2])) or "source"
-    return f"{slug}--{digits}"

@@ -115,6 +115,30 @@ def slug_of(text: Column, most: int = 50) -> Column:
     return F.regexp_replace(F.substring(F.regexp_replace(hyphens, "^-+|-+$", ""), 1, most), "-+$", "")
 
 
+def source_slug(identity: Column, most: int = 120) -> Column:
+    """Name of the summary page of a source, of at most ``most`` characters.
+
+    A source without folders has its stem, null or an empty one ``source``. Of a path each part is
+    percent-encoded and stands after its length; a hash of the whole identity
+    (32-bit FNV-1a over UTF-16 units, in base 36) keeps shortened names apart.
+    """
+    steps = F.transform(F.split(F.regexp_replace(identity, r"\.[^/.]+$", ""), "/"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
+    steps = F.filter(steps, lambda s: s != "")
+
+    def sized(step: Column) -> Column:
+        # a form encodes spaces as + and leaves * alone
+        safe = F.replace(F.replace(F.replace(F.url_encode(step), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+        return F.concat_ws("-", F.length(safe).cast("string"), safe)
+
+    units = F.transform(F.regexp_extract_all(F.hex(F.encode(identity, "UTF-16BE")), F.lit("(.{4})"), 1), lambda u: F.conv(u, 16, 10).cast("long"))
+    code = F.aggregate(units, F.lit(2166136261).cast("long"), lambda h, u: h.bitwiseXOR(u) * 16777619 % 4294967296)  # fixed values of the hash
+    tail = F.concat(F.lit("--"), F.lower(F.conv(code.cast("string"), 10, 36)))
+    whole = F.array_join(F.transform(steps, sized), "--")
+    short = F.regexp_replace(F.regexp_replace(F.substring(whole, F.lit(1), F.lit(most) - F.length(tail)), "%[0-9A-F]?$", ""), "-+$", "")
+    path = F.when(F.length(whole) + F.length(tail) <= most, whole).otherwise(F.coalesce(F.nullif(short, F.lit("")), F.lit("source")))
+    return F.when(F.size(steps) > 1, F.concat(path, tail)).otherwise(F.coalesce(F.try_element_at(steps, F.lit(1)), F.lit("source")))
+
+
 def host_of(url: Column) -> Column:
     """Host of a URL without ``www.``; empty if there is none."""
     return F.coalesce(F.regexp_replace(F.try_parse_url(url, F.lit("HOST")), r"^www\.", ""), F.lit(""))
@@ -148,6 +172,15 @@ def with_scalar(text: Column, name: str, value: Column) -> Column:
     return F.when(front != "", F.concat(F.lit("---\n"), F.array_join(new, "\n"), F.lit("\n---\n"), body_of(text))).otherwise(text)
 
 
+def with_list(text: Column, name: str, values: Column) -> Column:
+    """A page with a list of its front matter set on one line, where it stood before (inline or as a block), else at the end. Without front matter the text stays."""
+    line = F.concat(F.lit(f"{name}: ["), F.array_join(F.transform(values, lambda v: F.concat(F.lit('"'), v, F.lit('"'))), ", "), F.lit("]"))
+    front = front_matter(text)
+    parts = F.split(F.concat(front, F.lit("\n")), rf"(?m)^{name}:.*\n(?:[ \t]*-[ \t].*\n)*", 2)
+    new = F.when(F.size(parts) > 1, F.concat(parts[0], line, F.lit("\n"), F.try_element_at(parts, F.lit(2)))).otherwise(F.concat(parts[0], line, F.lit("\n")))
+    return F.when(front != "", F.concat(F.lit("---\n"), new, F.lit("---\n"), body_of(text))).otherwise(text)
+
+
 def list_field(front: Column, name: str) -> Column:
     """A list of the front matter, inline or as a block; empty if absent."""
     inline = F.regexp_extract(front, rf"(?m)^{name}:[ \t]*\[(.*)\][ \t]*$", 1)
@@ -207,6 +240,14 @@ def image_refs(text: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(marks, embeds), lambda u: ~u.rlike(r"\s")))
 
 
+def images_of(text: Column) -> Column:
+    """Embedded images in order, as structs of address and caption, those with white space in the address left out."""
+    marks = F.regexp_extract_all(text, F.lit(r"!\[[^\]]*\]\([^)\s]+[^)]*\)"), 0)
+    return F.transform(
+        marks, lambda m: F.struct(F.regexp_extract(m, r"\]\(([^)\s]+)", 1).alias("address"), F.regexp_extract(m, r"^!\[([^\]]*)\]", 1).alias("caption"))
+    )
+
+
 def local_images(text: Column) -> Column:
     """image_refs without remote and data addresses."""
     return F.filter(image_refs(text), lambda u: ~u.rlike(r"(?i)^(?:[a-z][a-z0-9+.-]*:|//)"))
@@ -276,3 +317,21 @@ def with_captions(text: Column, captions: Column) -> Column:
         return F.when(part.rlike(r"^!\[") & (F.coalesce(caption, F.lit("")) != ""), F.concat(F.lit("!["), caption, F.lit("]("), address, F.regexp_extract(part, pattern, 3), F.lit(")"))).otherwise(part)
 
     return F.array_join(F.transform(parts, shown), "")
+
+
+def entity_summary(text: Column, path: Column, most: int = 200) -> Column:
+    """What a page says of itself: a struct of slug, type, title, description and tags; null without front matter.
+
+    A page without a type is ``unknown``, one without a title has its slug. The
+    description is the first line of the body that is neither heading nor table
+    if the front matter has none, null if there is none either; what is longer
+    than ``most`` ends in an ellipsis.
+    """
+    front = front_matter(text)
+    slug = F.regexp_replace(F.element_at(F.split(F.coalesce(path, F.lit("")), "/"), -1), r"\.md$", "")
+    or_else = lambda name, other: F.coalesce(F.nullif(scalar_field(front, name), F.lit("")), other)
+    lines = F.filter(F.transform(F.split(body_of(text), "\n"), lambda line: F.trim(line)), lambda line: (line != "") & ~line.startswith("#") & ~line.startswith("|"))
+    said = or_else("description", F.try_element_at(lines, F.lit(1)))
+    short = F.when(F.length(said) > most, F.concat(F.substring(said, 1, most - 1), F.lit("…"))).otherwise(said)
+    fields = {"slug": slug, "type": or_else("type", F.lit("unknown")), "title": or_else("title", slug), "description": short, "tags": list_field(front, "tags")}
+    return F.when(front != "", F.struct(*[c.alias(n) for n, c in fields.items()]))

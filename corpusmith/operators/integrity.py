@@ -46,34 +46,45 @@ def redirect_links(text: Column, redirects: dict[str, str]) -> Column:
     return text
 
 
-def clean_listing(text: Column, keys: Sequence[str]) -> Column:
-    """An index page without the list lines whose first link is to a deleted page."""
-    dead = lambda line: line.rlike(r"^\s*[-*]\s") & T.link_key(F.trim(F.regexp_extract(line, T.LINK, 1))).isin(list(keys))
+def clean_listing(text: Column, keys: Column) -> Column:
+    """An index page without the list lines whose first link is to a deleted page; keys: their link keys (array)."""
+    dead = lambda line: line.rlike(r"^\s*[-*]\s") & F.coalesce(F.array_contains(keys, T.link_key(F.trim(F.regexp_extract(line, T.LINK, 1)))), F.lit(False))
     return F.array_join(F.filter(F.split(text, "\n"), lambda line: ~dead(line)), "\n")
 
 
-def merge_reviews(items: DataFrame) -> DataFrame:
-    """Pending review items merged by type and normalized title.
+def _reviews(items: DataFrame) -> DataFrame:
+    return items.withColumn("key", T.review_title(F.coalesce("title", F.lit("")))).withColumn("type", F.coalesce("type", F.lit("confirm")))
 
-    items: (type, title, description, pages array, queries array, source, ord).
-    Pages and queries are united, first seen first; description and source are
-    the latest that say anything. Gathered lists hold distinct values of one
-    title only.
+
+def review_values(items: DataFrame) -> DataFrame:
+    """Pages and queries of merged review items: (type, key, field, value, ord, pos), each value once, where it was seen first.
+
+    items: as for merge_reviews. Rows instead of lists, as a title that very
+    many items share (such as none at all) has no bound; ordered by ord and pos
+    they are the united list.
     """
-    rows = items.withColumn("key", T.review_title(F.coalesce("title", F.lit("")))).withColumn("type", F.coalesce("type", F.lit("confirm")))
+    rows = _reviews(items)
+    each = [rows.select("type", "key", "ord", F.lit(c).alias("field"), F.posexplode(c).alias("pos", "value")) for c in ("pages", "queries")]
+    once = each[0].unionByName(each[1]).where("value is not null").groupBy("type", "key", "field", "value").agg(F.min(F.struct("ord", "pos")).alias("at"))
+    return once.select("type", "key", "field", "value", "at.ord", "at.pos")
 
-    def first_seen(column: str) -> DataFrame:
-        each = rows.select("type", "key", "ord", F.posexplode(column).alias("pos", "value")).where("value is not null")
-        once = each.groupBy("type", "key", "value").agg(F.min(F.struct("ord", "pos")).alias("at"))
-        lists = once.groupBy("type", "key").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("_l"))
-        return lists.select("type", "key", F.transform("_l", lambda s: s["value"]).alias(column))
 
+def merge_reviews(items: DataFrame) -> DataFrame:
+    """Pending review items merged by type and normalized title: (type, key, items, description, source, pages, queries).
+
+    items: (type, title, description, pages array, queries array, source, ord).
+    Description and source are the latest that say anything, pages and queries
+    the numbers of distinct ones; review_values has them one by one.
+    """
     said = F.when(F.coalesce(F.trim("description"), F.lit("")) != "", F.struct("ord", "description"))
-    merged = rows.groupBy("type", "key").agg(
+    merged = _reviews(items).groupBy("type", "key").agg(
         F.count("*").alias("items"), F.max(said)["description"].alias("description"),
         F.max(F.when(F.col("source").isNotNull(), F.struct("ord", "source")))["source"].alias("source"),
     )
-    return merged.join(first_seen("pages"), ["type", "key"], "left").join(first_seen("queries"), ["type", "key"], "left")
+    count = lambda field: F.count_if(F.col("field") == field).cast("int").alias(field)
+    sizes = review_values(items).groupBy("type", "key").agg(count("pages"), count("queries"))
+    known = merged.join(sizes, ["type", "key"], "left")
+    return known.fillna(0, ["pages", "queries"])
 
 
 def sweep_reviews(items: DataFrame, page_ids: DataFrame) -> DataFrame:
@@ -184,12 +195,121 @@ def pages_of_source(pages: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def without_lines_of(text: Column, slugs: Column) -> Column:
-    """An index page without the list lines that name one of the slugs (array): as a link, as a link with a label, or as a file."""
-    bare = F.transform(slugs, lambda s: F.lower(s))
+    """An index page without the lines that name one of the slugs (array): as a link, with or without a label, or as a file."""
+
+    def names(line: Column, slug: Column) -> Column:
+        plain = F.concat(F.lit(r"\Q"), F.replace(slug, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+        forms = [r"\[\[", plain, r"(?:\|[^\]]*)?\]\]|\((?:[^)]*/)?", plain, r"\.md\)|\b", plain, r"\.md\b"]
+        return F.rlike(line, F.concat(*[f if isinstance(f, Column) else F.lit(f) for f in forms]))
+
+    kept = F.filter(F.split(text, "\n"), lambda line: ~F.exists(slugs, lambda s: F.coalesce((s != "") & names(line, s), F.lit(False))))
+    return F.array_join(kept, "\n")
+
+
+def rewrite_links(pages: DataFrame, redirects: DataFrame) -> DataFrame:
+    """Pages with links to merged pages pointed at what they merged into: (path, text) of the pages that change.
+
+    pages: (path, text), paths distinct; redirects: (old, new), one row an old
+    slug. Labels stay. The front matter's ``related`` list is rewritten too and
+    then holds each value once, whatever its case. Links are exploded and
+    joined, so the plan doesn't grow with the redirects, and what is gathered
+    are the links of one page. Null texts have no links.
+    """
+    parts = F.split(F.col("text"), r"\[\[")
+    link = r"^([^\]|]+)(?:\|[^\]]+)?\]\]"
+    related = T.list_field(T.front_matter(F.col("text")), "related")
+    targets = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.regexp_extract(p, link, 1))
+    named = pages.select("path", F.explode(F.array_distinct(F.concat(targets, related))).alias("old"))
+    moved = named.join(redirects.where("old <> new"), "old").groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("old", "new"))).alias("_to"))
+
+    def pointed(part: Column, i: Column) -> Column:
+        target = F.regexp_extract(part, link, 1)
+        new = F.try_element_at(F.col("_to"), target)
+        return F.when((i > 0) & new.isNotNull(), F.concat(new, F.substring(part, F.length(target) + 1, F.length(part)))).otherwise(part)
+
+    text = F.array_join(F.transform(parts, pointed), "[[")
+    new = T.union_ignoring_case(F.transform(related, lambda r: F.coalesce(F.try_element_at(F.col("_to"), r), r)), F.array().cast("array<string>"))
+    rows = pages.join(moved, "path").select("path", text.alias("text"), related.alias("_old"), new.alias("_new"))
+    return rows.select("path", F.when(F.col("_old") != F.col("_new"), T.with_list(F.col("text"), "related", F.col("_new"))).otherwise(F.col("text")).alias("text"))
+
+
+def merge_groups(pages: DataFrame, redirects: DataFrame) -> DataFrame:
+    """What merging pages into others writes: (action, path, text).
+
+    pages: (path, slug, text), redirects: (old, new). Pages of an old slug are
+    to ``delete``, other pages that name one to ``write`` with their links
+    pointed at the new one; of both, ``backup`` holds what they were.
+    """
+    gone = pages.join(redirects.where("old <> new").select(F.col("old").alias("slug")).distinct(), "slug", "left_semi")
+    stay = pages.join(gone.select("path"), "path", "left_anti")
+    write = rewrite_links(stay.select("path", "text"), redirects)
+    before = gone.select("path", "text").unionByName(stay.join(write.select("path"), "path", "left_semi").select("path", "text"))
+    say = lambda df, action: df.select(F.lit(action).alias("action"), "path", "text")
+    return say(write, "write").unionByName(say(gone.withColumn("text", F.lit(None).cast("string")), "delete")).unionByName(say(before, "backup"))
+
 
-    def names(line: Column) -> Column:
-        links = F.transform(F.regexp_extract_all(F.lower(line), F.lit(r"\[\[([^\]|]+)"), 1), lambda t: F.trim(t))
-        files = F.transform(F.regexp_extract_all(F.lower(line), F.lit(r"\(([^)\s]+)\.md\)"), 1), T.file_name)
-        return line.rlike(r"^\s*[-*]\s") & F.arrays_overlap(F.concat(links, files), bare)
+def dismiss(dismissed: DataFrame, groups: DataFrame) -> DataFrame:
+    """Dismissed groups with more added: (key, slugs), each set of lower-cased slugs once, those of fewer than two slugs left out."""
+    lower = F.array_sort(F.array_distinct(F.transform("slugs", lambda s: F.lower(s))))
+    rows = dismissed.select("slugs", F.lit(0).alias("o")).unionByName(groups.select("slugs", F.lit(1).alias("o")))
+    keyed = rows.select(F.array_join(lower, "|").alias("key"), F.struct("o", F.array_sort("slugs").alias("slugs")).alias("s")).where(F.size(lower) >= 2)
+    return keyed.groupBy("key").agg(F.min("s")["slugs"].alias("slugs"))
 
-    return F.array_join(F.filter(F.split(text, "\n"), lambda line: ~F.coalesce(names(line), F.lit(False))), "\n")
+
+def image_sources(images: DataFrame, files: DataFrame) -> DataFrame:
+    """Images (address) with the file they were taken from; null path if none fits.
+
+    files: (path). The folder below ``media`` is the slug of the source
+    (functions.text.source_slug), or in old collections its stem; the slug goes
+    first, then the smallest path.
+    """
+    folder = F.regexp_extract(F.replace("address", F.lit("\\"), F.lit("/")), r"(?:^|/)media/([^/]+)/", 1)
+    wanted = images.select("address").distinct().select("address", folder.alias("_k")).where("_k <> ''")
+    known = files.where("path is not null").select("path").distinct()
+    keys = known.select("path", F.posexplode(F.array(T.source_slug(T.source_identity(F.col("path"))), T.file_stem(F.col("path")))).alias("rank", "_k"))
+    best = wanted.join(keys, "_k").groupBy("address").agg(F.min(F.struct("rank", "path"))["path"].alias("path"))
+    return images.join(best, "address", "left")
+
+
+def safe_renames(files: DataFrame) -> DataFrame:
+    """Old summary pages that may be renamed: (path, old, new) of files in folders whose name no other file has.
+
+    files: (path). Old summaries bear the stem, new ones source_slug. Names and
+    paths compare in lower case; spellings of one path count once.
+    """
+    low = F.lower("path")
+    rows = files.where("path is not null").groupBy(low.alias("_k")).agg(F.min("path").alias("path"))
+    only = rows.groupBy(F.lower(T.file_name(F.col("path"))).alias("_n")).agg(F.count("*").alias("n"), F.min("path").alias("path")).where("n = 1")
+    identity = T.source_identity(F.col("path"))
+    return only.where(F.contains(identity, F.lit("/"))).select("path", T.file_stem(F.col("path")).alias("old"), T.source_slug(identity).alias("new")).where("old <> new")
+
+
+def first_registered(registries: Sequence[DataFrame], key: str) -> DataFrame:
+    """Rows of several registries (the same columns, key among them), of each key that of the first registry that has it; ties by the smallest row."""
+    rows = [r.where(F.coalesce(F.col(key), F.lit("")) != "").withColumn("_registry", F.lit(i)) for i, r in enumerate(registries)]
+    rest = [c for c in registries[0].columns if c != key]
+    every = rows[0]
+    for r in rows[1:]:
+        every = every.unionByName(r)
+    return every.groupBy(key).agg(F.min(F.struct("_registry", *rest)).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
+def folder_counts(files: DataFrame) -> DataFrame:
+    """Visible files in and below each folder: (folder, files) for files (path); a path with a part that begins with a dot is hidden."""
+    parts = F.filter(F.split(F.replace("path", F.lit("\\"), F.lit("/")), "/"), lambda p: p != "")
+    rows = files.where("path is not null").select(F.array_join(parts, "/").alias("p"), parts.alias("parts")).distinct()
+    shown = rows.where((F.size("parts") > 1) & ~F.exists("parts", lambda p: p.startswith(".")))
+    depth = F.explode(F.sequence(F.lit(1), F.size("parts") - 1)).alias("n")
+    return shown.select("parts", depth).groupBy(F.array_join(F.slice("parts", F.lit(1), F.col("n")), "/").alias("folder")).agg(F.count("*").alias("files"))
+
+
+def page_tree(pages: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Pages by type in the order given, other types after it: (position, type, pages); index and log are no pages of the tree.
+
+    pages: (path, type); a null type is ``other``. Types that aren't in the order share
+    the last position.
+    """
+    kinds = F.coalesce("type", F.lit("other"))
+    at = F.array_position(F.array(*[F.lit(o) for o in order]), kinds)
+    rows = pages.where(~F.coalesce(T.file_name(F.col("path")), F.lit("")).isin("index.md", "log.md"))
+    return rows.groupBy(F.when(at > 0, at).otherwise(len(order) + 1).cast("int").alias("position"), kinds.alias("type")).agg(F.count("*").alias("pages"))

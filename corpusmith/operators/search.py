@@ -141,3 +141,16 @@ def hybrid_search(pages: DataFrame, chunks: DataFrame, query: str, vector: Seque
     rest = ranks_of(hits, near.join(first.select("page_id"), "page_id", "left_anti"))
     words = first.select("page_id", "rank").unionByName(rest)
     return fuse(words, near).orderBy(F.desc("score"), "page_id").limit(limit)
+
+
+def image_hits(results: DataFrame, query: str) -> DataFrame:
+    """Images of search results, each address once: (address, caption, rank, pos, match), to be shown matches first, then by rank and pos.
+
+    results: (rank, images array of address and caption), as from
+    functions.text.images_of. An image counts where it is seen first; match says
+    whether its caption holds a token of the query (or the query, if it has none).
+    """
+    words = T.query_tokens(query) or [query.strip().lower()]
+    rows = results.select("rank", F.posexplode("images").alias("pos", "i"))
+    first = rows.groupBy("i.address").agg(F.min(F.struct("rank", "pos", "i.caption")).alias("m")).select("address", "m.caption", "m.rank", "m.pos")
+    return first.withColumn("match", T.tokens_contained(F.coalesce("caption", F.lit("")), words) > 0)

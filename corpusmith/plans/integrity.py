@@ -42,13 +42,22 @@ def redirected_links(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", T.occurrences(text, F.lit("[[canonical-page")).alias("links")).where("links > 0")
 
 
-def review_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Reported members of duplicate groups as review items, merged by type and title."""
-    items = load(spark, d, "merge_candidates").select(
+def _review_items(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "merge_candidates").select(
         "type", "title", "description", F.col("sources").alias("pages"), F.col("related").alias("queries"), F.col("slug").alias("source"), F.col("detected_at").alias("ord")
     )
-    merged = I.merge_reviews(items)
-    return merged.select("type", "key", "items", F.size("pages").alias("pages"), F.size("queries").alias("queries"))
+
+
+def review_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Reported members of duplicate groups as review items, merged by type and title."""
+    merged = I.merge_reviews(_review_items(spark, d))
+    return merged.select("type", "key", "items", "pages", "queries", "description", "source")
+
+
+def review_list(spark: SparkSession, d: str) -> DataFrame:
+    """The distinct sources and related pages of each merged review, with the order in which they were seen first."""
+    rows = I.review_values(_review_items(spark, d))
+    return rows.select("type", "key", "field", "value", F.unix_micros(F.col("ord").cast("timestamp")).alias("ord"), "pos")
 
 
 def review_sweep(spark: SparkSession, d: str) -> DataFrame:
@@ -103,7 +112,7 @@ def stamped_pages(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (delete_fate, survivor_sources, stripped_texts, redirected_links, review_merge, review_sweep, open_groups, page_merge, cached_sources, source_traces, stamped_pages)
+    for f in (delete_fate, survivor_sources, stripped_texts, redirected_links, review_merge, review_list, review_sweep, open_groups, page_merge, cached_sources, source_traces, stamped_pages)
 }
 
 _LISTS = r"lists as (select page_id, source from (select page_id, lower(regexp_replace(trim(replace(s, '\', '/')), '^.*?raw/sources/', '', 'i')) source from (select page_id, unnest(sources) s from wiki_pages)) where source <> '')"
@@ -136,8 +145,14 @@ ORACLE = {
 with r as (select coalesce(type, 'confirm') as type, {_TITLE} as key, * exclude (type) from merge_candidates),
 p as (select type, key, cast(count(distinct v) as int) n from (select type, key, unnest(sources) v from r) where v is not null group by 1, 2),
 q as (select type, key, cast(count(distinct v) as int) n from (select type, key, unnest(related) v from r) where v is not null group by 1, 2)
-select g.type, g.key, items, p.n as pages, q.n as queries from (select type, key, count(*) items from r group by 1, 2) g
+select g.type, g.key, items, coalesce(p.n, 0) as pages, coalesce(q.n, 0) as queries, description, source from (select type, key, count(*) items,
+  max(struct_pack(o := detected_at, v := description)) filter (trim(coalesce(description, '')) <> '').v as description,
+  max(struct_pack(o := detected_at, v := slug)) filter (slug is not null).v as source from r group by 1, 2) g
 left join p on p.type = g.type and p.key = g.key left join q on q.type = g.type and q.key = g.key""",
+    "review_list": f"""
+with r as (select coalesce(type, 'confirm') as type, {_TITLE} as key, sources, related, detected_at from merge_candidates),
+e as (select type, key, 'pages' field, detected_at, unnest(sources) v, unnest(range(len(sources))) pos from r union all select type, key, 'queries', detected_at, unnest(related), unnest(range(len(related))) from r)
+select type, key, field, v as value, epoch_us(m.a) as ord, cast(m.p as int) as pos from (select type, key, field, v, min(struct_pack(a := detected_at, p := pos)) m from e where v is not null group by 1, 2, 3, 4)""",
     "review_sweep": r"""
 with t as (select distinct trim(l) target from (select unnest(regexp_extract_all(text, '\[\[([^\]|]+)(?:\|([^\]]*))?\]\]', 1)) l from documents)),
 n as (select lower(regexp_replace(regexp_replace(list_last(string_split(path, '/')), '(.)\.[^.]*$', '\1'), '-[0-9]+$', '')) id from documents where text is not null and path is not null)

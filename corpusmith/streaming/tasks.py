@@ -44,16 +44,19 @@ def handled_once(tasks: DataFrame) -> DataFrame:
     return tasks.dropDuplicatesWithinWatermark(["id", "updated_at"])
 
 
-def without_own_writes(changes: DataFrame, writes: DataFrame, within: str = "4 seconds") -> DataFrame:
-    """Changes that don't follow a write of our own to the same path.
+def without_own_writes(changes: DataFrame, writes: DataFrame, seconds: int = 4) -> DataFrame:
+    """Changes that don't follow a write of our own to the same path within so many seconds.
 
     changes: (path, at, ...), writes: (path, written_at), both with watermarks.
     An outer interval join; a change comes out once the watermark rules out a
-    write for it.
+    write for it. A write is joined by the two stretches of time it reaches
+    into, so that a path written to very often doesn't meet all its changes.
     """
-    w = writes.select(F.col("path").alias("_p"), "written_at")
-    near = (F.col("path") == F.col("_p")) & (F.col("at") >= F.col("written_at")) & (F.col("at") <= F.col("written_at") + F.expr(f"interval {within}"))
-    return changes.join(w, near, "left_outer").where("_p is null").drop("_p", "written_at")
+    step = lambda c: F.floor(F.unix_micros(F.col(c)) / (seconds * 1_000_000))
+    w = writes.select(F.col("path").alias("_p"), "written_at", F.explode(F.array(step("written_at"), step("written_at") + 1)).alias("_w"))
+    near = (F.col("path") == F.col("_p")) & (F.col("_c") == F.col("_w")) & (F.col("at") >= F.col("written_at"))
+    near = near & (F.col("at") <= F.col("written_at") + F.expr(f"interval {seconds} seconds"))
+    return changes.withColumn("_c", step("at")).join(w, near, "left_outer").where("_p is null").drop("_p", "_w", "_c", "written_at")
 
 
 def accepted_requests(requests: DataFrame, most: int = 120, seconds: float = 1.0) -> DataFrame:

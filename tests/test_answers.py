@@ -33,9 +33,11 @@ def test_paths_and_lists(spark):
     caption = F.create_map(F.lit("a.png"), F.lit("a [nice]\npicture"))
     assert say(lambda c: T.with_captions(c, caption), "x ![](a.png) ![k](b.png) ![") == "x ![a nice picture](a.png) ![k](b.png) !["
     assert say(A.reasoning_text, 'data: {"choices":[{"delta":{"reasoning_content":"hm"}}]}') == "hm" and say(A.reasoning_text, "data: [DONE]") == ""
-    assert R.source_slug("plain.pdf") == "plain" and R.source_slug("") == "source"
-    slug = R.source_slug("papers/größe 1.pdf")
-    assert slug.startswith("6-papers--") and "%20" in slug and len(R.source_slug("a/" + "ü" * 300)) <= 120
+    assert say(T.source_slug, "plain.pdf") == "plain" and say(T.source_slug, "") == "source" and say(T.source_slug, None) == "source"
+    slug = say(T.source_slug, "papers/größe 1.pdf")
+    assert slug.startswith("6-papers--") and "%20" in slug and len(say(T.source_slug, "a/" + "ü" * 300)) <= 120
+    # one letter apart behind the cut
+    assert say(T.source_slug, "a/" + "x" * 300) != say(T.source_slug, "a/" + "x" * 299 + "y")
     pages = spark.createDataFrame([("big-idea", "Big Idea"), (None, "Other")], "slug string, title string")
     assert {r[0] for r in I.deleted_keys(pages).collect()} == {"bigidea", "other"}
     refs = spark.createDataFrame([("x",), ("Y.pdf",), ("none",)], "reference string")
