@@ -92,20 +92,26 @@ def relevance(nodes: DataFrame, edges: DataFrame, sources: DataFrame, seeds: Dat
     direct = wanted.join(edges, F.col("seed") == F.col("src")).select("seed", F.col("dst").alias("node")).unionAll(
         wanted.join(edges, F.col("seed") == F.col("dst")).select("seed", F.col("src").alias("node"))
     )
-    direct = direct.groupBy("seed", "node").agg((F.count("*") * 3.0).alias("part"))
+    direct = direct.withColumn("part", F.lit(3.0))
     # of the seed its distinct sources, of the node every entry of its list, counted before the join
     mine = wanted.join(sources.withColumnRenamed("node", "seed"), "seed").select("seed", "source").distinct()
     theirs = sources.groupBy("node", "source").agg(F.count("*").alias("n"))
-    shared = mine.join(theirs, "source").groupBy("seed", "node").agg((F.sum("n") * 4.0).alias("part"))
+    shared = mine.join(theirs, "source").select("seed", "node", (F.col("n") * 4.0).alias("part"))
     weight = degrees(edges).select(F.col("node").alias("via"), (1.5 / F.log(F.greatest("degree", F.lit(2)).cast("double"))).alias("w"))
     near = neighbors(edges)
     first = wanted.join(near.select(F.col("node").alias("seed"), F.col("neighbor").alias("via")), "seed").join(weight, "via")
     second = near.select(F.col("node").alias("via"), F.col("neighbor").alias("node"))
-    common = first.join(second, "via").groupBy("seed", "node").agg(F.sum("w").alias("part"))
-    total = direct.unionByName(shared).unionByName(common).where("seed <> node").groupBy("seed", "node").agg(F.sum("part").alias("signal"))
-    kinds = nodes.select("node", "type")
-    typed = total.join(kinds, "node", "left").join(kinds.select(F.col("node").alias("seed"), F.col("type").alias("seed_type")), "seed", "left")
-    return typed.select("seed", "node", (F.col("signal") + affinity(F.coalesce("seed_type", F.lit("other")), F.coalesce("type", F.lit("other")))).alias("relevance"))
+    common = first.join(second, "via").select("seed", "node", F.col("w").alias("part"))
+    # one aggregate over all parts; rounded, so that equal pairs tie in whatever order they were summed
+    total = direct.unionByName(shared).unionByName(common).where("seed <> node").groupBy("seed", "node").agg(F.round(F.sum("part"), 9).alias("signal"))
+    # nodes carry the number of their role and seeds the affinities of theirs to all, so a pair costs one look into an array
+    roles = [*sorted({a for a, _ in AFFINITY}), "other"]
+    known = nodes.select("node", F.array_position(F.array(*map(F.lit, roles)), _role(F.coalesce("type", F.lit("other")))).cast("int").alias("_role"))
+    table = F.array(*[F.array(*[F.lit(AFFINITY.get((mine, other), 0.5)) for other in roles]) for mine in roles])
+    own = known.select(F.col("node").alias("seed"), F.element_at(table, F.col("_role")).alias("_own"))
+    typed = total.join(known, "node", "left").join(own, "seed", "left")
+    fits = F.coalesce(F.element_at("_own", F.col("_role")), F.lit(0.5))
+    return typed.select("seed", "node", (F.col("signal") + fits).alias("relevance"))
 
 
 def top_related(scored: DataFrame, most: int = 5, least: float = 0.0) -> DataFrame:
