@@ -222,6 +222,9 @@ _STOP = """'的', '是', '了', '什么', '在', '有', '和', '与', '对', '
 _SEP = r"[\s!-/:-@\[-`{-~，。！？、；：“”‘’（）·～…]+"
 
 ORACLE = {
+    "tag_union": """with r as (select page_id, list_filter(list_concat(coalesce(tags, []), coalesce(sources, [])), lambda x: x is not null and trim(x) <> '') l from wiki_pages),
+        k as (select page_id, l, list_transform(l, lambda x: lower(x)) w from r)
+        select distinct page_id, coalesce(array_to_string(list_transform(list_sort(list_transform(list_distinct(w), lambda x: list_position(w, x))), lambda n: l[n]), '|'), '') as labels from k""",
     "front_matter_records": f"""select doc_id, cast(len(l) as int) as fields, cast(len(list_filter(l, lambda x: not regexp_matches(x, '^tags:'))) + case when contains(f, 'tags:') then len(string_split(regexp_extract(f, '(?m)^tags:[ \\t]*\\[(.*)\\]', 1), ',')) else 0 end as int) as entries,
         regexp_extract(f, '(?m)^type:[ \\t]*(.*)$', 1) as type from (select doc_id, f, list_filter(string_split(f, chr(10)), lambda x: contains(x, ':')) l from (select doc_id, {_FRONT} f from documents) where f <> '')""",
     "safe_paths": f"""with p as (select distinct path, replace(path, '\\', '/') q from file_change_tasks where path is not null), e as (select *, string_split(q, '/') parts, list_last(string_split(q, '/')) n from p)

@@ -20,4 +20,4 @@ def test_query_equals_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_query_runs(spark, name):
-    assert QUERIES[name](spark, oracle.DIRECTORY).columns
+    assert QUERIES[name](spark, oracle.DIRECTORY).count() > 0
