@@ -27,13 +27,15 @@ def trimmed(value: Column) -> Column:
 
 
 # What speaks for or against a value: the name of each witness with how often it is first believed to
-# accept a value that says something and one that says nothing, and with how many claims that belief weighs.
+# accept a value that says something and one that says nothing. The first two know: what they reject says nothing.
 WITNESSES = {
-    "word": (0.999999, 0.3, 1e6),  # it isn't a known stand-in
-    "letters": (0.999999, 0.7, 1e6),  # it has a letter, digit or symbol
-    "rare": (0.99, 0.1, 100.0),  # it doesn't stand on more than a 200th of all members, in several groups
-    "own": (0.99, 0.1, 100.0),  # it doesn't stand in several fields of a 2,000th of all members, in several groups
+    "word": (0.999999, 0.3),  # it isn't a known stand-in
+    "letters": (0.999999, 0.7),  # it has a letter, digit or symbol
+    "rare": (0.99, 0.1),  # it doesn't stand on more than a 200th of all members, in several groups
+    "own": (0.99, 0.1),  # it doesn't stand in several fields of a 2,000th of all members, in several groups
 }
+# How many claims those beliefs weigh; from FULL claims on they weigh a fixed share of all, so that rates don't depend on the size.
+TRUE_WEIGHT, FALSE_WEIGHT, FULL = 100.0, 10.0, 10_000
 PROSE = ["title", "description", "content"]
 COMMON, SPREAD, LEAST = 200, 2000, 10
 
@@ -51,27 +53,34 @@ def _value_key(text: Column) -> Column:
 class Values:
     """Which values say something: a latent two-sided quality model of witnesses.
 
-    Every claim (a member fills a field with a value) is true or a stand-in,
-    which nobody observes. Witnesses accept or reject each value; how often
-    each accepts a true one (sensitivity) and rejects a stand-in (specificity)
-    is inferred from all claims by expectation-maximisation, run until the
-    rates stand still. Two witnesses look at the value itself, two at where
-    else in the corpus it stands (prose fields only; on the others they
-    abstain). So a stand-in nobody listed is found by being everywhere, and a
-    value stays whatever else its record's other members say: several spellings
-    of a title are all true.
-
-    The iterations run over patterns of testimony, at most 36. Values that the
+    Every claim (a member fills a field with a value) is true or a stand-in.
+    Witnesses accept or reject each value. Two look at the value itself and know
+    what is a stand-in; two look at where else in the corpus it stands (prose
+    fields only; on the others they abstain). How often these
+    two accept a true value (sensitivity) and reject a stand-in (specificity) is
+    inferred from all claims by expectation-maximisation, in which the known
+    stand-ins and what nobody rejects are given, run until the rates stand still. So a stand-in nobody
+    listed is found by being everywhere, and a value stays whatever else its
+    record's other members say: several spellings of a title are all true.
+
+    Members that say the same in all fields count once, in their first group, when
+    it is asked where a value stands: reports of a group under further ids are
+    no evidence of several groups.
+
+    The iterations run over patterns of testimony, at most 20 of them. Values that the
     last two reject are collected as hashes: each stands on a 2,000th of the
-    members or more, so there are at most 4 x 2,000.
+    distinct members or more, so there are at most 4 x 2,000.
     """
 
     def __init__(self, members: DataFrame):
         fields = [*PROSE, "created"]
-        total = members.count()
         told = members.where(F.col("group_id").isNotNull() & F.col("slug").isNotNull())
-        said = told.select("group_id", F.explode(F.array(*[F.struct(F.lit(1 << i).alias("bit"), trimmed(F.col(c)).alias("text")) for i, c in enumerate(fields)])).alias("s"))
-        known = said.where(F.length("s.text") > 0).groupBy(_value_key(F.col("s.text")).alias("key"))
+        keys = [F.when(F.length(trimmed(F.col(c))) > 0, _value_key(trimmed(F.col(c)))).alias(f"_{c}") for c in fields]
+        record = F.xxhash64(*SCALARS, *LISTS, "updated", "confidence")
+        once = durable(told.select(record.alias("_record"), "group_id", *keys).groupBy("_record").agg(F.min("group_id").alias("group_id"), *[F.min(f"_{c}").alias(f"_{c}") for c in fields]))
+        total = once.count()
+        said = once.select("group_id", F.explode(F.array(*[F.struct(F.lit(1 << i).alias("bit"), F.col(f"_{c}").alias("key")) for i, c in enumerate(fields)])).alias("s"))
+        known = said.where(F.col("s.key").isNotNull()).groupBy("s.key")
         seen = known.agg(F.count("*").alias("n"), F.min("group_id").alias("g"), F.max("group_id").alias("h"), F.bit_or("s.bit").alias("bits"))
         seen = seen.where((F.col("g") != F.col("h")) & (F.col("n") >= max(LEAST, total / SPREAD)))
         rows = seen.select("key", (F.col("n") >= total / COMMON).alias("common"), (F.bit_count("bits") > 1).alias("spread")).collect()
@@ -101,33 +110,39 @@ class Values:
 
 
 def _fit(counts: dict[int, int]) -> tuple[dict[str, tuple[float, float]], list[int]]:
-    """Rates of the witnesses by expectation-maximisation over patterns of testimony, and the patterns judged true (all there can be)."""
-    patterns = [p for p in range(32) if p >= 16 or p < 4]
-    asked = lambda p: [(name, p >> i & 1) for i, name in enumerate(WITNESSES) if i < 2 or p >= 16]
-    quality = {name: (sens, fall) for name, (sens, fall, _) in WITNESSES.items()}
+    """Rates of the witnesses by expectation-maximisation over patterns of testimony, and the patterns judged true (all there can be).
+
+    Claims that a witness of the value itself rejects are stand-ins in every
+    round, and claims that no witness rejects are true, which ties the labels to
+    what they mean; the rest is inferred. The share of true claims is that among
+    the claims about which all are asked.
+    """
+    asked, alone = range(16, 32), range(4)
+    whole = sum(counts.values())
+    size = max(1.0, whole / FULL)
+    quality = dict(WITNESSES)
     prior = 0.5
     while True:
-        post = {}
-        for p in patterns:
+        post = {p: float(p == 3) for p in alone}
+        for p in asked:
             odds = math.log(prior / (1 - prior))
-            for name, yes in asked(p):
-                sens, fall = quality[name]
-                odds += math.log(sens / fall) if yes else math.log((1 - sens) / (1 - fall))
-            post[p] = 1 / (1 + math.exp(-max(-50.0, min(50.0, odds))))
+            for i, (sens, fall) in enumerate(quality.values()):
+                odds += math.log(sens / fall) if p >> i & 1 else math.log((1 - sens) / (1 - fall))
+            post[p] = float(p == 31) if p & 3 != 3 or p == 31 else 1 / (1 + math.exp(-max(-50.0, min(50.0, odds))))
         new = {}
-        for name, (sens, fall, weight) in WITNESSES.items():
-            rows = [(counts.get(p, 0), post[p], yes) for p in patterns for who, yes in asked(p) if who == name]
+        for i, (name, (sens, fall)) in enumerate(WITNESSES.items()):
+            rows = [(counts.get(p, 0), post[p], p >> i & 1) for p in asked]
             true, false = sum(n * t for n, t, _ in rows), sum(n * (1 - t) for n, t, _ in rows)
             new[name] = (
-                (sum(n * t for n, t, yes in rows if yes) + weight * sens) / (true + weight),
-                (sum(n * (1 - t) for n, t, yes in rows if yes) + 10 * fall) / (false + 10),
+                (sum(n * t for n, t, yes in rows if yes) + size * TRUE_WEIGHT * sens) / (true + size * TRUE_WEIGHT) if i > 1 else sens,
+                (sum(n * (1 - t) for n, t, yes in rows if yes) + size * FALSE_WEIGHT * fall) / (false + size * FALSE_WEIGHT),
             )
-        whole = sum(counts.values())
-        next_prior = (sum(n * post.get(p, 0.0) for p, n in counts.items()) + 5) / (whole + 10)
+        claims = sum(counts.get(p, 0) for p in asked)
+        next_prior = (sum(counts.get(p, 0) * post[p] for p in asked) + size * 5) / (claims + size * 10)
         moved = max(abs(next_prior - prior), *(abs(x - y) for name in quality for x, y in zip(quality[name], new[name], strict=True)))
         quality, prior = new, next_prior
         if moved < 1e-7:
-            return quality, [p for p in patterns if post[p] >= 0.5]
+            return quality, [p for p in (*alone, *asked) if post[p] >= 0.5]
 
 
 def day_number(value: Column) -> Column:

@@ -133,3 +133,27 @@ def test_quality_of_the_witnesses(spark):
     values = S.Values(spark.createDataFrame(rows, SCHEMA))
     assert values.quality["word"][0] > 0.99 and values.quality["rare"][1] < 0.3
     assert {p for p in values.true if p >= 16} >= {31} and not any(p & 1 == 0 for p in values.true)
+
+
+@pytest.mark.parametrize("times", [1, 10, 1000, 100_000])
+def test_judgement_doesnt_depend_on_the_size(times):
+    """What says something and what doesn't is the same for any number of claims: a known stand-in stays one, a value nobody rejects stays."""
+    # testimonies of the given tables and, last, of one without a value that is everywhere
+    for counts in (
+        {31: 72616, 28: 5087, 1: 31707, 3: 217384, 17: 6597, 29: 6811, 2: 14634, 0: 1721, 18: 20528},
+        {31: 852, 28: 63, 1: 395, 3: 2479, 17: 87, 29: 89, 2: 186, 0: 17, 18: 235},
+        {31: 37, 1: 22, 3: 104, 29: 8, 2: 7, 30: 12, 0: 1},
+    ):
+        _, true = S._fit({p: n * times for p, n in counts.items()})
+        assert {3, 31} <= set(true) and all(p & 3 == 3 for p in true)
+
+
+def test_copies_of_groups_change_nothing(spark):
+    """A title that a quarter of one group's members share is no stand-in because the group was reported again under other ids."""
+    rows = [
+        row(group + 1000 * copy, f"{s}{copy}", f"Name {group}", "n/a" if s == "b" else f"About {group} {s}", f"{'Long ' * (s == 'b')}text {group} {s}", confidence="low")
+        for group in range(8) for s in "abc" for copy in range(12)
+    ]
+    out = found(spark, rows)
+    assert len(out) == 8 * 12 * 4
+    assert all(out[g, "title"] == f"a{g // 1000}" and out[g, "content"] == f"b{g // 1000}" for g, f in out if f == "title")
