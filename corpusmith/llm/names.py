@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmith.session import durable, written
@@ -172,9 +172,8 @@ def parse(text: str, slug: bool = False, lexicon: Lexicon = FIXED) -> tuple[str,
 # --- words learned from the corpus -------------------------------------------------------
 
 LEAST_NAMES = 3  # in how many names a word must be seen to be learned
-LEAST_SHARE = 10_000  # and in one of how many spellings at least, so that no more words than this are learned
-FEW = 20  # names with more different partners than this say nothing about which belong together
 LIKELY = 0.5  # how likely a short form must stand for a long one, among the names it occurs with
+SURE = 3.0  # by how many standard deviations names in common must exceed those that chance gives
 
 _PAIRS = "array<struct<first:string,last:string,body:boolean>>"
 
@@ -199,56 +198,64 @@ def learn_words(entities: DataFrame) -> Lexicon:
     """Kinds of body, their short forms and short given names that the fixed lists lack, from the corpus.
 
     A kind is a word that follows LEAST_NAMES different names before a legal
-    form. That a short form stands for a kind, or a nickname for a given name,
-    is told by their company: it occurs with LEAST_NAMES names, and its
-    likelihood, the share of its names that also occur with the long form, is
-    LIKELY or more; of several the most likely is meant. Short forms of kinds
-    are also subsequences with the same first letter. All words that are
-    learned have a share of the spellings of a LEAST_SHAREth or more, which
-    bounds how many are collected.
+    form, and LIKELY or more of all its names. That a short form stands for a
+    kind, or a nickname for a given name, is told by their company: it occurs
+    with LEAST_NAMES names, and its likelihood, the share of its names that also
+    occur with the long form, is LIKELY or more, beyond what chance gives; of
+    several the one furthest beyond chance is meant. A name with many partners
+    has any given word among them by chance, so it weighs little, but none is
+    left out. Short forms of kinds are also subsequences with the same first
+    letter. What is collected are the learned words, which grow with the
+    vocabulary of kinds and given names.
     """
     rows = entities.select(F.explode(F.pandas_udf(_outer_words, _PAIRS)("title", "slug")).alias("s")).select("s.*")
-    total = rows.count()
-    least = max(LEAST_NAMES, -(-total // LEAST_SHARE))
-    pairs = durable(rows.groupBy("first", "last").agg(F.max("body").alias("body"), F.count("*").alias("n")))
+    pairs = durable(rows.groupBy("first", "last").agg(F.max("body").alias("body")))
     known = [w for w in (*_KIND, *FIELDS, *LEGAL, *TITLES)]
-    bodies = pairs.where("body").where(~F.col("first").isin(known) & (F.length("last") > 3))
     # a name after its kind isn't one: a kind's names are followed by few other words
-    after = bodies.groupBy("last").agg(F.count("*").alias("names"), F.sum("n").alias("times")).where((F.col("names") >= LEAST_NAMES) & (F.col("times") >= least))
-    kinds = {r["last"]: r["last"] for r in after.orderBy(F.desc("times"), "last").limit(LEAST_SHARE).collect() if FIXED.kind_of(r["last"]) is None and r["last"] not in known}
+    after = pairs.where(~F.col("first").isin(known) & (F.length("last") > 3)).groupBy("last").agg(F.count_if("body").alias("names"), F.count("*").alias("of"))
+    after = after.where((F.col("names") >= LEAST_NAMES) & (F.col("names") >= LIKELY * F.col("of")))
+    kinds = {r["last"]: r["last"] for r in after.collect() if FIXED.kind_of(r["last"]) is None and r["last"] not in known}
 
     def short_forms(name: str, word: str, long_: list[str] | None, spare: list[str]) -> list[tuple[str, str]]:
-        """(short, long) words in one role beside the same names."""
-        said = pairs.where(~F.col(name).isin(known)).select(F.col(name).alias("name"), F.col(word).alias("word"), "n")
-        said = said.groupBy("name", "word").agg(F.sum("n").alias("n"))
-        told = said.groupBy("name").agg(F.count("*").alias("_k")).where(F.col("_k") <= FEW)
-        said = said.join(told, "name", "left_semi")
-        of = said.groupBy("word").agg(F.count("*").alias("names"), F.sum("n").alias("times"))
-        a = said.join(of.where((F.col("names") >= LEAST_NAMES) & (F.col("times") >= least) & ~F.col("word").isin(spare)), "word").select("name", F.col("word").alias("a"), F.col("names").alias("na"))
-        b = said.join(of, "word").select("name", F.col("word").alias("b"), F.col("names").alias("nb"))
+        """(short, long) words in one role beside the same names.
+
+        A short form shares a given part of its names, so the long one occurs with
+        one of all its names but that part less one: candidates come from those with
+        the fewest partners, which loses none, and are counted over all.
+        """
+        said = pairs.where(~F.col(name).isin(known)).select(F.col(name).alias("name"), F.col(word).alias("word"))
+        of = said.groupBy("word").agg(F.count("*").alias("names"))
+        said = durable(said.join(said.groupBy("name").agg(F.count("*").alias("k")), "name").join(of, "word"))
+        total = said.count()
+        a = said.where((F.col("names") >= LEAST_NAMES) & ~F.col("word").isin(spare)).select("name", F.col("word").alias("a"), F.col("names").alias("na"), "k")
+        b = said.select("name", F.col("word").alias("b"), F.col("names").alias("nb"))
+        beside = "a <> b and (nb > na or (nb = na and b < a))"
         if long_ is not None:
             b = b.where(F.col("b").isin(long_))
-        near = a.join(b, "name").where("a <> b and (nb > na or (nb = na and b < a)) and substr(a, 1, 1) = substr(b, 1, 1)" if long_ is not None else "a <> b and (nb > na or (nb = na and b < a))")
-        both = near.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both")).where((F.col("both") >= LEAST_NAMES) & (F.col("both") >= LIKELY * F.col("na")))
-        best = both.groupBy("a").agg(F.max_by("b", F.struct("both", "nb", "b")).alias("b"))
-        return [(r["a"], r["b"]) for r in best.orderBy("a").limit(LEAST_SHARE).collect()]
+            beside += " and substr(a, 1, 1) = substr(b, 1, 1) and length(a) < length(b) and b rlike array_join(split(a, ''), '.*')"
+        need = F.greatest(F.lit(LEAST_NAMES), F.ceil(LIKELY * F.col("na")))
+        rank = F.row_number().over(Window.partitionBy("a").orderBy("k", "name"))
+        rare = a.withColumn("_rank", rank).where(F.col("_rank") <= F.col("na") - need + 1)
+        near = rare.join(b, "name").where(beside).select("a", "b", "na", "nb").distinct()
+        shared = near.join(a.select("a", "name"), "a").join(b.select("b", "name"), ["b", "name"])
+        both = shared.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both")).where(F.col("both") >= need)
+        partners = a.groupBy("a", "k").agg(F.count("*").alias("n")).groupBy("a").agg(F.collect_list(F.struct("k", "n")).alias("partners"))
+        chance = F.aggregate("partners", F.lit(0.0), lambda acc, s: acc + s["n"] * F.least(F.lit(1.0), F.col("nb") * (s["k"] - 1) / total))
+        judged = both.join(partners, "a").withColumn("_chance", chance).withColumn("_beyond", F.col("both") - F.col("_chance"))
+        judged = judged.where(F.col("_beyond") >= LIKELY * (F.col("na") - F.col("_chance")))
+        judged = judged.where(F.col("_beyond") >= SURE * F.sqrt(F.col("_chance") * (1 - F.col("_chance") / F.col("na"))))
+        best = judged.groupBy("a").agg(F.max_by("b", F.struct("_beyond", "nb", "b")).alias("b"))
+        return [(r["a"], r["b"]) for r in best.orderBy("a").collect()]
 
     every = {**_KIND, **kinds}
     for short, long in short_forms("first", "last", list(every), known):
-        if len(short) < len(long) and _within(short, long):
-            kinds[short] = every[long]
+        kinds[short] = every[long]
     given = dict(short_forms("last", "first", None, [*known, *_GIVEN, *kinds]))
     given = {short: long for short, long in given.items() if FIXED.given_of(short) is None}
     resolved = {short: _GIVEN.get(long, given.get(long, long)) for short, long in given.items()}
     return Lexicon(kinds, resolved)
 
 
-def _within(short: str, long: str) -> bool:
-    """Whether the letters of the short word occur in the long one in this order."""
-    rest = iter(long)
-    return all(c in rest for c in short)
-
-
 # --- linking ----------------------------------------------------------------------------
 
 SLIP = 0.05  # chance that a typed name has one slip

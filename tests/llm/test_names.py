@@ -125,3 +125,25 @@ def test_classes_have_every_member(spark):
     rows = [(3, "Anna Fubatero", "anna-fubatero", 0), (1, "Fubatero, Anna", None, 0), (2, "Karl Fubatero", None, 0), (3, "Anna Fubatero", "anna-fubatero", 0)]
     out = {tuple(r) for r in N.name_classes(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert out == {(1, 1, 2), (3, 1, 2), (2, 2, 1)}
+
+
+def test_names_with_many_partners_count(spark):
+    """Surnames of 25 given names each: a nickname is learned from them, to the name it goes with and not to one that stands beside everybody."""
+    syllables = [a + b for a in "bdgklmnprst" for b in "aeiou"]
+    word = lambda i: syllables[i % 55] + syllables[i * 7 % 53] + syllables[i // 55 % 55] + "ter"
+    rows = []
+    for i in range(60):
+        firsts = ["osgurd", *(word(400 + i * 23 + j) for j in range(22))]
+        firsts += ["zebulon", "zeb"] if i % 3 == 0 else ["zebulon" if i % 6 == 1 else word(2000 + 2 * i), word(2001 + 2 * i)]
+        rows += [(len(rows) + j, f"{first.title()} {word(i).title()}", None, 0) for j, first in enumerate(firsts)]
+    assert N.learn_words(spark.createDataFrame(rows, SCHEMA)).given.get("zeb") == "zebulon"
+
+
+def test_rare_words_are_learned_at_any_size(spark):
+    """A kind of four names is learned beside 60,000 other spellings, and a frequent surname of people and firms stays a surname."""
+    rows = [(i, f"{p} Brewery Inc.", None, 0) for i, p in enumerate(["Takuno", "Relimo", "Sadovi", "Pukelo"])]
+    rows += [(10 + i, f"{p} Dimolol {form}".strip(), None, 0) for i, (p, form) in enumerate([("Anna", "Ltd."), ("Karl", "Inc."), ("Otto", "GmbH"), *((f"Q{c}elo", "") for c in "abcdefgh")])]
+    more = spark.range(60_000).select((F.col("id") + 100).alias("entity_id"), F.format_string("Nuro%s Valo%s", F.conv("id", 10, 36), F.conv("id", 10, 36)).alias("title"))
+    df = spark.createDataFrame(rows, SCHEMA).unionByName(more, allowMissingColumns=True)
+    kinds = N.learn_words(df).kind
+    assert kinds.get("brewery") == "brewery" and "dimolol" not in kinds
